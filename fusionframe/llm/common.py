@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -17,11 +18,15 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; a fresh temporary one only where it is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        path = _own_dir()
     return path.rstrip("/")
 
 
+@functools.lru_cache(maxsize=1)
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write to the shared folder and read the written table."""
     spark = df.sparkSession
