@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import load
+from .common import load, materialize
 from .langid import held_out
 
 WORD = re.compile(r"\w+|[\"“”«»]")
@@ -21,67 +21,91 @@ FEATURES = 5
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic) of the labelled rows, one of each text with the same first 80 characters.
+    """(h, text, toxic) of the labelled rows, one of each text.
 
     A text under both labels counts as toxic; rows with null text or label are left out.
     """
     marks = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     joined = docs.where("text is not null").select("doc_id", "text").join(marks, "doc_id")
-    return joined.groupBy(F.xxhash64(F.substring("text", 1, 80)).alias("h")) \
-        .agg(F.max_by("text", F.struct("toxic", "doc_id")).alias("text"), F.max("toxic").alias("toxic"))
+    return joined.groupBy("text").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("text"))
 
 
-def learn_lexicon(rows: DataFrame, max_terms: int = 512, min_rows: int = 4, ratio: float = 12.0) -> list[str]:
-    """Words far more frequent in toxic rows: at most `max_terms`, by weight of evidence."""
-    words = rows.select("toxic", F.explode(F.array_distinct(
-        F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)(\w+)")))).alias("w")).where("length(w) between 3 and 32")
+def learn_lexicon(rows: DataFrame, max_terms: int = 512, min_rows: int = 4, min_share: float = 0.02,
+                  ratio: float = 12.0) -> list[str]:
+    """Terms far more frequent in toxic rows: at most `max_terms`, by weight of evidence.
+
+    A term is a whole word, or a stem of 4 to 8 letters at the start of words, written with a
+    closing `*`. Its evidence is the rows that hold it, or the rows that hold it at least twice:
+    at least `min_rows` toxic rows and `min_share` of all toxic rows. Of terms with the same
+    start, only the one with most evidence stays.
+    """
+    words = rows.select("h", "toxic", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)(\w+)"))).alias("w")) \
+        .where("length(w) between 3 and 32").groupBy("h", "toxic", "w").agg(F.count("*").alias("n"))
+    stems = F.transform(F.sequence(F.lit(4), F.least(F.lit(8), F.length("w"))), lambda k: F.concat(F.substring(F.col("w"), F.lit(1), k), F.lit("*")))
+    terms = F.when(F.length("w") >= 4, F.concat(F.array("w"), stems)).otherwise(F.array("w"))
+    held = words.select("h", "toxic", "n", F.explode(terms).alias("term")).groupBy("h", "toxic", "term").agg(F.sum("n").alias("n"))
     sizes = rows.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
     n_toxic, n_clean = sizes[0] or 1, sizes[1] or 1
-    per = words.groupBy("w").agg(F.count_if(F.col("toxic") == 1).alias("t"), F.count_if(F.col("toxic") == 0).alias("c"))
-    odds = (F.col("t") / n_toxic) / ((F.col("c") + 0.5) / n_clean)
-    return [r.w for r in per.where((F.col("t") >= min_rows) & (odds >= ratio))
-            .orderBy(F.desc(F.col("t") * F.log(odds)), "w").limit(max_terms).collect()]
+    toxic, often = F.col("toxic") == 1, F.col("n") >= 2
+    per = held.groupBy("term").agg(F.count_if(toxic).alias("t1"), F.count_if(~toxic).alias("c1"),
+                                   F.count_if(toxic & often).alias("t2"), F.count_if(~toxic & often).alias("c2"))
+
+    def weight(t, c):
+        odds = (F.col(t) / n_toxic) / ((F.col(c) + 0.5) / n_clean)
+        return F.when((F.col(t) >= max(min_rows, min_share * n_toxic)) & (odds >= ratio), F.col(t) * F.log(odds))
+
+    best = per.withColumn("weight", F.greatest(weight("t1", "c1"), weight("t2", "c2"))).where("weight is not null")
+    ranked = best.orderBy(F.desc("weight"), F.col("term").endswith("*"), F.desc(F.length("term")), "term").limit(max_terms)
+    kept: list[str] = []
+    for term in (r.term for r in ranked.collect()):
+        def covers(a, b):
+            return a.endswith("*") and b.startswith(a[:-1])
+        if not any(covers(k, term) or covers(term, k) for k in kept):
+            kept.append(term)
+    return kept
 
 
 class LexiconTrie:
     """Terms as a trie, walked together with the Levenshtein automaton of a word."""
 
     def __init__(self, terms, min_fuzzy: int = 5):
-        self.root, self.terms, self.min_fuzzy = {}, frozenset(terms), min_fuzzy
-        for term in self.terms:
+        self.root, self.min_fuzzy = {}, min_fuzzy
+        for term in terms:
             node = self.root
-            for ch in term:
+            for ch in term.rstrip("*"):
                 node = node.setdefault(ch, {})
-            node[""] = len(term)
+            node["stem" if term.endswith("*") else ""] = len(term)
 
     def match(self, word: str) -> int:
-        """2 for a term, 1 for a word within one edit of a term of at least `min_fuzzy` letters, else 0."""
-        if word in self.terms:
+        """2 for a term or a word with a stem, 1 for a word within one edit of a word of at least `min_fuzzy` letters, else 0."""
+        node = self.root
+        for ch in word:
+            node = node.get(ch)
+            if node is None:
+                break
+            if "stem" in node:
+                return 2
+        if node and "" in node:
             return 2
-        if not self.min_fuzzy - 1 <= len(word) <= 33:
-            return 0
-        # An automaton state is (letters read, edits used); a set of states goes with each trie node.
-        stack = [(self.root, frozenset({(0, 0), (1, 1)}))]
         size = len(word)
+        if not self.min_fuzzy - 1 <= size <= 33:
+            return 0
+        # A state of the automaton is (letters read, edits used); it moves on with the trie node.
+        stack = [(self.root, 0, 0)]
         while stack:
-            node, states = stack.pop()
-            if node.get("", 0) >= self.min_fuzzy and any(size - i + e <= 1 for i, e in states):
+            node, i, edits = stack.pop()
+            if size - i + edits <= 1 and node.get("", 0) >= self.min_fuzzy:
                 return 1
-            for ch, child in node.items():
-                if not ch:
-                    continue
-                after = set()
-                for i, e in states:
-                    if i < size and word[i] == ch:
-                        after.add((i + 1, e))
-                        if e == 0:
-                            after.add((i + 2, 1)) if i + 2 <= size else None
-                    if e == 0:
-                        after.add((i, 1))
+            if i < size and word[i] in node:
+                stack.append((node[word[i]], i + 1, edits))
+            if not edits:
+                if i < size:
+                    stack.append((node, i + 1, 1))
+                for ch, child in node.items():
+                    if len(ch) == 1:
+                        stack.append((child, i, 1))
                         if i < size:
-                            after.add((i + 1, 1))
-                if after:
-                    stack.append((child, frozenset(after)))
+                            stack.append((child, i + 1, 1))
         return 0
 
 
@@ -95,11 +119,13 @@ def features(text: str | None, terms: tuple, window: int = 6) -> list[float]:
     match, quoted_now = _matcher(terms), False
     tokens = WORD.findall((text or "").lower())
     exact = fuzzy = quoted = 0
-    for i, token in enumerate(tokens):
+    kinds = [match(t) for t in tokens]
+    if not any(kinds):
+        return [0.0] * FEATURES
+    for i, (token, kind) in enumerate(zip(tokens, kinds)):
         if token in QUOTES:
             quoted_now = not quoted_now
             continue
-        kind = match(token)
         if kind:
             near = tokens[max(0, i - window):i + window + 1]
             closed = quoted_now and any(t in QUOTES for t in near)
@@ -148,7 +174,7 @@ def score_toxicity(docs: DataFrame, terms: list[str], weights: list[float]) -> D
 
 
 def train_and_score(docs: DataFrame, training: DataFrame, labels: DataFrame) -> DataFrame:
-    rows = labelled_rows(training, labels)
+    rows = materialize(labelled_rows(training, labels), "labelled")
     terms = learn_lexicon(rows)
     return score_toxicity(docs, terms, fit(rows, terms))
 
