@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import functools
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from .common import load, materialize
 from .langid import held_out
 
 WORD = re.compile(r"\w+|[\"“”«»]")
+LETTERS = re.compile(r"(?<!\w)\w{3,32}(?!\w)")
 QUOTES = frozenset('"“”«»')
 #: Words that report or question a term instead of using it.
 REPORTING = frozenset("said says called quote quoted word term slur reported wrote".split())
@@ -21,13 +24,13 @@ FEATURES = 5
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(h, text, toxic) of the labelled rows, one of each text.
+    """(text, toxic) of the labelled rows, one of each text.
 
     A text under both labels counts as toxic; rows with null text or label are left out.
     """
     marks = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     joined = docs.where("text is not null").select("doc_id", "text").join(marks, "doc_id")
-    return joined.groupBy("text").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64("text"))
+    return joined.groupBy("text").agg(F.max("toxic").alias("toxic"))
 
 
 def learn_lexicon(rows: DataFrame, max_terms: int = 512, min_rows: int = 4, min_share: float = 0.02,
@@ -39,16 +42,40 @@ def learn_lexicon(rows: DataFrame, max_terms: int = 512, min_rows: int = 4, min_
     at least `min_rows` toxic rows and `min_share` of all toxic rows. Of terms with the same
     start, only the one with most evidence stays.
     """
-    words = rows.select("h", "toxic", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)(\w+)"))).alias("w")) \
-        .where("length(w) between 3 and 32").groupBy("h", "toxic", "w").agg(F.count("*").alias("n"))
-    stems = F.transform(F.sequence(F.lit(4), F.least(F.lit(8), F.length("w"))), lambda k: F.concat(F.substring(F.col("w"), F.lit(1), k), F.lit("*")))
-    terms = F.when(F.length("w") >= 4, F.concat(F.array("w"), stems)).otherwise(F.array("w"))
-    held = words.select("h", "toxic", "n", F.explode(terms).alias("term")).groupBy("h", "toxic", "term").agg(F.sum("n").alias("n"))
     sizes = rows.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
     n_toxic, n_clean = sizes[0] or 1, sizes[1] or 1
-    toxic, often = F.col("toxic") == 1, F.col("n") >= 2
-    per = held.groupBy("term").agg(F.count_if(toxic).alias("t1"), F.count_if(~toxic).alias("c1"),
-                                   F.count_if(toxic & often).alias("t2"), F.count_if(~toxic & often).alias("c2"))
+    names = ["t1", "c1", "t2", "c2"]
+
+    def tally(batches):
+        counts: dict[str, list[int]] = {}
+
+        def flush():
+            cells = list(zip(*counts.values()))
+            out = pa.RecordBatch.from_arrays([pa.array(list(counts)), *[pa.array(c, pa.int64()) for c in cells]], ["term", *names])
+            counts.clear()
+            return out
+
+        for batch in batches:
+            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
+                held = Counter(LETTERS.findall(text.lower()))
+                for word, n in list(held.items()):
+                    for k in range(4, min(8, len(word)) + 1):
+                        held[word[:k] + "*"] += n
+                side = 0 if toxic == 1 else 1
+                for term, n in held.items():
+                    cell = counts.get(term)
+                    if cell is None:
+                        cell = counts[term] = [0, 0, 0, 0]
+                    cell[side] += 1
+                    if n > 1:
+                        cell[side + 2] += 1
+                if len(counts) > 300_000:
+                    yield flush()
+        if counts:
+            yield flush()
+
+    per = rows.select("text", "toxic").mapInArrow(tally, "term string, t1 long, c1 long, t2 long, c2 long") \
+        .groupBy("term").agg(*[F.sum(c).alias(c) for c in names])
 
     def weight(t, c):
         odds = (F.col(t) / n_toxic) / ((F.col(c) + 0.5) / n_clean)
