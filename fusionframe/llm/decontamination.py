@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -13,19 +15,18 @@ from .common import load
 
 #: Positions of a window that count (1) or are ignored (0).
 MASKS = ("11101101", "11011011", "10110111")
+WORD = re.compile(r"[^\W_]+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str | None) -> list[str]:
-    cleaned = "".join(ch if ch.isalnum() else " " for ch in (text or "").lower())
-    return cleaned.split()
+    return WORD.findall((text or "").lower())
 
 
 def word_hashes(words: list[str], seen: dict) -> np.ndarray:
-    for w in words:
-        if w not in seen:
-            seen[w] = xxhash.xxh64_intdigest(w)
-    return np.array([seen[w] for w in words], dtype=np.uint64)
+    for w in set(words).difference(seen):
+        seen[w] = xxhash.xxh64_intdigest(w)
+    return np.fromiter(map(seen.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
 def seed_hashes(h: np.ndarray, mask: str) -> np.ndarray:
@@ -82,9 +83,9 @@ def matched_items(text, index, min_match: int, identity: float, seen: dict, mask
         seeds = seed_hashes(doc, mask)
         if not len(keys) or not len(seeds):
             continue
-        lo, hi = np.searchsorted(keys, seeds, "left"), np.searchsorted(keys, seeds, "right")
-        for pos in np.flatnonzero(hi > lo):
-            for n, at in where[lo[pos]:hi[pos]]:
+        lo = np.searchsorted(keys, seeds)
+        for pos in np.flatnonzero(keys[np.minimum(lo, len(keys) - 1)] == seeds):
+            for n, at in where[lo[pos]:np.searchsorted(keys, seeds[pos], "right")]:
                 probe = (int(n), int(pos) - int(at))
                 if n in found or probe in tried:
                     continue
