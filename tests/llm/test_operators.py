@@ -200,3 +200,15 @@ def test_trie_equals_edit_distance():
     for word in ["idiot", "idi0t", "idiott", "idot", "didiot", "trahs", "moran", "mor", "xidiotx", "rash", "trashy"]:
         best = min(distance(word, t) for t in ("idiot", "trash", "moron"))
         assert trie.match(word) == (2 if best == 0 else 1 if best == 1 else 0), word
+
+
+def test_stems_match_word_starts_only():
+    trie = toxicity.LexiconTrie(["blark*", "moron"])
+    assert [trie.match(w) for w in ("blark", "blarkish", "blorkish", "xblark", "blar", "", "morons")] == [2, 2, 0, 0, 0, 0, 1]
+
+
+def test_lexicon_keeps_repeated_stems(spark):
+    rows = [(f"blark{a} blark{b} plain word{i}", 1) for i, (a, b) in enumerate(["onu tep".split(), "iri oss".split()] * 4)]
+    rows += [(f"plain word{i} blark{'aeiou'[i % 5]}z{i}", 0) for i in range(30)]
+    terms = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"))
+    assert [t for t in terms if t.startswith("blark")] == ["blark*"]
