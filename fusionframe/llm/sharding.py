@@ -1,11 +1,14 @@
-"""Two-pass external shuffle into shards, in DataFrame functions only."""
+"""Two-pass external shuffle of whole rows into shards, in DataFrame functions only."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, IntegerType, StringType, StructField, StructType
 
-from .common import load
+from .common import load, shared_dir
 
 
 def rendezvous_shard(key: Column, shards: int, seed: int) -> Column:
@@ -14,63 +17,78 @@ def rendezvous_shard(key: Column, shards: int, seed: int) -> Column:
     return F.greatest(*scored)["s"]
 
 
-def external_shuffle(df: DataFrame, key: str, order: list[str], shards: int = 24, seed: int = 42,
-                     bucket_rows: int = 2048) -> DataFrame:
-    """Scatter rows into shards, shuffle each shard, and number its rows.
-
-    Pass 1 sends every row to a bucket of about `bucket_rows` rows of its shard by a
-    seeded hash; pass 2 shuffles each bucket (Spark's `shuffle` is a Fisher-Yates).
-    Returns the columns of `df` with `shard`, `grown_shard` (with one more shard) and
-    `slot` (gapless from 0 in each shard). `order` names columns that make a row's
-    place before the shuffle fixed, so a recomputed task gives the same slots.
-    A null key is a key of its own; identical rows are interchangeable; an empty
-    table gives an empty result.
+def _row_bytes(df: DataFrame) -> Column:
+    """About the bytes of a row: its strings, and 8 for each column."""
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if isinstance(f.dataType, (StringType, BinaryType))]
+    return sum(texts, F.lit(8 * len(df.columns))).cast("long")
+
+
+def write_shards(df: DataFrame, path: str, key: str, order: list[str], shards: int = 24, seed: int = 42,
+                 bucket_bytes: int = 4 << 20) -> None:
+    """Scatter whole rows into buckets of their shard, shuffle each bucket, and write the shards.
+
+    Pass 1 sends every row to a bucket of about `bucket_bytes` of its shard by a seeded
+    hash of `order` and the row's own number, so identical rows part too, and a shard
+    with more bytes (one key with many rows) has more buckets. Pass 2 shuffles each
+    bucket (Spark's `shuffle` is a Fisher-Yates) and writes the columns of `df` with
+    `grown_shard` (with one more shard), `bucket` and `place` to the folder of the shard,
+    each file in this order. `order` fixes a row's place before the shuffle. A null key
+    is a key of its own.
     """
-    rows = df.count()
-    buckets = max(1, -(-rows // (shards * bucket_rows)))
     cols = df.columns
-    placed = df.select(
+    shard = rendezvous_shard(F.col(key), shards, seed)
+    sizes = {r.shard: r.bytes for r in df.groupBy(shard.alias("shard")).agg(F.sum(_row_bytes(df)).alias("bytes")).collect()}
+    buckets = [max(1, -(-sizes.get(s, 0) // bucket_bytes)) for s in range(shards)]
+    keys = [F.col(c) for c in order]
+    placed = df.withColumn("_uid", F.monotonically_increasing_id()).select(
         F.struct(*[F.col(c) for c in cols]).alias("_row"),
-        F.struct(*[F.xxhash64(*[F.col(c) for c in order], F.lit(seed)).alias("h"),
-                   *[F.col(c) for c in order]]).alias("_ord"),
-        rendezvous_shard(F.col(key), shards, seed).alias("shard"),
+        F.struct(F.xxhash64(*keys, F.lit(seed)).alias("h"), F.col("_uid")).alias("_ord"),
+        F.xxhash64(*keys, "_uid", F.lit(seed + 1)).alias("_deal"),
+        shard.alias("shard"),
         rendezvous_shard(F.col(key), shards + 1, seed).alias("grown_shard"),
-        F.pmod(F.xxhash64(*[F.col(c) for c in order], F.lit(seed + 1)), F.lit(buckets)).alias("_bucket"),
-    )
+    ).withColumn("bucket", F.pmod("_deal", F.array(*[F.lit(n) for n in buckets])[F.col("shard")]).cast("int")).drop("_deal")
     packed = (
-        placed.groupBy("shard", "_bucket")
+        placed.repartition(sum(buckets), "shard", "bucket").groupBy("shard", "bucket")
         .agg(F.collect_list(F.struct("_ord", "_row", "grown_shard")).alias("_rows"))
-        .repartition("shard", "_bucket").sortWithinPartitions("shard", "_bucket")
-        .select("shard", "_bucket", F.shuffle(F.array_sort("_rows"), seed).alias("_rows"))
-    )
-    per_shard = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = (
-        placed.groupBy("shard", "_bucket").agg(F.count("*").alias("_n"))
-        .select("shard", "_bucket", F.coalesce(F.sum("_n").over(per_shard), F.lit(0)).alias("_base"))
-    )
-    return (
-        packed.join(base, ["shard", "_bucket"])
-        .select("shard", "_base", F.posexplode("_rows").alias("_pos", "_r"))
-        .select(*[F.col("_r._row")[c].alias(c) for c in cols], "shard",
-                (F.col("_base") + F.col("_pos")).alias("slot"), F.col("_r.grown_shard").alias("grown_shard"))
+        .sortWithinPartitions("shard", "bucket")
+        .select("shard", "bucket", F.shuffle(F.array_sort("_rows"), seed).alias("_rows"))
     )
+    (packed.select("shard", "bucket", F.posexplode("_rows").alias("place", "_r"))
+     .select(*[F.col("_r._row")[c].alias(c) for c in cols], F.col("_r.grown_shard").alias("grown_shard"), "shard", "bucket", "place")
+     .sortWithinPartitions("shard", "bucket", "place").write.partitionBy("shard").parquet(path))
+
+
+def read_shards(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The written rows with `slot`, gapless from 0 in each shard: the rows of all earlier buckets, and the place."""
+    rows = spark.read.schema(schema).parquet(path)
+    earlier = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    base = rows.groupBy("shard", "bucket").agg(F.count("*").alias("_n")).select(
+        "shard", "bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
+    return rows.join(base, ["shard", "bucket"]).withColumn("slot", F.col("_base") + F.col("place")).drop("_base")
+
 
+def external_shuffle(df: DataFrame, key: str, order: list[str], shards: int = 24, seed: int = 42,
+                     bucket_bytes: int = 4 << 20) -> DataFrame:
+    """Write the shards to the shared folder and read them again.
 
-def write_shards(df: DataFrame, path: str, shards: int = 24) -> None:
-    """Write shuffled rows by shard, each shard's files in slot order."""
-    (df.repartitionByRange(shards * 4, "shard", "slot").sortWithinPartitions("shard", "slot")
-     .write.partitionBy("shard").parquet(path))
+    Returns the columns of `df` as written, with `shard`, `slot` and `grown_shard`. Slots
+    are counted on the written rows, so a recomputed task cannot shift them. An empty
+    table gives an empty result.
+    """
+    spark, cols = df.sparkSession, df.columns
+    path = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    write_shards(df, path, key, order, shards, seed, bucket_bytes)
+    added = [StructField(name, IntegerType()) for name in ("grown_shard", "bucket", "place", "shard")]
+    schema = StructType([*df.schema.fields, *added])
+    return read_shards(spark, path, schema).select(*cols, "shard", "slot", "grown_shard")
 
 
 def op5_external_shuffle(spark, sf_dir) -> DataFrame:
-    """All documents in 24 shards by the law `key`; null texts have no bytes."""
+    """All documents in 24 shards by the law `key`, of the written rows; null texts have no bytes."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    out = external_shuffle(docs, "doc_id", ["doc_id", "text"])
     text = F.coalesce(F.col("text"), F.lit(""))
-    docs = load(spark, sf_dir, "documents").select(
-        "doc_id",
-        (F.octet_length(text) + 8).cast("long").alias("size"),
-        F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-    )
-    out = external_shuffle(docs, "doc_id", ["doc_id", "text_crc32", "size"])
-    return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"),
+    return out.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"),
+                      F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.lit("key").alias("law"),
                       F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"),
                       F.col("grown_shard").cast("int").alias("grown_shard"))

@@ -1,0 +1,35 @@
+"""Cases of the review of round 1."""
+import glob
+from collections import Counter
+
+import pytest
+
+from fusionframe.llm import common, sharding
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_shards_hold_whole_rows_and_part_identical_ones(spark, tmp_path):
+    rows = [(None, "same " * 200)] * 900 + [(i, f"text {i} " * (2000 if i == 7 else 1)) for i in range(100)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    path = str(tmp_path / "shards")
+    sharding.write_shards(frame, path, "doc_id", ["doc_id", "text"], bucket_bytes=50_000)
+    written = spark.read.parquet(path).collect()
+    assert Counter((r.doc_id, r.text) for r in written) == Counter(rows)
+    held = Counter((r.shard, r.bucket) for r in written if r.doc_id is None)
+    assert len(held) > 10 and max(held.values()) < 200
+    out = sharding.external_shuffle(frame, "doc_id", ["doc_id", "text"], bucket_bytes=50_000).collect()
+    slots = {}
+    for r in out:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert Counter((r.doc_id, r.text) for r in out) == Counter(rows)
+
+
+def test_op5_writes_the_texts(spark):
+    folder = common.shared_dir(spark)
+    before = set(glob.glob(f"{folder}/shards-*"))
+    sharding.op5_external_shuffle(spark, SF).count()
+    new, = set(glob.glob(f"{folder}/shards-*")) - before
+    got = Counter((r.doc_id, r.text) for r in spark.read.parquet(new).collect())
+    assert got == Counter((r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
