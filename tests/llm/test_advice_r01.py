@@ -2,8 +2,9 @@
 import glob
 from collections import Counter
 
-import pytest
+import numpy as np
 
+import corpus_pipeline
 from fusionframe.llm import common, sharding
 
 SF = "/root/testdata/sf0.001"
@@ -33,3 +34,34 @@ def test_op5_writes_the_texts(spark):
     new, = set(glob.glob(f"{folder}/shards-*")) - before
     got = Counter((r.doc_id, r.text) for r in spark.read.parquet(new).collect())
     assert got == Counter((r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
+
+
+def stage(spark, rows):
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    return sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, frame, SF).collect()), key=repr)
+
+
+def test_near_dedup_keeps_null_and_repeated_ids(spark):
+    text = [" ".join(f"t{k}w{i}" for i in range(50)) for k in range(5)]
+    rows = [(None, text[0]), (None, text[1]), (7, text[2]), (7, text[3]), (7, text[3]), (9, text[4]), (None, text[4])]
+    assert stage(spark, rows) == sorted([(None, text[0]), (None, text[1]), (7, text[2]), (7, text[3]), (9, text[4])], key=repr)
+
+
+def test_near_dedup_follows_similarity(spark):
+    rng = np.random.default_rng(3)
+    rows, similar = [], {}
+    for k in range(160):
+        words = [f"d{k}w{i}" for i in range(100)]
+        other = list(words)
+        for at in rng.choice(100, 1 + k % 4, replace=False):
+            other[at] = "zz"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+        a, b = ({tuple(w[i:i + 5]) for i in range(96)} for w in (words, other))
+        similar[k] = len(a & b) / len(a | b)
+    kept = {i for i, _ in stage(spark, rows)}
+    assert all(2 * k in kept for k in similar)
+    assert all(2 * k + 1 in kept for k, s in similar.items() if s < 0.8)
+    close = [k for k, s in similar.items() if s >= 0.8]
+    caught = sum(2 * k + 1 not in kept for k in close)
+    print(f"near copies at 0.8 or more: {caught} of {len(close)}")
+    assert len(close) > 60 and caught >= 0.97 * len(close)
