@@ -18,23 +18,34 @@ FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).too
 DIGITS, LETTERS, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef"
 
 PATTERN = re.compile(
-    r"(?P<email>[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
-    r"|(?P<secret>(?<![0-9A-Za-z])(?:[0-9a-f]{40}|[0-9A-F]{40})(?![0-9A-Za-z]))"
-    r"|(?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.]*\d))"
+    r"(?P<email>[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
+    r"|(?=[0-9A-Fa-f]{32})(?P<secret>(?<![0-9A-Za-z])(?:[0-9a-f]{40}|[0-9A-F]{40})(?![0-9A-Za-z]))"
+    r"|(?=[0-9A-Fa-f]{32})(?P<hexkey>(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z]))"
+    r"|(?=AKIA|gh[opsu]_|sk[_-]|xox)(?P<token>(?<![0-9A-Za-z_-])(?:AKIA[0-9A-Z]{16}|gh[opsu]_[0-9A-Za-z]{36,}|sk[_-][0-9A-Za-z_-]{20,}|xox[abprs]-[0-9A-Za-z-]{20,})(?![0-9A-Za-z_-]))"
+    r"|(?=[\d+(])(?:(?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.]*\d))"
     r"|(?P<date>(?<!\d)(?:19|20)\d\d-\d\d-\d\d(?!\d))"
+    r"|(?P<day>(?<![\d./])(?:\d{1,2}(?P<sep>[./])\d{1,2}(?P=sep)(?:19|20)\d\d|(?:19|20)\d\d(?P<gap>[./])\d\d(?P=gap)\d\d)(?![./]?\d))"
     r"|(?P<phone>(?<![\d+])\+\d{1,3} ?\(\d{3}\) ?\d{3}-\d{4}(?!\d))"
+    r"|(?P<abroad>(?<![\d+])\+[1-9]\d{0,2}(?:[ .-]?\(?\d+\)?)+(?!\d))"
+    r"|(?P<local>(?<![\d+.-])(?:\([2-9]\d\d\) ?|[2-9]\d\d[ .-])\d{3}[ .-]\d{4}(?![.-]?\d))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
-    r"|(?P<card>(?<!\d)\d(?:[ -]?\d){12,18}(?!\d))"
+    r"|(?P<card>(?<!\d)\d(?:[ -]?\d){12,}(?!\d)))"
 )
+#: The same without cards, for the parts of a run of digits that are no card.
+OTHER = re.compile(PATTERN.pattern[:PATTERN.pattern.rindex("|(?P<card>")] + ")")
+#: Lengths of card numbers by issuer, for spans inside a longer run of digits.
+ISSUERS = [(re.compile(r"4"), (13, 16, 19)), (re.compile(r"5[0-9]|2[2-7]|6"), range(13, 20)), (re.compile(r"3[47]"), (15,)),
+           (re.compile(r"35"), range(16, 20)), (re.compile(r"3[0689]"), range(14, 20))]
 
 
 def permute(value: int, size: int, key: bytes, tweak: str) -> int:
     """A keyed permutation of range(size): a Feistel network over a square domain, walked until inside."""
     side = math.isqrt(size - 1) + 1
+    width = 16 if side <= 2 ** 128 else 64
     while True:
         left, right = divmod(value, side)
         for i in range(ROUNDS):
-            digest = hashlib.blake2b(f"{tweak}|{i}|{right}".encode(), key=key, digest_size=16).digest()
+            digest = hashlib.blake2b(f"{tweak}|{i}|{right}".encode(), key=key, digest_size=width).digest()
             left, right = right, (left + int.from_bytes(digest, "big")) % side
         value = left * side + right
         if value < size:
@@ -74,14 +85,62 @@ def luhn_digit(body: str) -> str:
     return str(-total % 10)
 
 
+def card_spans(text: str) -> list[tuple[int, int]]:
+    """The valid cards in a run of digit groups: the whole run, else from the left the longest spans of an issuer's form."""
+    groups = [(m.start(), m.end()) for m in re.finditer(r"\d+", text)]
+
+    def valid(i, j):
+        digits = "".join(ch for ch in text[groups[i][0]:groups[j][1]] if ch.isdigit())
+        return 13 <= len(digits) <= 19 and luhn_digit(digits[:-1]) == digits[-1] and digits
+
+    if valid(0, len(groups) - 1):
+        return [(0, len(text))]
+    out, i = [], 0
+    while i < len(groups):
+        for j in range(min(len(groups), i + 19) - 1, i - 1, -1):
+            digits = groups[j][1] - groups[i][0] <= 37 and valid(i, j)
+            if digits and any(p.match(digits) and len(digits) in sizes for p, sizes in ISSUERS):
+                out.append((groups[i][0], groups[j][1]))
+                i = j
+                break
+        i += 1
+    return out
+
+
+def _new_day(text: str, key: bytes) -> str | None:
+    """A date as M/D/Y, else D/M/Y, D.M.Y or Y/M/D; order and digits of the parts stay."""
+    sep = "/" if "/" in text else "."
+    parts = text.split(sep)
+    orders = ["ymd"] if len(parts[0]) == 4 else ["mdy", "dmy"] if sep == "/" else ["dmy", "mdy"]
+    for order in orders:
+        at = dict(zip(order, parts))
+        try:
+            day = dt.date(int(at["y"]), int(at["m"]), int(at["d"])).toordinal()
+        except ValueError:
+            continue
+        new = dt.date.fromordinal(FIRST_DAY + permute(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, "date"))
+        padded = len(text) == 10
+        return sep.join(str(v).zfill(2 if padded else 1) for v in ({"y": new.year, "m": new.month, "d": new.day}[c] for c in order))
+    return None
+
+
 def pseudonym(kind: str, text: str, key: bytes) -> str | None:
     """The replacement of one value; None where the value is not valid for its kind."""
     if kind == "email":
         local, _, domain = text.partition("@")
         changed = permute_class(local, LETTERS, LETTERS, key, "email-letters")
         return permute_class(changed, DIGITS, DIGITS, key, "email-digits") + "@" + domain
-    if kind == "secret":
-        return permute_class(text, HEX, HEX, key, "secret")
+    if kind in ("secret", "hexkey"):
+        if kind == "hexkey" and (text.isdigit() or text.isalpha()):
+            return None
+        new = permute_class(text, HEX, HEX, key, "secret")
+        return new.upper() if text.isupper() else new.lower()
+    if kind == "token":
+        at = 4 if text[:4] == "AKIA" or text[:2] == "gh" else re.match(r"sk[_-]|xox.-", text).end()
+        if text[:2] == "sk" and not (any(ch.isdigit() for ch in text) and any(ch.isalpha() for ch in text[3:])):
+            return None
+        changed = permute_class(text[at:], LETTERS, LETTERS, key, "token-letters")
+        return text[:at] + permute_class(changed, DIGITS, DIGITS, key, "token-digits")
     if kind == "ip":
         parts = [int(p) for p in text.split(".")]
         if any(p > 255 for p in parts):
@@ -94,6 +153,17 @@ def pseudonym(kind: str, text: str, key: bytes) -> str | None:
         except ValueError:
             return None
         return dt.date.fromordinal(FIRST_DAY + permute(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, "date")).isoformat()
+    if kind == "day":
+        return _new_day(text, key)
+    if kind == "abroad":
+        if not 8 <= sum(ch.isdigit() for ch in text) <= 15:
+            return None
+        at = re.match(r"\+\d{1,3}(?=\D)|\+\d", text).end()
+        return text[:at] + permute_class(text[at:], DIGITS, DIGITS, key, "phone")
+    if kind == "local":
+        digits = "".join(ch for ch in text if ch.isdigit())
+        fresh = iter(str(permute(int(digits) - 2 * 10 ** 9, 8 * 10 ** 9, key, "local-phone") + 2 * 10 ** 9))
+        return "".join(next(fresh) if ch.isdigit() else ch for ch in text)
     if kind == "phone":
         at = text.index("(")
         return text[:at] + permute_class(text[at:], DIGITS, DIGITS, key, "phone")
@@ -117,9 +187,24 @@ def mask_text(text: str | None, key: bytes) -> tuple[str | None, int]:
 
     def swap(m):
         nonlocal found
-        new = pseudonym(m.lastgroup, m.group(), key)
+        kind, text = m.lastgroup, m.group()
+        if kind == "abroad" and pseudonym(kind, text, key) is None:
+            at = re.match(r"\+\d+", text).end()  # a shorter number, then what follows it
+            for cut in [c.start() for c in re.finditer(r"(?<=[\d)])[ .-]", text)][::-1]:
+                new = pseudonym(kind, text[:cut], key) if cut > at else None
+                if new is not None:
+                    found += 1
+                    return new + PATTERN.sub(swap, text[cut:])
+            return text[:1] + PATTERN.sub(swap, text[1:])
+        if kind == "card":
+            out, last = [], 0
+            for start, end in card_spans(text):
+                out += [OTHER.sub(swap, text[last:start]), pseudonym(kind, text[start:end], key)]
+                found, last = found + 1, end
+            return "".join(out) + OTHER.sub(swap, text[last:])
+        new = pseudonym(kind, text, key)
         found += new is not None
-        return m.group() if new is None else new
+        return text if new is None else new
 
     return PATTERN.sub(swap, text), found
 
