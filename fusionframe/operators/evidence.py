@@ -44,11 +44,11 @@ def cluster_positions(sites: DataFrame, spread: int = 5, min_reads: int = 2) ->
         "chrom", F.col("centre").alias("pos"), F.col("total").alias("reads"))
 
 
-def expressed_sites(clusters: DataFrame, genes: DataFrame, top: int) -> DataFrame:
-    """Clusters inside a gene, with the first gene by id, best supported first."""
+def expressed_sites(clusters: DataFrame, genes: DataFrame) -> DataFrame:
+    """All clusters inside a gene, with the first gene by id, best supported first; no expression test."""
     points = clusters.select(F.struct("chrom", "pos").alias("key"), "chrom", F.col("pos").alias("st"), F.col("pos").alias("en"))
     hit = first_interval(points, genes, "key", "gene_id").select("key.chrom", "key.pos", "gene_id")
-    return clusters.join(hit, ["chrom", "pos"]).orderBy(F.desc("reads"), "chrom", "pos").limit(top)
+    return clusters.join(hit, ["chrom", "pos"]).orderBy(F.desc("reads"), "chrom", "pos")
 
 
 def junction_support(hits: DataFrame, key: str, length: str) -> DataFrame:

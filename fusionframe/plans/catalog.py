@@ -28,7 +28,7 @@ _register("A01_clip_evidence", lambda s, d: E.clip_evidence(view(s, d, "fx_reads
  from fx_reads where flag & 1024 = 0 group by 1,2""")
 _register("W01_cluster_positions", lambda s, d: E.cluster_positions(E.clip_evidence(view(s, d, "fx_reads"))))
 _register("F08_expressed_sites", lambda s, d: E.expressed_sites(
-    E.cluster_positions(E.clip_evidence(view(s, d, "fx_reads"))), view(s, d, "fx_genes"), 1000))
+    E.cluster_positions(E.clip_evidence(view(s, d, "fx_reads"))), view(s, d, "fx_genes")))
 _register("J01_interval_join", lambda s, d: I.interval_join(view(s, d, "fx_reads"), view(s, d, "fx_genes")).select(
     "chrom", "st", "en", F.col("r_gene_id").alias("gene_id"),
     C.overlap_len(F.col("st"), F.col("en"), F.col("r_st"), F.col("r_en")).alias("shared")),
