@@ -6,18 +6,23 @@ import functools
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_WRITTEN: list[str] = []
+
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a fresh temporary one only where it is unset."""
+    """The folder of spark.checkpoint.dir. Only a local master may leave it unset: it gets a temporary one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.conf.get("spark.master", "local")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = _own_dir()
     return path.rstrip("/")
 
@@ -27,12 +32,37 @@ def _own_dir() -> str:
     return tempfile.mkdtemp(prefix="spark-")
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write to the shared folder and read the written table."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def drop_written(spark: SparkSession) -> int:
+    """Delete all tables that this process wrote to the shared folder; for use once their results are saved."""
+    jvm, n = spark.sparkContext._jvm, len(_WRITTEN)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
+
+
+def quoted(name: str) -> str:
+    """The name for F.col, also with dots or backticks in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def all_but(df: DataFrame, *names: str) -> list[Column]:
+    """The columns of df without those named; an operator's own columns replace them."""
+    return [F.col(quoted(c)) for c in df.columns if c.lower() not in {n.lower() for n in names}]
 
 
 def lookup_join(left: DataFrame, right: DataFrame, key: str, count_col: str, total: int) -> DataFrame:
@@ -49,5 +79,3 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, count_col: str, tot
         tagged.where(F.col("_hot")).drop("_hot").join(F.broadcast(hot_keys), key)
         .unionByName(tagged.where(F.col("_hot").isNull()).drop("_hot").join(cold_keys, key))
     )
-
-

@@ -10,22 +10,21 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import load
+from .common import all_but, load
 
 PIECE = 4096  # characters compressed at a time, so that a long text keeps meeting the dictionary
 
 
-def learn(labelled: DataFrame, sample_rows: int = 400, row_chars: int = 2000, dict_bytes: int = 65536,
-          max_langs: int = 256) -> dict[str, bytes]:
+def learn(labelled: DataFrame, sample_rows: int = 400, row_chars: int = 2000, dict_bytes: int = 65536) -> dict[str, bytes]:
     """Raw dictionaries by language, from rows of (text, lang).
 
     The fit uses a bounded sample: per language about `sample_rows` distinct texts,
     chosen by a hash of the text, their first `row_chars` characters, `dict_bytes` in
-    all; the `max_langs` most frequent languages. Rows with null text or lang are not used.
+    all. Every language gets a dictionary; rows with null text or lang are not used.
     """
     rows = labelled.where("text is not null and lang is not null and text rlike '\\\\p{L}'").select("lang", "text")
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n"))
-              .orderBy(F.desc("n"), "lang").limit(max_langs).collect()}
+    different = rows.select("lang", F.xxhash64("text").alias("h")).distinct()
+    counts = {r.lang: r.n for r in different.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row for each language
     if not counts:
         return {}
     share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, sample_rows / n)))])
@@ -68,6 +67,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], level: int = 3, ma
 
     accepted is false where the margin between the two smallest sizes is narrow.
     Null, empty and letterless texts get `und`, score 0. Ties go to the language first by name.
+    Columns with the names of the new ones are replaced.
     """
     dicts = tuple(sorted(dictionaries.items()))
 
@@ -75,8 +75,8 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], level: int = 3, ma
     def predict(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([classify(t, dicts, level, margin) for t in texts], columns=["lang", "score", "accepted"])
 
-    return (docs.withColumn("_p", predict("text")).withColumn("lang_pred", F.col("_p.lang"))
-            .withColumn("score", F.col("_p.score")).withColumn("accepted", F.col("_p.accepted")).drop("_p"))
+    packed = docs.select(F.struct(*all_but(docs, "lang_pred", "score", "accepted")).alias("_row"), predict("text").alias("_p"))
+    return packed.select("_row.*", F.col("_p.lang").alias("lang_pred"), F.col("_p.score").alias("score"), F.col("_p.accepted").alias("accepted"))
 
 
 def held_out(doc_id: str = "doc_id"):

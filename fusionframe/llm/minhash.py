@@ -10,33 +10,19 @@ from pyspark.sql import functions as F
 
 from .common import lookup_join, materialize
 from .simhash import components
+from .words import gram_hashes, joined_words, mix
 
-BANDS, ROWS, CENTRES = 14, 5, 3
+BANDS, ROWS = 14, 5
 _RNG = np.random.default_rng(42)
 _MULT = _RNG.integers(1, 2 ** 63, BANDS * ROWS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 2 ** 63, BANDS * ROWS).astype(np.uint64)
 _FOLD = _RNG.integers(1, 2 ** 63, ROWS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def shingles(words: list[bytes], seen: dict, width: int) -> np.ndarray:
-    """The distinct 64-bit hashes of all `width`-word shingles; one of all words where they are fewer."""
-    if not words:
-        return np.empty(0, np.uint64)
-    for w in words:
-        if w not in seen:
-            seen[w] = xxhash.xxh64_intdigest(w)
-    h = np.array([seen[w] for w in words], dtype=np.uint64)
-    n = max(1, len(h) - width + 1)
-    out = np.zeros(n, np.uint64)
-    for k in range(min(width, len(h))):
-        out = _mix(out + h[k:k + n])
-    return np.unique(out)
+def shingles(text: str | None, width: int) -> np.ndarray:
+    """The distinct 64-bit hashes of all `width`-word shingles in lower case; one of all words where they are fewer."""
+    hashes = joined_words([(text or "").lower().encode("utf-8")])[3]
+    return np.unique(gram_hashes(hashes, min(width, len(hashes)))) if len(hashes) else hashes
 
 
 def bands(hashes: np.ndarray) -> np.ndarray:
@@ -44,26 +30,18 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     least = np.full(BANDS * ROWS, 2 ** 64 - 1, np.uint64)
     for at in range(0, len(hashes), 1024):
         least = np.minimum(least, (hashes[at:at + 1024, None] * _MULT + _ADD).min(axis=0))
-    return _mix((_mix(least).reshape(BANDS, ROWS) * _FOLD).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
-
-
-def _words(text: str | None) -> list[bytes]:
-    return (text or "").lower().encode("utf-8").split()
+    return mix((mix(least).reshape(BANDS, ROWS) * _FOLD).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
 
 
 def _prints(docs: DataFrame, width: int) -> DataFrame:
     def run(batches):
-        seen: dict = {}
         for batch in batches:
             same, sizes, keys = [], [], []
             for text in batch.column("text").to_pylist():
-                words = _words(text)
-                hashes = shingles(words, seen, width)
-                same.append(xxhash.xxh3_128_digest(b" ".join(words)))
+                hashes = shingles(text, width)
+                same.append(xxhash.xxh3_128_digest(b" ".join((text or "").lower().encode("utf-8").split())))
                 sizes.append(len(hashes))
                 keys.append(bands(hashes).view(np.int64) if len(hashes) else [])
-                if len(seen) > 1_000_000:
-                    seen.clear()
             yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("doc_id"), pa.array(same, pa.binary()),
                                               pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
                                              ["uid", "doc_id", "same", "size", "bands"])
@@ -71,21 +49,34 @@ def _prints(docs: DataFrame, width: int) -> DataFrame:
         run, "uid long, doc_id long, same binary, size long, bands array<long>")
 
 
-def _candidates(classes: DataFrame) -> DataFrame:
-    """(member, centre) of classes that share a band, of sizes that can reach 0.8 in similarity.
+def _near_size(a: str, b: str):
+    """Whether sets of these sizes can reach 0.8 in similarity."""
+    return F.least(a, b) * 5 >= F.greatest(a, b) * 4
+
+
+def _centre_pairs(keyed: DataFrame) -> DataFrame:
+    """(member, centre): each class with one class of each of its buckets, the same one wherever it lies."""
+    buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("rep").alias("h"), "rep", "size")).alias("c"))
+    buckets = materialize(buckets.where("n > 1").select("key", "n", F.col("c.rep").alias("centre"), F.col("c.size").alias("c_size")), "buckets")
+    met = lookup_join(keyed, buckets, "key", "n", keyed.count())
+    return met.where(_near_size("size", "c_size") & (F.col("rep") != F.col("centre"))).select(F.col("rep").alias("member"), "centre").distinct()
+
+
+def _cross_pairs(keyed: DataFrame, comp: DataFrame) -> DataFrame:
+    """(member, centre): the pairs of a bucket that no chain of links joins yet.
 
-    Of each bucket `CENTRES` random classes are centres (as a rule all pairs of a small
-    bucket); every band draws its own, so a large group meets many and grows linearly.
+    Classes of a bucket's largest component meet only those outside it, so a large group
+    of near copies adds no more pairs than its bucket has strangers.
     """
-    keyed = materialize(classes.select("rep", "size", F.explode("bands").alias("key")), "bands")
-    centres = [F.min(F.struct(F.xxhash64("rep", "key", F.lit(j)).alias("h"), "rep", "size"))
-               .alias(f"c{j}") for j in range(CENTRES)]
-    buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), *centres).where("n > 1")
-    buckets = materialize(buckets.select("key", "n", F.array_distinct(F.array(*[
-        F.struct(f"c{j}.rep", f"c{j}.size") for j in range(CENTRES)])).alias("centres")), "buckets")
-    met = lookup_join(keyed, buckets, "key", "n", keyed.count()).select("rep", "size", F.explode("centres").alias("c"))
-    fits = (F.least("size", "c.size") * 5 >= F.greatest("size", "c.size") * 4) & (F.col("rep") != F.col("c.rep"))
-    return met.where(fits).select(F.col("rep").alias("member"), F.col("c.rep").alias("centre")).distinct()
+    rooted = keyed.join(comp, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    rooted = materialize(rooted, "rooted")
+    parts = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
+    mixed = materialize(rooted.join(mixed.select("key", "main"), "key"), "mixed")
+    few = mixed.where("root <> main").select("key", F.col("rep").alias("member"), F.col("root").alias("m_root"), F.col("size").alias("m_size"))
+    both = few.join(mixed, "key").where((F.col("root") != F.col("m_root")) & _near_size("size", "m_size")
+                                        & ((F.col("root") == F.col("main")) | (F.col("member") < F.col("rep"))))
+    return both.select("member", F.col("rep").alias("centre")).distinct()
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
@@ -97,22 +88,19 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     right = counts.join(texts.select(F.col("uid").alias("centre"), F.col("text").alias("right")), "centre")
 
     def check(batches):
-        seen: dict = {}
         for batch in batches:
             held: dict = {}
             a, b = [], []
             for m, c, x, y in zip(*(batch.column(k).to_pylist() for k in ("member", "centre", "left", "right"))):
                 for k, text in ((m, x), (c, y)):
                     if k not in held:
-                        held[k] = shingles(_words(text), seen, width)
+                        held[k] = shingles(text, width)
                 shared = len(np.intersect1d(held[m], held[c], assume_unique=True))
                 if 5 * shared >= 4 * (len(held[m]) + len(held[c]) - shared):
                     a.append(min(m, c))
                     b.append(max(m, c))
                 if len(held) > 500:
                     held.clear()
-                if len(seen) > 1_000_000:
-                    seen.clear()
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return lookup_join(left, right, "centre", "n", pairs.count()).select("member", "centre", "left", "right") \
@@ -124,14 +112,24 @@ def first_of_groups(docs: DataFrame, width: int = 5) -> DataFrame:
 
     `uid` is a written, unique row id. Rows of the same lower-case words are one class;
     classes link where the Jaccard similarity of their shingle sets is 0.8 or more, found
-    by bands and checked on the sets. The first row by (doc_id, uid) stays, null ids last.
+    by bands and checked on the sets: first with one centre of each bucket, then between all
+    classes of a bucket that are not in one component yet, so no pair that shares a band
+    is left unchecked unless it is joined already. The first row by (doc_id, uid) stays, null ids last.
     Null and wordless texts are one class.
     """
     prints = materialize(_prints(docs, width), "prints")
     classes = materialize(prints.groupBy("same").agg(
         F.min("uid").alias("rep"), F.min("size").alias("size"), F.min("bands").alias("bands"),
         F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "uid")).alias("first")).drop("same"), "classes")
-    pairs = materialize(_candidates(classes), "pairs")
-    comp = components(_verified(pairs, docs, width)).select(F.col("node").alias("rep"), "root")
-    rooted = classes.select("rep", "first").join(comp, "rep", "left")
-    return rooted.groupBy(F.coalesce("root", "rep").alias("root")).agg(F.min("first").alias("first")).select("first.uid")
+    keyed = materialize(classes.select("rep", "size", F.explode("bands").alias("key")), "keyed")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    keyed = materialize(keyed.join(shared, "key", "left_semi"), "keyed")
+    comp = components(_verified(materialize(_centre_pairs(keyed), "pairs"), docs, width)).select(F.col("node").alias("rep"), "root")
+    late = _verified(materialize(_cross_pairs(keyed, comp), "pairs"), docs, width)
+    known = comp.select(F.col("rep").alias("uid"), "root")
+    bridges = late.join(known.withColumnsRenamed({"uid": "a", "root": "ra"}), "a", "left").join(known.withColumnsRenamed({"uid": "b", "root": "rb"}), "b", "left") \
+        .select(F.coalesce("ra", "a").alias("x"), F.coalesce("rb", "b").alias("y")).where("x <> y") \
+        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    upper = components(bridges).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    rooted = classes.select("rep", "first").join(comp, "rep", "left").withColumn("root", F.coalesce("root", "rep")).join(upper, "root", "left")
+    return rooted.groupBy(F.coalesce("top", "root").alias("root")).agg(F.min("first").alias("first")).select("first.uid")

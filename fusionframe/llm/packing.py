@@ -4,24 +4,93 @@ from __future__ import annotations
 
 import functools
 import zlib
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import load, materialize
+from .words import chunks
 
 WINDOW = 4096
-QUEUES = 1024
 BLOCK_WINDOWS = 64
+#: Fixed value: the pattern of the tokenizer's pre-tokens inside a word of lower-case text.
+PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+
+
+class WordIds:
+    """The tokenizer's ids of whole texts, put together from the ids of their words.
+
+    No pre-token crosses a space, tab, CR or LF, so a text's ids are those of its words.
+    New words are encoded in one joined call, cut where a word's last pre-token ends
+    (each pre-token ends with one id written with the end-of-word mark). The memo is
+    emptied beyond `most` words or letters / 16.
+    """
+
+    def __init__(self, path: str, most: int = 600_000):
+        from tokenizers import Tokenizer
+        self.tok, self.most = Tokenizer.from_file(path), most
+        vocab = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.marks = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.clear()
+
+    def clear(self):
+        self.place, self.letters, self.used = {"": 0}, 0, 0
+        self.ids, self.start, self.size = np.empty(0, "<u4"), np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def add(self, words: list[str]):
+        whole = [w for w in words if not any(m in w for m in self.marks)]
+        alone = [w for w in words if any(m in w for m in self.marks)]
+        counts = np.fromiter((len(PRE_TOKEN.findall(normalize("NFC", w).lower())) for w in whole), np.int64, len(whole))
+        joined = [" ".join(whole[i:i + 400]) for i in range(0, len(whole), 400)]
+        parts = [np.array(e.ids, "<u4") for e in self.tok.encode_batch_fast(joined + alone, add_special_tokens=False)]
+        flat = np.concatenate(parts[:len(joined)] or [np.empty(0, "<u4")])
+        cuts = np.concatenate(([0], np.flatnonzero(self.ends[flat]) + 1))
+        if len(cuts) - 1 != counts.sum():
+            if len(whole) > 1:  # letters that this pattern and the tokenizer class apart: find their word
+                half = len(whole) // 2
+                for part in (whole[:half], whole[half:] + alone):
+                    self.add(part)
+                return
+            whole, alone, counts, cuts = [], whole + alone, counts[:0], np.zeros(1, np.int64)
+            joined, parts = [], [np.array(e.ids, "<u4") for e in self.tok.encode_batch_fast(alone, add_special_tokens=False)]
+        at = cuts[np.concatenate(([0], np.cumsum(counts)))]
+        sizes = np.concatenate((np.diff(at), [len(p) for p in parts[len(joined):]])).astype(np.int64)
+        fresh = np.concatenate([flat[:cuts[-1]], *parts[len(joined):]])
+        for w in [*whole, *alone]:
+            self.place[w] = len(self.place)
+            self.letters += len(w)
+        self.start = np.concatenate((self.start, len(self.ids) + np.cumsum(sizes) - sizes))
+        self.size = np.concatenate((self.size, sizes))
+        self.ids = np.concatenate((self.ids, fresh))
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.place) > self.most or self.letters > 16 * self.most:
+            self.clear()
+        words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        new = list(set().union(*words).difference(self.place)) if words else []
+        if new:
+            self.add(new)
+        place, out = self.place, []
+        for w in words:
+            at = np.array([place[x] for x in w], np.int64)
+            size = self.size[at]
+            before = np.cumsum(size) - size
+            out.append(self.ids[np.arange(size.sum()) + np.repeat(self.start[at] - before, size)])
+        return out
 
 
 @functools.lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-    return Tokenizer.from_file(path)
+def word_ids(path: str) -> WordIds:
+    """One memo for each worker process, kept from task to task."""
+    return WordIds(path)
 
 
 def tokenizer_path() -> str:
@@ -29,7 +98,7 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def tokenize(docs: DataFrame, path: str, end_id: int = 2, batch: int = 64) -> DataFrame:
+def tokenize(docs: DataFrame, path: str, end_id: int = 2, batch_bytes: int = 1 << 20) -> DataFrame:
     """(doc_id, queue, doc_tokens, ids, part, at): ids as little-endian 16-bit numbers, closed by end_id.
 
     `at` is the row's place among its queue's tokens in this task's output `part`, so
@@ -38,16 +107,16 @@ def tokenize(docs: DataFrame, path: str, end_id: int = 2, batch: int = 64) -> Da
     def run(batches):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tok = _tokenizer(path)
+        coder, end = word_ids(path), np.array([end_id], "<u2")
         part, used = TaskContext.get().partitionId(), {}
         for rows in batches:
-            for i in range(0, rows.num_rows, batch):
-                some = rows.slice(i, batch)
-                texts = [t or "" for t in some.column("text").to_pylist()]
-                unique = list(dict.fromkeys(texts))
-                coded = {t: np.array([*e.ids, end_id], dtype="<u2") for t, e in
-                         zip(unique, tok.encode_batch_fast(unique, add_special_tokens=False))}
-                queues, ids, at = some.column("queue").to_pylist(), [coded[t] for t in texts], []
+            sizes = pc.fill_null(pc.binary_length(rows.column("text")), 0).to_pylist()
+            for i, j in chunks(sizes, batch_bytes):
+                some = rows.slice(i, j - i)
+                coded = coder.encode([t or "" for t in some.column("text").to_pylist()])
+                if any(x.size and x.max() > 65535 for x in coded):
+                    raise ValueError("ids must fit in 16 bits")
+                queues, ids, at = some.column("queue").to_pylist(), [np.concatenate((x.astype("<u2"), end)) for x in coded], []
                 for q, x in zip(queues, ids):
                     at.append(used.get(q, 0))
                     used[q] = at[-1] + len(x)
@@ -101,38 +170,37 @@ def fill_windows(segments: list[tuple[str, int]], window: int = WINDOW) -> list[
     return taken
 
 
-def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS,
-         queues: int = QUEUES) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """Pack rows of (doc_id, text, source) into windows of the corpus's own source mix.
 
-    Each source is a queue (with over `queues` sources, a hash of it); its tokens form
-    one line. The lines are cut into as many equal blocks as fill `block_windows`
-    windows together; block b of queue s ends at floor(total_s * (b + 1) / blocks), so
-    what a block owes of a token goes to the next block. Inside a block, deficit round-robin
+    Each source is a queue; its tokens form one line. The lines are cut into as many equal
+    blocks as fill `block_windows` windows together (more, where sources are so many that a block
+    could not hold two tokens of each); block b of queue s ends at floor(total_s * (b + 1) / blocks),
+    so what a block owes of a token goes to the next block. Inside a block, deficit round-robin
     fills the windows. Only a block's last window can be short.
     Returns one row per piece: doc_id, start, length, ids (16-bit), ids_crc32,
     doc_tokens, sequence_id, offset, padded_to (window, or the power of two above the fill).
     Null texts and sources are empty text and a queue of their own; an empty table gives no rows.
+    Repeated rows are packed each; other columns are left out.
     """
     path = path or tokenizer_path()
-    few = docs.select("source").distinct().limit(queues + 1).count() <= queues
     queue = F.coalesce(F.concat(F.lit("s:"), F.col("source").cast("string")), F.lit("null"))
-    if not few:
-        queue = F.pmod(F.xxhash64("source"), F.lit(queues)).cast("string")
     coded = materialize(tokenize(docs.select(F.col("doc_id").cast("long"), "text", queue.alias("queue")), path), "ids")
     parts = materialize(coded.groupBy("queue", "part").agg(F.sum("doc_tokens").alias("n")), "parts")
-    totals = {r.queue: r.n for r in parts.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # at most `queues` rows
-    blocks = max(1, -(-sum(totals.values()) // (block_windows * window - len(totals) - 1)))
+    totals = parts.groupBy("queue").agg(F.sum("n").alias("total"))
+    queues, tokens = totals.agg(F.count("*"), F.coalesce(F.sum("total"), F.lit(0))).first()
+    block_windows = max(block_windows, -(-2 * (queues + 1) // window))
+    blocks = max(1, -(-tokens // (block_windows * window - queues - 1)))
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    base = parts.select("queue", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    if parts.count() <= 200_000:
+    base = parts.select("queue", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")).join(totals, "queue")
+    if parts.count() <= 100_000:
         base = F.broadcast(base)
 
     def cut(batches):
         for rows in batches:
             out = []
             for r in rows.to_pylist():
-                total, first, n = totals[r["queue"]], r["base"] + r["at"], r["doc_tokens"]
+                total, first, n = r["total"], r["base"] + r["at"], r["doc_tokens"]
                 done = 0
                 while done < n:
                     block = ((first + done + 1) * blocks + total - 1) // total - 1

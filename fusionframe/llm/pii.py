@@ -6,22 +6,24 @@ import datetime as dt
 import hashlib
 import math
 import re
+import warnings
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import load
+from .common import all_but, load
 
 ROUNDS = 8
 FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
 DIGITS, LETTERS, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef"
 
 PATTERN = re.compile(
-    r"(?P<email>[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
+    r"(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
     r"|(?=[0-9A-Fa-f]{32})(?P<secret>(?<![0-9A-Za-z])(?:[0-9a-f]{40}|[0-9A-F]{40})(?![0-9A-Za-z]))"
     r"|(?=[0-9A-Fa-f]{32})(?P<hexkey>(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z]))"
     r"|(?=AKIA|gh[opsu]_|sk[_-]|xox)(?P<token>(?<![0-9A-Za-z_-])(?:AKIA[0-9A-Z]{16}|gh[opsu]_[0-9A-Za-z]{36,}|sk[_-][0-9A-Za-z_-]{20,}|xox[abprs]-[0-9A-Za-z-]{20,})(?![0-9A-Za-z_-]))"
+    r"|(?=[A-Z]{2}\d)(?P<iban>(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z]))"
     r"|(?=[\d+(])(?:(?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.]*\d))"
     r"|(?P<date>(?<!\d)(?:19|20)\d\d-\d\d-\d\d(?!\d))"
     r"|(?P<day>(?<![\d./])(?:\d{1,2}(?P<sep>[./])\d{1,2}(?P=sep)(?:19|20)\d\d|(?:19|20)\d\d(?P<gap>[./])\d\d(?P=gap)\d\d)(?![./]?\d))"
@@ -124,6 +126,31 @@ def _new_day(text: str, key: bytes) -> str | None:
     return None
 
 
+def new_ssn(text: str, key: bytes) -> str:
+    """The next valid number on the walk: area not 000, 666 or 9xx, group not 00, serial not 0000."""
+    value = int(text.replace("-", ""))
+    while True:
+        value = permute(value, 10 ** 9, key, "ssn")
+        area, group, serial = value // 10 ** 6, value // 10 ** 4 % 100, value % 10 ** 4
+        if area not in (0, 666) and area < 900 and group and serial:
+            return f"{area:03}-{group:02}-{serial:04}"
+
+
+def iban_check(country: str, account: str) -> str:
+    """The two check digits that make the rest 1 modulo 97."""
+    number = "".join(str(int(ch, 36)) for ch in account + country + "00")
+    return f"{98 - int(number) % 97:02}"
+
+
+def new_iban(text: str, key: bytes) -> str | None:
+    """An account number with permuted digits and new check digits; letters and spaces stay."""
+    compact = text.replace(" ", "")
+    if not 15 <= len(compact) <= 34 or iban_check(compact[:2], compact[4:]) != compact[2:4]:
+        return None
+    account = permute_class(text[4:], DIGITS, DIGITS, key, "iban")
+    return text[:2] + iban_check(text[:2], account.replace(" ", "")) + account
+
+
 def pseudonym(kind: str, text: str, key: bytes) -> str | None:
     """The replacement of one value; None where the value is not valid for its kind."""
     if kind == "email":
@@ -170,7 +197,9 @@ def pseudonym(kind: str, text: str, key: bytes) -> str | None:
     if kind == "ssn":
         if text[:3] in ("000", "666") or text[0] == "9" or text[4:6] == "00" or text[7:] == "0000":
             return None
-        return permute_class(text, DIGITS, DIGITS, key, "ssn")
+        return new_ssn(text, key)
+    if kind == "iban":
+        return new_iban(text, key)
     digits = "".join(ch for ch in text if ch.isdigit())
     if luhn_digit(digits[:-1]) != digits[-1]:
         return None
@@ -196,6 +225,8 @@ def mask_text(text: str | None, key: bytes) -> tuple[str | None, int]:
                     found += 1
                     return new + PATTERN.sub(swap, text[cut:])
             return text[:1] + PATTERN.sub(swap, text[1:])
+        if kind == "iban" and pseudonym(kind, text, key) is None:
+            return text[:2] + PATTERN.sub(swap, text[2:])
         if kind == "card":
             out, last = [], 0
             for start, end in card_spans(text):
@@ -209,8 +240,20 @@ def mask_text(text: str | None, key: bytes) -> tuple[str | None, int]:
     return PATTERN.sub(swap, text), found
 
 
-def pseudonymize(docs: DataFrame, key: bytes = b"change-me") -> DataFrame:
-    """Replace `text` and add `pii_found`; every other column and row stays.
+#: For queries on test tables only. Anyone can undo a permutation under a published key.
+TEST_KEY = b"change-me"
+
+
+def session_key(spark) -> bytes:
+    """The secret of spark.fusionframe.pseudonymKey; where it is unset, the test key with a warning."""
+    secret = spark.conf.get("spark.fusionframe.pseudonymKey", None)
+    if not secret:
+        warnings.warn("spark.fusionframe.pseudonymKey is unset: pseudonyms use the published test key")
+    return secret.encode("utf-8") if secret else TEST_KEY
+
+
+def pseudonymize(docs: DataFrame, key: bytes) -> DataFrame:
+    """Replace `text` and add `pii_found`, in place of any column of that name; every other column and row stays.
 
     Equal values get equal pseudonyms in all documents under one key. Null texts stay null, with 0 found.
     """
@@ -218,9 +261,10 @@ def pseudonymize(docs: DataFrame, key: bytes = b"change-me") -> DataFrame:
     def run(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([mask_text(t, key) for t in texts], columns=["text", "found"])
 
-    return (docs.withColumn("_p", run("text")).withColumn("text", F.col("_p.text"))
-            .withColumn("pii_found", F.col("_p.found")).drop("_p"))
+    order = [F.col("_p.text").alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns if c.lower() != "pii_found"]
+    packed = docs.select(F.struct(*all_but(docs, "pii_found")).alias("_row"), run("text").alias("_p"))
+    return packed.select(*order, F.col("_p.found").alias("pii_found"))
 
 
 def op7_pseudonyms(spark, sf_dir) -> DataFrame:
-    return pseudonymize(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pseudonymize(load(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark))

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, StringType, StructField, StructType
 
-from .common import load, shared_dir
+from .common import all_but, load, new_path, quoted
 
 
 def rendezvous_shard(key: Column, shards: int, seed: int) -> Column:
@@ -19,7 +17,7 @@ def rendezvous_shard(key: Column, shards: int, seed: int) -> Column:
 
 def _row_bytes(df: DataFrame) -> Column:
     """About the bytes of a row: its strings, and 8 for each column."""
-    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if isinstance(f.dataType, (StringType, BinaryType))]
+    texts = [F.coalesce(F.octet_length(quoted(f.name)), F.lit(0)) for f in df.schema if isinstance(f.dataType, (StringType, BinaryType))]
     return sum(texts, F.lit(8 * len(df.columns))).cast("long")
 
 
@@ -28,24 +26,29 @@ def write_shards(df: DataFrame, path: str, key: str, order: list[str], shards: i
     """Scatter whole rows into buckets of their shard, shuffle each bucket, and write the shards.
 
     Pass 1 sends every row to a bucket of about `bucket_bytes` of its shard by a seeded
-    hash of `order` and the row's own number, so identical rows part too, and a shard
-    with more bytes (one key with many rows) has more buckets. Pass 2 shuffles each
+    hash of `order`, and a shard with more bytes (one key with many rows) has more buckets.
+    Rows alike in `order` that are over 1/1000 of all rows are dealt by their number as well, so that
+    they part; all other places depend on rows and seed alone, not on how the input is split. Pass 2 shuffles each
     bucket (Spark's `shuffle` is a Fisher-Yates) and writes the columns of `df` with
     `grown_shard` (with one more shard), `bucket` and `place` to the folder of the shard,
     each file in this order. `order` fixes a row's place before the shuffle. A null key
     is a key of its own.
     """
     cols = df.columns
-    shard = rendezvous_shard(F.col(key), shards, seed)
-    sizes = {r.shard: r.bytes for r in df.groupBy(shard.alias("shard")).agg(F.sum(_row_bytes(df)).alias("bytes")).collect()}
+    shard = rendezvous_shard(F.col(quoted(key)), shards, seed)
+    rows = df.groupBy(shard.alias("shard")).agg(F.sum(_row_bytes(df)).alias("bytes"), F.count("*").alias("n")).collect()  # one for each shard
+    sizes = {r.shard: r.bytes for r in rows}
     buckets = [max(1, -(-sizes.get(s, 0) // bucket_bytes)) for s in range(shards)]
-    keys = [F.col(c) for c in order]
-    placed = df.withColumn("_uid", F.monotonically_increasing_id()).select(
-        F.struct(*[F.col(c) for c in cols]).alias("_row"),
-        F.struct(F.xxhash64(*keys, F.lit(seed)).alias("h"), F.col("_uid")).alias("_ord"),
-        F.xxhash64(*keys, "_uid", F.lit(seed + 1)).alias("_deal"),
+    keys = [F.col(quoted(c)) for c in order]
+    deal = F.xxhash64(*keys, F.lit(seed + 1))
+    alike = df.groupBy(deal.alias("deal")).agg(F.count("*").alias("n"))
+    often = [r.deal for r in alike.where(F.col("n") * 1000 > F.lit(sum(r.n for r in rows))).where("n > 1").collect()]  # at most 1000
+    number = F.when(deal.isin(often), F.monotonically_increasing_id()) if often else F.lit(None).cast("long")
+    placed = df.select(
+        F.struct(*[F.col(quoted(c)).alias(c) for c in cols]).alias("_row"), F.xxhash64(*keys, F.lit(seed)).alias("_ord"),
+        F.xxhash64(deal, number).alias("_deal"),
         shard.alias("shard"),
-        rendezvous_shard(F.col(key), shards + 1, seed).alias("grown_shard"),
+        rendezvous_shard(F.col(quoted(key)), shards + 1, seed).alias("grown_shard"),
     ).withColumn("bucket", F.pmod("_deal", F.array(*[F.lit(n) for n in buckets])[F.col("shard")]).cast("int")).drop("_deal")
     packed = (
         placed.repartition(sum(buckets), "shard", "bucket").groupBy("shard", "bucket")
@@ -73,14 +76,15 @@ def external_shuffle(df: DataFrame, key: str, order: list[str], shards: int = 24
 
     Returns the columns of `df` as written, with `shard`, `slot` and `grown_shard`. Slots
     are counted on the written rows, so a recomputed task cannot shift them. An empty
-    table gives an empty result.
+    table gives an empty result. Columns of `df` named like one of the added ones are left out.
     """
+    df = df.select(*all_but(df, "shard", "slot", "grown_shard", "bucket", "place"))
     spark, cols = df.sparkSession, df.columns
-    path = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    path = new_path(spark, "shards")
     write_shards(df, path, key, order, shards, seed, bucket_bytes)
     added = [StructField(name, IntegerType()) for name in ("grown_shard", "bucket", "place", "shard")]
     schema = StructType([*df.schema.fields, *added])
-    return read_shards(spark, path, schema).select(*cols, "shard", "slot", "grown_shard")
+    return read_shards(spark, path, schema).select(*map(quoted, cols), "shard", "slot", "grown_shard")
 
 
 def op5_external_shuffle(spark, sf_dir) -> DataFrame:

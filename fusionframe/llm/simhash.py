@@ -80,6 +80,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     and rounds go on until the edge set no longer changes.
     """
     edges = materialize(links.select("a", "b"), "edges")
+    if edges.isEmpty():
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     before = None
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

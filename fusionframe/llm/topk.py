@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import load
 
-LEVELS = (4, 16)
+LEVELS = (4, 16, 32)
 OUT = "query_id long, vec_id long, score long"
 
 
@@ -89,10 +89,9 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, block_rows: int = 1024, quer
     its own id, and ties go to the smaller id. Null vectors or ids must be filtered before.
     """
     n, n_queries = vectors.agg(F.count("*"), F.count_if(is_query)).first()
-    c_rows = min(16384, max(block_rows, n_queries))
-    c_blocks, q_blocks = max(1, -(-n // c_rows)), max(1, -(-n_queries // query_rows))
-    # Few vectors still use all cores; the number of groups stays proportional to the rows.
-    c_blocks = max(c_blocks, -(-n // block_rows))
+    q_blocks = max(1, -(-n_queries // query_rows))
+    # Blocks of 16384 candidates; smaller ones only as long as they are at most 64, so that few vectors use all cores.
+    c_blocks = max(1, -(-n // 16384), min(64, -(-n // block_rows)))
 
     def expand(count):
         return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))

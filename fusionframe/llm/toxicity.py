@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import math
 import re
 from collections import Counter
 
@@ -12,38 +13,69 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import load, materialize
+from .common import all_but, load, materialize
 from .langid import held_out
 
 WORD = re.compile(r"\w+|[\"“”«»]")
-LETTERS = re.compile(r"(?<!\w)\w{3,32}(?!\w)")
+LETTERS = re.compile(r"\w{3,}")
 QUOTES = frozenset('"“”«»')
 #: Words that report or question a term instead of using it.
 REPORTING = frozenset("said says called quote quoted word term slur reported wrote".split())
 FEATURES = 5
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic) of the labelled rows, one of each text.
+def labelled_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> DataFrame:
+    """(text, toxic) of labelled rows, one of each text: a bounded sample to fit on.
 
-    A text under both labels counts as toxic; rows with null text or label are left out.
+    About `sample_rows` labelled doc_ids, picked by a hash of the id before any text is read; so
+    few are broadcast, and only their texts move. A text under both labels counts as
+    toxic; rows with null text or label are left out.
     """
-    marks = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    joined = docs.where("text is not null").select("doc_id", "text").join(marks, "doc_id")
-    return joined.groupBy("text").agg(F.max("toxic").alias("toxic"))
+    marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    n = marks.count()
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6
+    picked = marks.where(place < min(1.0, sample_rows / max(1, n)))
+    joined = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    return joined.groupBy(F.md5("text").alias("same")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).drop("same")
 
 
-def learn_lexicon(rows: DataFrame, max_terms: int = 512, min_rows: int = 4, min_share: float = 0.02,
-                  ratio: float = 12.0) -> list[str]:
-    """Terms far more frequent in toxic rows: at most `max_terms`, by weight of evidence.
+def terms_of(text: str) -> Counter:
+    """Words of 3 letters or more, and the starts of 4 to 8 letters of longer ones with a closing `*`, with their counts."""
+    held = Counter(LETTERS.findall(text.lower()))
+    for word, n in list(held.items()):
+        for k in range(4, min(8, len(word)) + 1):
+            held[word[:k] + "*"] += n
+    return held
 
-    A term is a whole word, or a stem of 4 to 8 letters at the start of words, written with a
-    closing `*`. Its evidence is the rows that hold it, or the rows that hold it at least twice:
-    at least `min_rows` toxic rows and `min_share` of all toxic rows. Of terms with the same
-    start, only the one with most evidence stays.
+
+def choose_terms(tallies: list[tuple], n_toxic: int, n_clean: int, candidates: int, alpha: float = 0.05) -> list[str]:
+    """Terms whose rows are toxic beyond chance.
+
+    `tallies` holds (term, toxic, clean) rows with the term, and with it twice. A term stays if its
+    log-likelihood ratio passes a test at level alpha / candidates and its odds are 12 or more. Of
+    stems that start alike only the strongest stays; whole words under a stem stay too, for misspellings.
     """
+    limit = 2 * math.log(max(1, candidates) / alpha)
+    share = n_toxic / max(1, n_toxic + n_clean)
+
+    def weight(t, c):
+        if t < 2 or not 0 < share < 1 or (t / n_toxic) < 12 * (c + 0.5) / n_clean:
+            return 0.0
+        g = 2 * (t * math.log(t / ((t + c) * share)) + (c * math.log(c / ((t + c) * (1 - share))) if c else 0.0))
+        return g if g >= limit else 0.0
+
+    scored = [(max(weight(t1, c1), weight(t2, c2)), term) for term, t1, c1, t2, c2 in tallies]
+    ranked = sorted(((w, t) for w, t in scored if w), key=lambda x: (-x[0], x[1].endswith("*"), -len(x[1]), x[1]))
+    stems: list[str] = []
+    for _, term in ranked:
+        if term.endswith("*") and not any(term[:-1].startswith(k) or k.startswith(term[:-1]) for k in stems):
+            stems.append(term[:-1])
+    return [t for _, t in ranked if not t.endswith("*")] + [s + "*" for s in stems]
+
+
+def learn_lexicon(rows: DataFrame, alpha: float = 0.05) -> list[str]:
+    """The terms of `choose_terms` over all rows of (text, toxic); as many as the bounded sample can hold."""
     sizes = rows.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
-    n_toxic, n_clean = sizes[0] or 1, sizes[1] or 1
     names = ["t1", "c1", "t2", "c2"]
 
     def tally(batches):
@@ -57,54 +89,37 @@ def learn_lexicon(rows: DataFrame, max_terms: int = 512, min_rows: int = 4, min_
 
         for batch in batches:
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                held = Counter(LETTERS.findall(text.lower()))
-                for word, n in list(held.items()):
-                    for k in range(4, min(8, len(word)) + 1):
-                        held[word[:k] + "*"] += n
                 side = 0 if toxic == 1 else 1
-                for term, n in held.items():
-                    cell = counts.get(term)
-                    if cell is None:
-                        cell = counts[term] = [0, 0, 0, 0]
+                for term, n in terms_of(text).items():
+                    cell = counts.setdefault(term, [0, 0, 0, 0])
                     cell[side] += 1
-                    if n > 1:
-                        cell[side + 2] += 1
+                    cell[side + 2] += n > 1
                 if len(counts) > 300_000:
                     yield flush()
         if counts:
             yield flush()
 
-    per = rows.select("text", "toxic").mapInArrow(tally, "term string, t1 long, c1 long, t2 long, c2 long") \
-        .groupBy("term").agg(*[F.sum(c).alias(c) for c in names])
-
-    def weight(t, c):
-        odds = (F.col(t) / n_toxic) / ((F.col(c) + 0.5) / n_clean)
-        return F.when((F.col(t) >= max(min_rows, min_share * n_toxic)) & (odds >= ratio), F.col(t) * F.log(odds))
-
-    best = per.withColumn("weight", F.greatest(weight("t1", "c1"), weight("t2", "c2"))).where("weight is not null")
-    ranked = best.orderBy(F.desc("weight"), F.col("term").endswith("*"), F.desc(F.length("term")), "term").limit(max_terms)
-    kept: list[str] = []
-    for term in (r.term for r in ranked.collect()):
-        def covers(a, b):
-            return a.endswith("*") and b.startswith(a[:-1])
-        if not any(covers(k, term) or covers(term, k) for k in kept):
-            kept.append(term)
-    return kept
+    per = materialize(rows.select("text", "toxic").mapInArrow(tally, "term string, t1 long, c1 long, t2 long, c2 long")
+                      .groupBy("term").agg(*[F.sum(c).alias(c) for c in names]).where("t1 > 1"), "terms")
+    candidates = per.count()
+    likely = per.where(f"t1 * {sizes[1] or 1} >= 12 * (c1 + 0.5) * {sizes[0] or 1} or t2 * {sizes[1] or 1} >= 12 * (c2 + 0.5) * {sizes[0] or 1}")
+    return choose_terms([tuple(r) for r in likely.select("term", *names).collect()], sizes[0], sizes[1], candidates, alpha)
 
 
 class LexiconTrie:
     """Terms as a trie, walked together with the Levenshtein automaton of a word."""
 
-    def __init__(self, terms, min_fuzzy: int = 5):
-        self.root, self.min_fuzzy = {}, min_fuzzy
+    def __init__(self, terms, min_fuzzy: int = 5, min_stem: int = 5):
+        self.root, self.min_fuzzy, self.min_stem = {}, min_fuzzy, min_stem
         for term in terms:
             node = self.root
             for ch in term.rstrip("*"):
                 node = node.setdefault(ch, {})
-            node["stem" if term.endswith("*") else ""] = len(term)
+            node["stem" if term.endswith("*") else ""] = len(term.rstrip("*"))
 
     def match(self, word: str) -> int:
-        """2 for a term or a word with a stem, 1 for a word within one edit of a word of at least `min_fuzzy` letters, else 0."""
+        """2 for a term or a word with a stem, 1 for one edit away from a word of at least `min_fuzzy`
+        letters or from a word that starts with a stem of at least `min_stem`, else 0."""
         node = self.root
         for ch in word:
             node = node.get(ch)
@@ -115,13 +130,13 @@ class LexiconTrie:
         if node and "" in node:
             return 2
         size = len(word)
-        if not self.min_fuzzy - 1 <= size <= 33:
+        if size < min(self.min_fuzzy, self.min_stem) - 1:
             return 0
         # A state of the automaton is (letters read, edits used); it moves on with the trie node.
         stack = [(self.root, 0, 0)]
         while stack:
             node, i, edits = stack.pop()
-            if size - i + edits <= 1 and node.get("", 0) >= self.min_fuzzy:
+            if node.get("stem", 0) >= self.min_stem or (size - i + edits <= 1 and node.get("", 0) >= self.min_fuzzy):
                 return 1
             if i < size and word[i] in node:
                 stack.append((node[word[i]], i + 1, edits))
@@ -166,30 +181,33 @@ def features(text: str | None, terms: tuple, window: int = 6) -> list[float]:
             float(exact + fuzzy > 0)]
 
 
-def fit(rows: DataFrame, terms: list[str], sample_rows: int = 20_000, rounds: int = 60) -> list[float]:
-    """Weights of a logistic model of the features, on about `sample_rows` labelled rows picked by text hash."""
+def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> np.ndarray:
+    """Weights of a ridge logistic model by Newton's method."""
+    w = np.zeros(x.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        hessian = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(w))
+        w -= np.linalg.solve(hessian, x.T @ (p - y) + 0.1 * w)
+    return w
+
+
+def fit(rows: DataFrame, terms: list[str]) -> list[float]:
+    """Weights of a logistic model of the features of all rows of the bounded sample; only features reach the driver."""
     terms = tuple(terms)
-    n = rows.count()
-    if not n:
-        return [0.0] * FEATURES + [-3.0]
 
     @F.pandas_udf("array<double>")
     def extract(texts: pd.Series) -> pd.Series:
         return pd.Series([features(t, terms) for t in texts])
 
-    place = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / 1e6
-    sample = rows.where(place < min(1.0, sample_rows / n)).select("toxic", extract("text").alias("x")).toPandas()
+    sample = rows.select("toxic", extract("text").alias("x")).toPandas()
+    if not len(sample):
+        return [0.0] * FEATURES + [-3.0]
     x = np.c_[np.array(sample["x"].tolist()).reshape(len(sample), FEATURES), np.ones(len(sample))]
-    y, w = sample["toxic"].to_numpy(float), np.zeros(FEATURES + 1)
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(FEATURES + 1)
-        w -= np.linalg.solve(hessian, x.T @ (p - y) + 0.1 * w)
-    return w.tolist()
+    return logistic(x, sample["toxic"].to_numpy(float)).tolist()
 
 
 def score_toxicity(docs: DataFrame, terms: list[str], weights: list[float]) -> DataFrame:
-    """Add `score` (0 to 1) to rows with a `text`; null and empty texts score as having no hit."""
+    """Add `score` (0 to 1), in place of any column of that name, to rows with a `text`; null and empty texts score as having no hit."""
     terms, w = tuple(terms), np.array(weights)
 
     @F.pandas_udf("double")
@@ -197,7 +215,8 @@ def score_toxicity(docs: DataFrame, terms: list[str], weights: list[float]) -> D
         x = np.array([[*features(t, terms), 1.0] for t in texts]).reshape(len(texts), FEATURES + 1)
         return pd.Series(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))))
 
-    return docs.withColumn("score", score("text"))
+    packed = docs.select(F.struct(*all_but(docs, "score")).alias("_row"), score("text").alias("_s"))
+    return packed.select("_row.*", F.col("_s").alias("score"))
 
 
 def train_and_score(docs: DataFrame, training: DataFrame, labels: DataFrame) -> DataFrame:

@@ -9,14 +9,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import load
+from .common import all_but, load
 
 #: (verdict, host, path prefix)
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
          ("block", "net", "/es/"), ("block", "net", "/fr/")]
 #: Terms that reject alone, and terms of which two distinct ones reject.
-STRICT = ("porn", "xxx", "hentai", "escort", "camgirl", "viagra", "casino")
-SOFT = ("adult", "sex", "nude", "bet", "poker", "slots", "pills", "cheap", "loan", "dating", "hot", "free", "torrent", "crack")
+STRICT = ("porn", "porno", "pornos", "pornografia", "pornographie", "xxx", "hentai", "escort", "escorts", "camgirl", "camgirls", "milf",
+          "viagra", "cialis", "casino", "casinos", "kasino", "spielhalle", "putas", "nutten", "warez", "keygen")
+SOFT = ("adult", "adulto", "adultos", "adulte", "adultes", "erotik", "erotic", "erotica", "sex", "sexe", "sexo", "nude", "nudes", "nackt",
+        "desnuda", "bet", "bets", "wetten", "apuestas", "paris-sportifs", "poker", "slots", "pills", "pillen", "pastillas", "pilules",
+        "cheap", "billig", "barato", "loan", "kredit", "prestamo", "dating", "citas", "rencontres", "hot", "free", "gratis", "gratuit",
+        "torrent", "torrents", "crack", "cracked", "serial")
 
 
 @functools.lru_cache(maxsize=8)
@@ -31,12 +35,12 @@ def _automaton(strict: tuple, soft: tuple):
 
 
 def term_hits(url: str | None, strict: tuple, soft: tuple) -> tuple[int, int]:
-    """Distinct strict and soft terms that stand between non-letters (or the ends)."""
+    """Distinct strict and soft terms that stand between characters other than letters and digits (or the ends)."""
     text = (url or "").lower()
     found = {True: set(), False: set()}
     for end, (term, is_strict) in _automaton(strict, soft).iter(text):
         start = end - len(term) + 1
-        if (start == 0 or not text[start - 1].isalpha()) and (end + 1 == len(text) or not text[end + 1].isalpha()):
+        if (start == 0 or not text[start - 1].isalnum()) and (end + 1 == len(text) or not text[end + 1].isalnum()):
             found[is_strict].add(term)
     return len(found[True]), len(found[False])
 
@@ -54,7 +58,8 @@ def judge_urls(pages: DataFrame, rules=RULES, strict=STRICT, soft=SOFT, soft_lim
     """Add host, path, rule and verdict to rows with a `url`.
 
     The longest fitting rule decides; without one, the vocabulary does: one strict
-    term or `soft_limit` distinct soft terms block. A null url has no terms: allow.
+    term or `soft_limit` distinct soft terms block. A null url has no terms: allow. Columns with the
+    names of the new ones are replaced. The vocabulary (English, German, Spanish, French) is an argument.
     """
     strict, soft = tuple(strict), tuple(soft)
 
@@ -70,8 +75,8 @@ def judge_urls(pages: DataFrame, rules=RULES, strict=STRICT, soft=SOFT, soft_lim
     blocked = (F.col("_hits.strict") > 0) | (F.col("_hits.soft") >= soft_limit)
     method = F.when(blocked, "block").otherwise("allow")
     return (
-        pages.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
-        .withColumn("_hits", hits("url"))
+        pages.select(*all_but(pages, "host", "path", "rule", "verdict", "strict_hits", "soft_hits"), host_of(F.col("url")).alias("host"),
+                     path_of(F.col("url")).alias("path"), hits("url").alias("_hits"))
         .withColumn("rule", rule if rule is not None else F.lit(None).cast("string"))
         .withColumn("verdict", F.coalesce(verdict, method) if verdict is not None else method)
         .withColumn("strict_hits", F.col("_hits.strict")).withColumn("soft_hits", F.col("_hits.soft")).drop("_hits")

@@ -29,7 +29,7 @@ def test_edge_cases_do_not_crash(spark, edge):
     n = edge.count()
     assert simhash.near_duplicates(edge.select("doc_id", "text")).count() == n
     assert substrings.remove_repeats(edge).count() == n
-    assert pii.pseudonymize(edge).count() == n
+    assert pii.pseudonymize(edge, b"k").count() == n
     assert sharding.external_shuffle(edge, "doc_id", ["doc_id", "text"]).count() == n
     assert langid.identify(edge, langid.learn(edge.withColumnRenamed("source", "lang"))).count() == n
     labels = spark.createDataFrame([(4, 1), (7, None)], "doc_id long, toxic int")
@@ -96,7 +96,7 @@ def test_links_equal_all_pairs(spark, radius):
 
 
 def test_packing_round_trip(spark, docs):
-    tok = packing._tokenizer(packing.tokenizer_path())
+    tok = packing.word_ids(packing.tokenizer_path()).tok
     ids = {r.doc_id: [*tok.encode(r.text or "", add_special_tokens=False).ids, 2] for r in docs}
     seen, sequences = defaultdict(list), defaultdict(list)
     for r in packing.op3_packing(spark, SF).collect():
@@ -155,7 +155,7 @@ def test_substrings_equal_brute_force(spark, docs):
         kept = b" ".join(x for i, x in enumerate(w) if i not in gone)
         want[d] = (len(w), len(gone), hashlib.sha256(kept).hexdigest())
     frame = spark.read.parquet(f"{SF}/documents.parquet")
-    for group_rows in (20_000, 1):
+    for group_rows in (256, 4, 1):
         got = {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest())
                for r in substrings.remove_repeats(frame, group_rows).collect()}
         assert got == want
@@ -204,11 +204,91 @@ def test_trie_equals_edit_distance():
 
 def test_stems_match_word_starts_only():
     trie = toxicity.LexiconTrie(["blark*", "moron"])
-    assert [trie.match(w) for w in ("blark", "blarkish", "blorkish", "xblark", "blar", "", "morons")] == [2, 2, 0, 0, 0, 0, 1]
+    assert [trie.match(w) for w in ("blark", "blarkish", "blorkish", "xblark", "blar", "", "morons")] == [2, 2, 1, 1, 1, 0, 1]
 
 
 def test_lexicon_keeps_repeated_stems(spark):
     rows = [(f"blark{a} blark{b} plain word{i}", 1) for i, (a, b) in enumerate(["onu tep".split(), "iri oss".split()] * 4)]
     rows += [(f"plain word{i} blark{'aeiou'[i % 5]}z{i}", 0) for i in range(30)]
     terms = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"))
-    assert [t for t in terms if t.startswith("blark")] == ["blark*"]
+    assert [t for t in terms if t.startswith("blark") and t.endswith("*")] == ["blark*"]
+
+
+def test_word_ids_equal_the_tokenizer():
+    coder = packing.WordIds(packing.tokenizer_path(), most=300)
+    rng = np.random.default_rng(5)
+    letters = list("aBcé ñ\u0301İß’'-.,09\t\n\r\u00a0\x1c\x0b漢字🙂s") + ["don't", "<|endoftext|>", "we'll", "X" * 300]
+    for _ in range(40):
+        texts = ["".join(rng.choice(letters, 60)) for _ in range(5)] + [""]
+        want = [e.ids for e in coder.tok.encode_batch(texts, add_special_tokens=False)]
+        assert [x.tolist() for x in coder.encode(texts)] == want
+
+
+def test_leak_recall_and_precision(spark):
+    rng = np.random.default_rng(8)
+    vocab = [f"v{i}" for i in range(3000)]
+    items, docs, want = [], [], {}
+    for n, size in enumerate([13, 16, 20, 30, 60] * 30):
+        words = list(rng.choice(vocab, size))
+        items.append((n, " ".join(words)))
+        for share in (0.0, 0.1, 0.2):
+            copy = list(words)
+            for at in rng.choice(size, int(share * size), replace=False):
+                copy[at] = "zz"
+            docs.append((len(docs), " ".join([*rng.choice(vocab, 20), *copy, *rng.choice(vocab, 20)])))
+            want[len(docs) - 1] = (n, share)
+    clean = [(10_000 + i, " ".join(rng.choice(vocab, 80))) for i in range(200)]
+    got = {r.doc_id: r.leaked_items for r in decontamination.find_leaks(
+        spark.createDataFrame(docs + clean, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    recall = {s: np.mean([n in got[d] for d, (n, share) in want.items() if share == s]) for s in (0.0, 0.1, 0.2)}
+    print("recall by substitutions", recall)
+    assert min(recall.values()) >= 0.9 and recall[0.0] == 1
+    assert not any(got[d] for d, _ in clean)
+
+
+def test_overlap_equals_all_stretches():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        same = rng.random(40) < 0.75
+        item = np.arange(40)
+        doc = np.where(same, item, -1)
+        hits = np.concatenate(([0], np.cumsum(same)))
+        want = any(hits[j] - hits[i] >= 13 and 10 * (hits[j] - hits[i]) >= 8 * (j - i) for i in range(40) for j in range(i + 1, 41))
+        assert decontamination.overlap(doc, item, 13, 0.8) == want
+
+
+def test_slots_do_not_depend_on_the_input_split(spark):
+    frame = spark.createDataFrame([(i, f"text {i}") for i in range(3000)], "doc_id long, text string")
+    seen = [{(r.doc_id, r.shard, r.slot) for r in sharding.external_shuffle(frame.repartition(n), "doc_id", ["doc_id", "text"]).collect()}
+            for n in (2, 7)]
+    assert seen[0] == seen[1] and len(seen[0]) == 3000
+
+
+def test_trees_equal_counts_of_windows():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        rows = [(list(rng.integers(0, 2, int(n) + 4)), int(n), int(c)) for n, c in zip(rng.integers(1, 6, 8), rng.integers(1, 3, 8))]
+        count = Counter()
+        for words, n, c in rows:
+            for i in range(n):
+                count[tuple(words[i:i + 5])] += c
+        want = [sum(1 << i for i in range(n) if count[tuple(words[i:i + 5])] > 1) for words, n, _ in rows]
+        assert substrings.subtree_repeats(rows, 5) == want
+
+
+def test_pseudonyms_stay_valid():
+    for n in range(1, 900):
+        if n != 666:
+            new, found = pii.mask_text(f"id {n:03}-12-3456.", b"k")
+            assert found and pii.mask_text(new, b"k")[1] == 1
+    out, found = pii.mask_text("to GB82 WEST 1234 5698 7654 32 or DE89370400440532013000, not GB82 WEST 1234 5698 7654 33", b"k")
+    assert found == 2 and out.endswith("7654 33") and pii.mask_text(out, b"k")[1] == 2
+    import time
+    start = time.perf_counter()
+    pii.mask_text("a" * 1_000_000, b"k")
+    assert time.perf_counter() - start < 20
+
+
+def test_lost_languages(spark):
+    rows = [("x y", "aa")] * 500 + [("u v", f"l{i}") for i in range(300)]
+    assert len(langid.learn(spark.createDataFrame(rows, "text string, lang string"), sample_rows=4)) == 301
