@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .common import all_but, load, materialize
 from .langid import held_out
+from .minhash import shingles
 
 WORD = re.compile(r"\w+|[\"“”«»]")
 LETTERS = re.compile(r"\w{3,}")
@@ -22,21 +23,37 @@ QUOTES = frozenset('"“”«»')
 #: Words that report or question a term instead of using it.
 REPORTING = frozenset("said says called quote quoted word term slur reported wrote".split())
 FEATURES = 5
+FAMILY = 4
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> DataFrame:
     """(text, toxic) of labelled rows, one of each text: a bounded sample to fit on.
 
     About `sample_rows` labelled doc_ids, picked by a hash of the id before any text is read; so
-    few are broadcast, and only their texts move. A text under both labels counts as
-    toxic; rows with null text or label are left out.
+    few are broadcast, and only their texts move. Of near copies one row stays (those that share one
+    of `FAMILY` least hashes of five-word shingles), as they are no evidence of their own. A text
+    under both labels counts as toxic; rows with null text or label are left out.
     """
     marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = marks.count()
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6
     picked = marks.where(place < min(1.0, sample_rows / max(1, n)))
     joined = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    return joined.groupBy(F.md5("text").alias("same")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).drop("same")
+    rows = joined.groupBy(F.md5("text").alias("same")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
+
+    def least_hashes(batches):
+        for batch in batches:
+            least = []
+            for text in batch.column("text").to_pylist():
+                h = shingles(text, 5)
+                least.append([int((h * np.uint64(2 * k + 3)).min() >> np.uint64(1)) if len(h) else 0 for k in range(FAMILY)])
+            yield batch.append_column("least", pa.array(least, pa.list_(pa.int64())))
+
+    rows = rows.mapInArrow(least_hashes, "same string, text string, toxic int, least array<long>")
+    for k in range(FAMILY):  # at most `sample_rows` rows
+        first = F.min_by(F.struct("same", "text", "toxic", "least"), F.struct(-F.col("toxic"), F.col("same")))
+        rows = rows.groupBy(F.col("least")[k]).agg(first.alias("r")).select("r.*")
+    return rows.select("text", "toxic")
 
 
 def terms_of(text: str) -> Counter:
@@ -53,7 +70,7 @@ def choose_terms(tallies: list[tuple], n_toxic: int, n_clean: int, candidates: i
 
     `tallies` holds (term, toxic, clean) rows with the term, and with it twice. A term stays if its
     log-likelihood ratio passes a test at level alpha / candidates and its odds are 12 or more. Of
-    stems that start alike only the strongest stays; whole words under a stem stay too, for misspellings.
+    stems that start alike only the strongest stays; whole words under a stem too short for misspellings stay too.
     """
     limit = 2 * math.log(max(1, candidates) / alpha)
     share = n_toxic / max(1, n_toxic + n_clean)
@@ -70,7 +87,8 @@ def choose_terms(tallies: list[tuple], n_toxic: int, n_clean: int, candidates: i
     for _, term in ranked:
         if term.endswith("*") and not any(term[:-1].startswith(k) or k.startswith(term[:-1]) for k in stems):
             stems.append(term[:-1])
-    return [t for _, t in ranked if not t.endswith("*")] + [s + "*" for s in stems]
+    sure = tuple(s for s in stems if len(s) >= 5)  # their own misspellings are caught, so words under them add nothing
+    return [t for _, t in ranked if not t.endswith("*") and not t.startswith(sure)] + [s + "*" for s in stems]
 
 
 def learn_lexicon(rows: DataFrame, alpha: float = 0.05) -> list[str]:
@@ -111,11 +129,15 @@ class LexiconTrie:
 
     def __init__(self, terms, min_fuzzy: int = 5, min_stem: int = 5):
         self.root, self.min_fuzzy, self.min_stem = {}, min_fuzzy, min_stem
+        self.starts, self.middles = set(), set()
         for term in terms:
-            node = self.root
-            for ch in term.rstrip("*"):
+            node, word = self.root, term.rstrip("*")
+            for ch in word:
                 node = node.setdefault(ch, {})
-            node["stem" if term.endswith("*") else ""] = len(term.rstrip("*"))
+            node["stem" if term.endswith("*") else ""] = len(word)
+            if len(word) >= min(min_fuzzy, min_stem):
+                self.starts.add(word[:2])
+                self.middles.add(word[2:5])
 
     def match(self, word: str) -> int:
         """2 for a term or a word with a stem, 1 for one edit away from a word of at least `min_fuzzy`
@@ -129,31 +151,54 @@ class LexiconTrie:
                 return 2
         if node and "" in node:
             return 2
-        size = len(word)
-        if size < min(self.min_fuzzy, self.min_stem) - 1:
-            return 0
-        # A state of the automaton is (letters read, edits used); it moves on with the trie node.
-        stack = [(self.root, 0, 0)]
-        while stack:
-            node, i, edits = stack.pop()
-            if node.get("stem", 0) >= self.min_stem or (size - i + edits <= 1 and node.get("", 0) >= self.min_fuzzy):
-                return 1
-            if i < size and word[i] in node:
-                stack.append((node[word[i]], i + 1, edits))
-            if not edits:
-                if i < size:
-                    stack.append((node, i + 1, 1))
-                for ch, child in node.items():
-                    if len(ch) == 1:
-                        stack.append((child, i, 1))
-                        if i < size:
-                            stack.append((child, i + 1, 1))
+        # One edit leaves the first two letters as they are, or the next three, moved by one at most.
+        middles = self.middles
+        if word[:2] in self.starts or word[2:5] in middles or word[1:4] in middles or word[3:6] in middles:
+            return int(self._one_edit(word))
         return 0
 
+    def _one_edit(self, word: str) -> bool:
+        """Walk the trie and the automaton from state (i letters read, no edit) to those with one edit."""
+        node, size = self.root, len(word)
+        for i in range(size + 1):
+            if i < size and self._exact(node, word, i + 1):
+                return True
+            for ch, child in node.items():
+                if len(ch) == 1 and (self._exact(child, word, i) or i < size and self._exact(child, word, i + 1)):
+                    return True
+            node = node.get(word[i]) if i < size else None
+            if node is None:
+                return False
+        return False
+
+    def _exact(self, node: dict, word: str, i: int) -> bool:
+        """Whether the letters from i on lead from a node to an accepting state, the edit being used."""
+        size = len(word)
+        while True:
+            if node.get("stem", 0) >= self.min_stem or (i == size and node.get("", 0) >= self.min_fuzzy):
+                return True
+            node = node.get(word[i]) if i < size else None
+            if node is None:
+                return False
+            i += 1
+
+
+class _Memo(dict):
+    """Kinds of words seen; emptied beyond 300,000."""
+
+    def __init__(self, terms):
+        self.trie = LexiconTrie(terms)
+
+    def __missing__(self, word):
+        if len(self) > 300_000:
+            self.clear()
+        kind = self[word] = self.trie.match(word) if len(word) < 64 else 0
+        return kind
+
 
-@functools.lru_cache(maxsize=4)
+@functools.lru_cache(maxsize=2)
 def _matcher(terms: tuple):
-    return functools.lru_cache(maxsize=300_000)(LexiconTrie(terms).match)
+    return _Memo(terms).__getitem__
 
 
 def features(text: str | None, terms: tuple, window: int = 6) -> list[float]:
