@@ -217,9 +217,10 @@ def _touched(docs: DataFrame) -> DataFrame:
     runs = materialize(_runs(docs), "runs")
     flat = runs.select("digest", "h1", "h2", F.inline("runs"))
     keys = flat.groupBy("key").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("h1", "h2") for f in (F.min, F.max)],
-                                   F.max("again").alias("again"))
-    keys = keys.where("again or min_h1 <> max_h1 or min_h2 <> max_h2").select("key")
-    spans = flat.select("digest", "lo", "n", "o", "key").join(keys, "key", "left_semi") \
+                                   F.max("again").alias("again"), F.count("*").alias("rows"))
+    keys = keys.where("again or min_h1 <> max_h1 or min_h2 <> max_h2").select("key", "rows")
+    total = runs.agg(F.coalesce(F.sum(F.size("runs")), F.lit(0))).first()[0]
+    spans = lookup_join(flat.select("digest", "lo", "n", "o", "key"), keys, "key", "rows", total) \
         .groupBy("digest").agg(F.collect_set(F.struct("lo", "n", "o", "key")).alias("spans"))
     texts = docs.select("digest", "text").groupBy("digest").agg(F.first("text").alias("text"))
 
