@@ -32,7 +32,7 @@ class WordIds:
     emptied beyond `most` words or letters / 16.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
         self.tok, self.most = Tokenizer.from_file(path), most
         vocab = self.tok.get_vocab()
