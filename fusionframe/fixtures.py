@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 VIEWS = {
     "fx_reads": ("lineitem", """select concat('chr',cast(l_suppkey%22+1 as varchar(5))) chrom,
  cast(1000+(l_partkey*37+l_orderkey*11)%100000 as bigint) st, cast(1000+(l_partkey*37+l_orderkey*11)%100000+99 as bigint) en,
- cast(l_quantity as int) clip, case when l_linenumber%2=0 then '+' else '-' end strand,
+ cast(l_quantity as int) clip, case when l_linenumber%3=0 then '+' else '-' end side, case when l_linenumber%2=0 then '+' else '-' end strand,
  case when l_returnflag='R' then 1024 else 0 end + case when l_linestatus='O' then 16 else 0 end flag from lineitem"""),
     "fx_genes": ("part", """select p_partkey gene_id, concat('chr',cast(p_partkey%22+1 as varchar(5))) chrom,
  case when p_size%2=0 then '+' else '-' end strand, cast(1000+(p_partkey*977)%100000 as bigint) st,
@@ -17,6 +17,31 @@ VIEWS = {
  cast(1000+(o_orderkey*577)%5000 as bigint) posb, case when o_orderkey%2=0 then 1 else -1 end orta,
  case when o_orderkey%3=0 then 1 else -1 end ortb, cast(floor(o_totalprice) as bigint)%100 readsa,
  cast(floor(o_totalprice/100) as bigint)%100 readsb from orders"""),
+    "fx_svs": ("orders", """select o_orderkey ord, concat('chr',cast(o_custkey%4+1 as varchar(5))) chra, cast(1000+(o_orderkey*131)%5000 as bigint) posa,
+ concat('chr',cast((o_custkey+o_orderkey%2)%4+1 as varchar(5))) chrb, cast(1000+(o_orderkey*577)%5000+case when o_orderkey%5=0 then 200000 else 0 end as bigint) posb,
+ case when o_orderkey%2=0 then 1 else -1 end orta, case when o_orderkey%3=0 then 1 else -1 end ortb, case when o_orderkey%7<4 then 1 else -1 end qsa, case when o_orderkey%11<6 then 1 else -1 end qsb,
+ case when o_orderkey%9=0 then concat('G',cast(o_custkey%40 as varchar(5)),',G',cast(o_orderkey%13 as varchar(5))) when o_orderkey%17=0 then 'NA' else concat('G',cast(o_custkey%40 as varchar(5))) end genea,
+ case when o_orderkey%8=0 then concat('G',cast(o_orderkey%41 as varchar(5)),'|G',cast(o_custkey%40 as varchar(5))) when o_orderkey%34=0 then 'NA' else concat('G',cast(o_orderkey%41 as varchar(5))) end geneb,
+ cast(floor(o_totalprice) as bigint)%30 readsa, cast(floor(o_totalprice/100) as bigint)%30 readsb, cast(o_orderkey%120 as bigint) matcha, cast((o_orderkey*7)%120 as bigint) matchb,
+ cast(o_orderkey%10 as double)/10 repa, cast(o_custkey%10 as double)/10 repb, cast(o_orderkey%2000 as bigint) areaa, cast(o_custkey%2000 as bigint) areab,
+ cast(o_orderkey%50 as double)/1000 mafa, cast(o_custkey%50 as double)/1000 mafb, case o_orderkey%5 when 0 then 'coding' when 1 then '5utr' when 2 then '3utr' when 3 then 'intron' else 'intergenic' end featurea,
+ case o_custkey%5 when 0 then 'coding' when 1 then '5utr' when 2 then '3utr' when 3 then 'intron' else 'intergenic' end featureb, case when o_orderkey%3=0 then '?' else '>' end sv_ort,
+ case o_custkey%7 when 0 then 'CTX' when 1 then 'DEL' when 2 then 'read_through' when 3 then 'Internal_dup' when 4 then 'ITX' when 5 then 'INS' else 'Internal_inv' end type,
+ cast(o_orderkey%4 as varchar(3)) frame, cast(o_orderkey%12 as bigint) gap, cast(o_orderkey%100 as double)/100 percent, cast(o_orderkey%7-3 as bigint) scorea, cast(o_custkey%5-2 as bigint) scoreb,
+ cast(o_orderkey%32+1 as bigint) qposa, cast(o_custkey%32+1 as bigint) qposb, translate(md5(cast(o_orderkey as varchar(12))),'0123456789abcdef','ACGTACGTACGTACGT') seq from orders"""),
+    "fx_known": ("supplier", """select concat('G',cast(s_suppkey%40 as varchar(5))) genea, concat('G',cast((s_suppkey*3)%41 as varchar(5))) geneb from supplier"""),
+    "fx_deny": ("nation", """select concat('G',cast(n_nationkey%7 as varchar(5))) name from nation"""),
+    "fx_itd": ("nation", """select concat('G',cast(n_nationkey as varchar(5))) gene, cast(1000+n_nationkey*50 as bigint) st, cast(4000+n_nationkey*50 as bigint) en from nation"""),
+    "fx_regions": ("nation", """select concat('R',cast(n_nationkey as varchar(5))) name, cast(n_nationkey as bigint) ord, concat('chr',cast(n_nationkey%4+1 as varchar(5))) chrom, cast(1000+n_nationkey*180 as bigint) st, cast(1500+n_nationkey*200 as bigint) en from nation"""),
+    "fx_sam": ("lineitem", """select concat('r',cast(l_orderkey as varchar(12)),'_',cast(l_linenumber as varchar(5)),'_',cast(l_partkey as varchar(12)),'_',cast(l_suppkey as varchar(12)),'_',cast(l_extendedprice as varchar(24))) qname,
+ concat('chr',cast(l_suppkey%22+1 as varchar(5))) chrom, cast(1000+(l_partkey*37+l_orderkey*11)%100000 as bigint) st, case when l_linenumber%2=0 then '+' else '-' end strand,
+ case when l_returnflag='R' then 1024 else 0 end flag, cast((l_partkey%5)*100 as bigint) mate_st, cast(l_quantity as int) clip,
+ case l_orderkey%5 when 0 then concat(cast(cast(l_quantity as int) as varchar(4)),'S',cast(100-cast(l_quantity as int) as varchar(4)),'M') when 1 then concat(cast(100-cast(l_quantity as int) as varchar(4)),'M',cast(cast(l_quantity as int) as varchar(4)),'S')
+ when 2 then concat(cast(cast(l_quantity as int) as varchar(4)),'S4M200N',cast(96-cast(l_quantity as int) as varchar(4)),'M') when 3 then '40M10D60M' else concat('60M300N3M',cast(cast(l_quantity as int) as varchar(4)),'S') end cigar,
+ md5(concat(cast(l_orderkey as varchar(12)),cast(l_partkey as varchar(12)))) qual from lineitem"""),
+    "fx_tx": ("part", """select p_partkey tx, concat('T',cast(p_partkey%300 as varchar(5))) gene, concat('chr',cast(p_partkey%22+1 as varchar(5))) chrom, case when p_size%2=0 then '+' else '-' end strand,
+ cast(1000+(p_partkey*977)%100000 as bigint) st, cast(1000+(p_partkey*977)%100000+300+p_size*4 as bigint) en, cast(1000+(p_partkey*977)%100000+20 as bigint) cds_st, cast(1000+(p_partkey*977)%100000+280 as bigint) cds_en,
+ cast(1000+(p_partkey*977)%100000+60 as bigint) e1, cast(1000+(p_partkey*977)%100000+100 as bigint) s2, cast(1000+(p_partkey*977)%100000+160 as bigint) e2, cast(1000+(p_partkey*977)%100000+240 as bigint) s3 from part"""),
     "fx_contig": ("documents", """select doc_id, translate(concat(md5(text),md5(concat(text,'1')),md5(concat(text,'2')),
  md5(concat(text,'3'))),'0123456789abcdef','ACGTACGTACGTACGT') seq from documents"""),
 }
@@ -28,8 +53,15 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(sql.replace(f"from {table}", "from {base}"), base=base)
 
 
+def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fx_tx with its three exons as an array."""
+    from pyspark.sql import functions as F
+    exons = F.array(*[F.struct(F.col(a).alias("st"), F.col(b).alias("en")) for a, b in (("st", "e1"), ("s2", "e2"), ("s3", "en"))])
+    return view(spark, sf_dir, "fx_tx").withColumn("exons", exons).drop("e1", "s2", "e2", "s3")
+
+
 def with_views(sql: str) -> str:
     """DuckDB text with the views it names in front."""
     used = [f"{n} as ({s})" for n, (_, s) in VIEWS.items() if n in sql]
     sql = sql.strip()
-    return f"with {', '.join(used)}{sql if sql.startswith(',') else ' ' + sql}"
+    return f"with {'recursive ' if 'walk as' in sql else ''}{', '.join(used)}{sql if sql.startswith(',') else ' ' + sql}"

@@ -1,84 +1,231 @@
-"""Support counts, fractions, clustering and ranking of positions and pairs."""
+"""Support counts, clustering and candidate sites.
+
+Reads have chrom, st, en, clip, side (of the clip), strand and flag. Rows with a null chrom or position join nothing.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fusionframe.functions.columns import flag_is
+from fusionframe.functions.columns import canonical_seq, clip_len, cigar_ops, flag_is, pair_key, ref_span, split_names
+
+from .intervals import interval_join
+
+DUPLICATE, UNMAPPED = 1024, 4
+
+
+def eligible_clips(reads: DataFrame, paired: bool = True) -> DataFrame:
+    """Reads with a soft clip, a start, no duplicate flag and, if paired, a mate position."""
+    ok = F.col("cigar").contains("S") & ~flag_is(F.col("flag"), DUPLICATE) & F.col("st").isNotNull()
+    return reads.where(ok & F.coalesce(F.col("mate_st") > 0, F.lit(False)) if paired else ok)
+
+
+def explode_clips(reads: DataFrame, min_len: int = 10) -> DataFrame:
+    """One row (qname, chrom, side, pos, clip, strand) for each clipped end of at least `min_len` bases.
+
+    A clip next to at most 5 matched bases and a gap is also put past the gap, with those bases in the clip.
+    """
+    ops, n = cigar_ops(F.col("cigar")), F.size(cigar_ops(F.col("cigar")))
+    en = F.col("st") + ref_span(F.col("cigar")) - 1
+    left, right = clip_len(F.col("cigar"), "-"), clip_len(F.col("cigar"), "+")
+
+    def at(i: Column) -> Column:
+        return F.get(ops, i)
+
+    def short(length, m, gap):
+        return (n >= 4) & (length >= min_len - 3) & (m["op"] == "M") & (m["len"] <= 5) & (gap["op"] == "N")
 
-from .intervals import first_interval
+    l1, l2, r1, r2 = at(F.lit(1)), at(F.lit(2)), at(n - 2), at(n - 3)
+    sites = F.array(
+        F.when(left > 0, F.struct(F.lit("-").alias("side"), F.col("st").alias("pos"), left.alias("clip"))),
+        F.when((left > 0) & short(left, l1, l2), F.struct(F.lit("-").alias("side"), (F.col("st") + l1["len"] + l2["len"]).alias("pos"), (left + l1["len"]).alias("clip"))),
+        F.when(right > 0, F.struct(F.lit("+").alias("side"), en.alias("pos"), right.alias("clip"))),
+        F.when((right > 0) & short(right, r1, r2), F.struct(F.lit("+").alias("side"), (en - r1["len"] - r2["len"]).alias("pos"), (right + r1["len"]).alias("clip"))))
+    return reads.select("qname", "chrom", "strand", F.explode(sites).alias("s")).where("s is not null").select(
+        "qname", "chrom", "s.side", "s.pos", "s.clip", "strand").where(F.col("clip") >= min_len)
 
 
 def clip_evidence(reads: DataFrame, long_clip: int = 20) -> DataFrame:
-    """Reads, clipped bases and strands of each (chrom, pos), without duplicates (bit 1024)."""
-    ok = reads.where(~flag_is(F.col("flag"), 1024))
-    return ok.groupBy("chrom", F.col("st").alias("pos")).agg(
+    """Reads, clipped bases and strands of each (chrom, pos, side), without duplicates; a clip on side + is at the read's end."""
+    ok = reads.where(~flag_is(F.col("flag"), DUPLICATE))
+    pos = F.when(F.col("side") == "+", F.col("en")).otherwise(F.col("st"))
+    return ok.groupBy("chrom", pos.alias("pos"), "side").agg(
         F.count("*").alias("reads"), F.sum("clip").alias("bases"),
         F.count_if(F.col("strand") == "+").alias("plus_clip"), F.count_if(F.col("strand") == "-").alias("minus_clip"),
         F.coalesce(F.sum(F.when(F.col("clip") >= long_clip, F.col("clip"))), F.lit(0)).cast("long").alias("long_bases"))
 
 
-def cluster_positions(sites: DataFrame, spread: int = 5, min_reads: int = 2) -> DataFrame:
-    """Greedy clusters from left to right: (chrom, pos, reads).
+def cluster_positions(sites: DataFrame, spread: int = 5, min_reads: int = 2, min_long: int = 20) -> DataFrame:
+    """Greedy clusters from left to right on each side: (chrom, side, pos, reads, bases, plus_clip, minus_clip).
 
-    From each position not within `spread` of the last centre, the centre is the position
-    of most reads in the next `spread`; its reads are those within `spread` on both sides.
-    Blocks end at gaps over `2 * spread`, past which no choice depends on the other side.
+    A position within `spread` of a kept cluster is passed over. Else, if the clipped bases from it to `spread` on
+    reach `min_reads`, the position of most clipped bases there (the first of equal ones) is the centre, which is kept if
+    the sites within `spread` on both sides have `min_reads` reads and `min_long` bases of long clips.
+    Choices do not reach over gaps of more than `2 * spread`, so blocks between such gaps are folded alone.
+    """
+    by = Window.partitionBy("chrom", "side").orderBy("pos")
+    ahead, around = by.rangeBetween(0, spread), by.rangeBetween(-spread, spread)
+    sums = ("reads", "bases", "plus_clip", "minus_clip", "long_bases")
+    s = (sites.withColumns({f"t_{c}": F.sum(c).over(around) for c in sums}).withColumn("cover", F.sum("bases").over(ahead))
+         .withColumn("centre", -F.max(F.struct("bases", (-F.col("pos")).alias("back"))).over(ahead)["back"]))
+    total = F.struct(*[F.col(f"t_{c}").alias(c) for c in sums])
+    s = (s.withColumn("totals", F.max_by(total, F.struct("bases", -F.col("pos"))).over(ahead))
+         .withColumn("gap", F.when(F.col("pos") - F.lag("pos").over(by) <= 2 * spread, 0).otherwise(1)).withColumn("block", F.sum("gap").over(by)))
+    s = s.where(F.col("cover") >= min_reads).where((F.col("totals.reads") >= min_reads) & (F.col("totals.long_bases") >= min_long))
+    folded = s.groupBy("chrom", "side", "block").agg(F.array_sort(F.collect_list(F.struct("pos", "centre", "totals"))).alias("rows"))
+    step = F.aggregate(
+        "rows", F.struct(F.lit(None).cast("long").alias("last"), F.slice("rows", 1, 0).alias("kept")),
+        lambda acc, x: F.when(x["pos"] <= acc["last"] + spread, acc).otherwise(
+            F.struct(x["centre"].alias("last"), F.array_append(acc["kept"], x).alias("kept"))))
+    return folded.select("chrom", "side", F.explode(step["kept"]).alias("r")).select(
+        "chrom", "side", F.col("r.centre").alias("pos"), *[F.col(f"r.totals.{c}").alias(c) for c in sums[:4]])
+
+
+def depth_at(reads: DataFrame, sites: DataFrame, max_span: int | None = None) -> DataFrame:
+    """(chrom, pos, depth, plus_depth, minus_depth) of each site (chrom, pos): mapped reads over it, 0 where none; `max_span` leaves out longer ones."""
+    used = reads.where(~flag_is(F.col("flag"), UNMAPPED))
+    if max_span:
+        used = used.where(F.col("en") - F.col("st") + 1 <= max_span)
+    sites = sites.select("chrom", "pos").distinct()
+    points = sites.select("chrom", F.col("pos").alias("st"), F.col("pos").alias("en"))
+    hits = interval_join(points, used.select("chrom", "st", "en", "strand")).groupBy("chrom", F.col("st").alias("pos")).agg(
+        F.count("*").alias("depth"), F.count_if(F.col("r_strand") == "+").alias("plus_depth"), F.count_if(F.col("r_strand") == "-").alias("minus_depth"))
+    return sites.join(hits, ["chrom", "pos"], "left").na.fill(0, ["depth", "plus_depth", "minus_depth"])
+
+
+def gene_cutoff(counts: DataFrame, read_length: int) -> DataFrame:
+    """Add `cutoff` (support to ask of a gene) and `per_kb` to rows of (n_reads, mrna_length)."""
+    return counts.withColumn("cutoff", (F.lit(read_length - 20) * F.col("n_reads")) / (100 * F.col("mrna_length"))) \
+        .withColumn("per_kb", 1000 * F.col("n_reads") / F.col("mrna_length"))
+
+
+def min_support(sites: DataFrame, least: int, known: DataFrame) -> DataFrame:
+    """Sites with `least` reads, and those at a known position (chrom, pos)."""
+    marked = sites.join(known.select("chrom", "pos", F.lit(True).alias("_known")).distinct(), ["chrom", "pos"], "left")
+    return marked.where((F.col("reads") >= least) | F.col("_known")).drop("_known")
+
+
+def expressed_sites(sites: DataFrame, genes: DataFrame, read_length: int, excluded: DataFrame, min_ratio: float = 0.01) -> DataFrame:
+    """Candidate sites: (chrom, pos, side, reads, cutoff, bases, expression_ratio).
+
+    Genes (gene_id, name, chrom, st, en, mrna_length, n_reads, cutoff) with reads are tried in order of gene_id. A gene with
+    a cutoff under 0.01 or an excluded name ends the search; else the first whose expression ratio is over `min_ratio`, or any if a
+    strand's clipped share is over 0.05, takes the site. Sites in no such gene stay with 5 reads, cutoff -1 and ratio 0.
+    Sites have chrom, pos, side, reads, bases, plus_clip, minus_clip, plus_depth and minus_depth.
     """
-    ahead = Window.partitionBy("chrom").orderBy("pos").rangeBetween(0, spread)
-    around = Window.partitionBy("chrom").orderBy("pos").rangeBetween(-spread, spread)
-    order = Window.partitionBy("chrom").orderBy("pos")
-    s = (sites.select("chrom", "pos", "reads")
-         .withColumn("centre", F.max(F.struct("reads", (-F.col("pos")).alias("back"))).over(ahead))
-         .withColumn("centre", -F.col("centre.back")).withColumn("total", F.sum("reads").over(around))
-         .withColumn("gap", F.when(F.col("pos") - F.lag("pos").over(order) <= 2 * spread, 0).otherwise(1))
-         .withColumn("block", F.sum("gap").over(order)))
-    totals = s.select("chrom", F.col("pos").alias("centre"), "total")
-    chosen = s.groupBy("chrom", "block").agg(F.array_sort(F.collect_list(F.struct("pos", "centre"))).alias("rows")).select(
-        "chrom", F.explode(F.aggregate(
-            "rows", F.array().cast("array<bigint>"),
-            lambda acc, x: F.when((F.size(acc) > 0) & (x["pos"] <= F.element_at(acc, -1) + spread), acc)
-            .otherwise(F.array_append(acc, x["centre"])))).alias("centre"))
-    return chosen.join(totals, ["chrom", "centre"]).where(F.col("total") >= min_reads).select(
-        "chrom", F.col("centre").alias("pos"), F.col("total").alias("reads"))
-
-
-def expressed_sites(clusters: DataFrame, genes: DataFrame) -> DataFrame:
-    """All clusters inside a gene, with the first gene by id, best supported first; no expression test."""
-    points = clusters.select(F.struct("chrom", "pos").alias("key"), "chrom", F.col("pos").alias("st"), F.col("pos").alias("en"))
-    hit = first_interval(points, genes, "key", "gene_id").select("key.chrom", "key.pos", "gene_id")
-    return clusters.join(hit, ["chrom", "pos"]).orderBy(F.desc("reads"), "chrom", "pos")
-
-
-def junction_support(hits: DataFrame, key: str, length: str) -> DataFrame:
-    """Sum of support lengths, each length of a key counted at most twice."""
-    return hits.groupBy(key, length).agg(F.count("*").alias("n")).groupBy(key).agg(
-        F.sum(F.col(length) * F.least("n", F.lit(2))).cast("long").alias("support"), F.sum("n").alias("rows"))
-
-
-def rank_pairs(pairs: DataFrame) -> DataFrame:
-    """Rating by support of both ends, then score; the best first."""
-    score = F.col("readsa") + F.col("readsb")
-    rating = F.when((F.col("readsa") > 50) & (F.col("readsb") > 50), "HQ").when(score > 40, "LQ").otherwise("bad")
-    rated = pairs.select("ord", score.alias("score"), rating.alias("rating"))
-    return rated.withColumn("place", F.row_number().over(Window.partitionBy("rating").orderBy(F.desc("score"), "ord")).cast("long"))
-
-
-def partner_recurrence(pairs: DataFrame, min_partners: int) -> DataFrame:
-    both = pairs.select(F.col("chra").alias("gene"), F.col("posa").alias("partner")).distinct()
-    return both.groupBy("gene").agg(F.count("*").alias("partners")).where(F.col("partners") >= min_partners)
+    named = genes.where("n_reads > 0").select("gene_id", F.explode(split_names(F.col("name"))).alias(excluded.columns[0]))
+    bad = named.join(excluded.distinct(), excluded.columns[0], "left_semi").select("gene_id").distinct().withColumn("bad", F.lit(True))
+    used = genes.where("n_reads > 0").join(bad, "gene_id", "left").select("gene_id", "chrom", "st", "en", "mrna_length", "n_reads", "cutoff", F.coalesce("bad", F.lit(False)).alias("bad"))
+    share = F.greatest(F.col("plus_clip") / (F.col("plus_depth") + 0.01), F.col("minus_clip") / (F.col("minus_depth") + 0.01))
+    points = sites.select("chrom", F.col("pos").alias("st"), F.col("pos").alias("en"), "side", "reads", "bases", share.alias("share"))
+    ratio = (F.col("bases") / (read_length - 20)) / (F.col("r_n_reads") * read_length / (2 * F.col("r_mrna_length")))
+    hits = interval_join(points, used).withColumn("ratio", ratio)
+    ends = F.col("r_bad") | (F.col("r_cutoff") < 0.01)
+    takes = (F.col("ratio") > min_ratio) | (F.col("share") > 0.05)
+    first = hits.groupBy("chrom", F.col("st").alias("pos"), "side", "reads", "bases").agg(
+        F.min_by(F.struct((~ends).alias("ok"), F.col("r_cutoff").alias("cutoff"), "ratio"), F.when(ends | takes, F.col("r_gene_id"))).alias("g"))
+    inside = first.where("g.ok").select("chrom", "pos", "side", "reads", "g.cutoff", "bases", F.col("g.ratio").alias("expression_ratio"))
+    outside = sites.where("reads >= 5").join(first.select("chrom", "pos", "side"), ["chrom", "pos", "side"], "left_anti").select(
+        "chrom", "pos", "side", "reads", F.lit(-1.0).alias("cutoff"), "bases", F.lit(0.0).alias("expression_ratio"))
+    return inside.unionByName(outside)
+
+
+def depth_gate(sites: DataFrame) -> DataFrame:
+    """Sites with depth whose reads are over a 200th of it (under 2000) or over a 20th."""
+    return sites.where((F.col("depth") > 0) & (((F.col("depth") < 2000) & (F.col("reads") > F.col("depth") / 200)) | (F.col("reads") > F.col("depth") / 20)))
+
+
+def junction_support(hits: DataFrame, keys: list[str], length: str, read: str) -> DataFrame:
+    """(keys, support, reads): the sum of support lengths, each length of a key at most twice, and its different reads."""
+    one = hits.groupBy(*keys, read).agg(F.max(length).alias(length))
+    return one.groupBy(*keys, length).agg(F.count("*").alias("n")).groupBy(*keys).agg(
+        F.sum(F.col(length) * F.least("n", F.lit(2))).cast("long").alias("support"), F.sum("n").alias("reads"))
+
+
+def partner_recurrence(pairs: DataFrame, least: int, exempt: DataFrame) -> DataFrame:
+    """(gene, partners): genes of either end with at least `least` different partners, by the names of both lists, without exempt ones."""
+    named = pairs.select(F.explode(split_names(F.col("genea"))).alias("x"), "geneb").select("x", F.explode(split_names(F.col("geneb"))).alias("y"))
+    both = named.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    each = both.select(F.col("x").alias("gene")).unionAll(both.select("y"))
+    counts = each.groupBy("gene").agg(F.count("*").alias("partners")).where(F.col("partners") >= least)
+    return counts.join(exempt.select(F.col(exempt.columns[0]).alias("gene")), "gene", "left_anti")
+
+
+def contig_recurrence(contigs: DataFrame, seq: str = "seq") -> DataFrame:
+    """(seq, rows) of contigs, a sequence and its reverse complement being one."""
+    return contigs.groupBy(canonical_seq(F.col(seq)).alias(seq)).agg(F.count("*").alias("rows"))
+
+
+def modal_position(reads: DataFrame, keys: list[str], pos: str) -> DataFrame:
+    """(keys, pos, n): the most frequent position (the smallest of equal ones) and its rows."""
+    counts = reads.groupBy(*keys, pos).agg(F.count("*").alias("n"))
+    return counts.groupBy(*keys).agg(F.min_by(F.struct(pos, "n"), F.struct(-F.col("n"), F.col(pos))).alias("m")).select(*keys, "m.*")
+
+
+def majority_strand(reads: DataFrame, keys: list[str], strand: str) -> DataFrame:
+    """(keys, strand): + or - by more rows, = for equal numbers."""
+    vote = F.sum(F.when(F.col(strand) == "+", 1).when(F.col(strand) == "-", -1).otherwise(0))
+    return reads.groupBy(*keys).agg(F.when(vote > 0, "+").when(vote < 0, "-").otherwise("=").alias(strand))
+
+
+def clip_ratio(rows: DataFrame, dna: bool) -> Column:
+    """Clipped share: of the greater strand for DNA; for RNA against the gene's reads over four lengths."""
+    plus, minus = (F.col(f"{s}_clip") / (F.col(f"{s}_depth") + 0.01) for s in ("plus", "minus"))
+    return F.greatest(plus, minus) if dna else F.col("reads") * F.col("mrna_length") / (4.0 * F.col("n_reads"))
 
 
 def uniquify(rows: DataFrame, name: str, order: str) -> DataFrame:
-    """Names that occur more than once get a running suffix."""
+    """Names that occur more than once get -locA, -locB and so on in order (after Z: -locAA)."""
     by = Window.partitionBy(name)
-    n, i = F.count("*").over(by), F.row_number().over(by.orderBy(order))
-    return rows.select(order, F.when(n > 1, F.concat(name, F.lit("-loc"), i.cast("string"))).otherwise(F.col(name)).alias("unique_name"))
+    n, i = F.count("*").over(by), F.row_number().over(by.orderBy(order)) - 1
+    letter = F.concat(F.when(i >= 26, F.char(F.lit(64) + F.floor(i / 26))).otherwise(""), F.char(F.lit(65) + i % 26))
+    return rows.select(order, F.when(n > 1, F.concat(F.col(name), F.lit("-loc"), letter)).otherwise(F.col(name)).alias("unique_name"))
+
+
+def drop_genes(pairs: DataFrame, denied: DataFrame, unless: DataFrame | None = None) -> DataFrame:
+    """Pairs none of whose names is denied; with `unless` (genea, geneb), pairs of it stay in any case."""
+    name = denied.columns[0]
+    named = pairs.select("ord", F.explode(F.concat(split_names(F.col("genea")), split_names(F.col("geneb")))).alias(name))
+    bad = named.join(denied.distinct(), name, "left_semi").select("ord").distinct()
+    if unless is not None:
+        known = unless.select(pair_key(F.col("genea"), F.col("geneb")).alias("pair")).distinct()
+        pair = pairs.select("ord", F.explode(split_names(F.col("genea"))).alias("x"), "geneb").select("ord", "x", F.explode(split_names(F.col("geneb"))).alias("y"))
+        saved = pair.select("ord", pair_key(F.col("x"), F.col("y")).alias("pair")).join(known, "pair", "left_semi").select("ord")
+        bad = bad.join(saved, "ord", "left_anti")
+    return pairs.join(bad, "ord", "left_anti")
+
+
+def drop_chroms(pairs: DataFrame, patterns: list[str], columns: tuple = ("chra", "chrb")) -> DataFrame:
+    """Rows with no chrom that matches any pattern, case ignored."""
+    pattern = "(?i)" + "|".join(f"(?:{p})" for p in patterns)
+    for c in columns:
+        pairs = pairs.where(~F.col(c).rlike(pattern))
+    return pairs
+
+
+def del_reads(reads: DataFrame, pos: Column, length: int) -> DataFrame:
+    """Reads over a position whose CIGAR has a gap of `length`."""
+    return reads.where((F.col("st") <= pos) & (F.col("en") >= pos) & F.col("cigar").rlike(f"(^|\\D){length}N"))
+
+
+#: Validators by name; each is a column function of the reads, and all of a set must hold.
+VALIDATORS = {
+    "quality": lambda: F.length(F.regexp_replace("qual", "[!-4]", "")) * 100 > (F.length("qual") - 1) * 80,
+    "strand": lambda: F.when(flag_is(F.col("flag"), 2), F.col("mate_chrom") == F.col("chrom")).otherwise(True),
+    "length": lambda: F.col("clip") >= 10,
+}
+
+
+def validated(reads: DataFrame, names: list[str], validators: dict | None = None) -> DataFrame:
+    """Reads that pass all named validators; a null result fails."""
+    rules = validators or VALIDATORS
+    for name in names:
+        reads = reads.where(F.coalesce(rules[name](), F.lit(False)))
+    return reads
 
 
-def event_type(pairs: DataFrame) -> DataFrame:
-    same = F.col("chra") == F.col("chrb")
-    kind = (F.when(~same, "CTX").when(F.col("orta") != F.col("ortb"), "INV")
-            .when(F.col("posb") > F.col("posa"), "DEL").otherwise("DUP"))
-    return pairs.select("ord", kind.alias("sv_type"))
+def novel_junctions(junctions: DataFrame, min_gap: int = 10_000) -> DataFrame:
+    """Novel junctions of two perfect and five flanking reads, five perfect and clean ones together, and `min_gap` between the ends."""
+    ok = (F.col("type") == "novel") & (F.col("perfect") >= 2) & (F.col("flanking") >= 5) & (F.col("perfect") + F.col("clean") >= 5)
+    return junctions.where(ok & (F.abs(F.col("posa") - F.col("posb")) >= min_gap))

@@ -10,29 +10,61 @@ def _bins(start: Column, end: Column, width: int) -> Column:
     return F.explode(F.sequence(F.floor(start / width), F.floor(end / width)))
 
 
-def interval_join(left: DataFrame, right: DataFrame, width: int = 2000, pad: int = 0) -> DataFrame:
-    """Pairs of rows on one chrom whose [st, en] overlap once the left is widened by `pad`.
+def interval_join(left: DataFrame, right: DataFrame, width: int = 2000, pad: int = 0, strand: bool = False) -> DataFrame:
+    """Pairs of rows on one chrom (with `strand`, on one strand too) whose [st, en] overlap once the left is widened by `pad`.
 
-    Both sides are spread over bins of `width`; a pair is kept only in the first bin that
-    both share, so it comes once. Right columns get the prefix `r_`.
+    Both sides are spread over bins; a pair is kept only in the first bin that both share, so it comes once. Ranges wider
+    than 64 bins are spread over bins 64 times as wide and meet all others there, so that one long range makes few rows.
+    Right columns get the prefix `r_`. Rows with null positions or st > en join nothing; ties and repeated rows give one pair each.
     """
-    l = left.withColumn("_ls", F.col("st") - pad).withColumn("_le", F.col("en") + pad)
-    l = l.withColumn("_bin", _bins(F.col("_ls"), F.col("_le"), width))
-    r = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
-    r = r.withColumn("_rbin", _bins(F.col("r_st"), F.col("r_en"), width))
-    on = ((F.col("chrom") == F.col("r_chrom")) & (F.col("_bin") == F.col("_rbin"))
-          & (F.col("r_st") <= F.col("_le")) & (F.col("r_en") >= F.col("_ls"))
-          & (F.col("_bin") == F.floor(F.greatest("_ls", "r_st") / width)))
-    return l.join(r, on).drop("_bin", "_rbin", "_ls", "_le")
-
-
-def count_overlaps(ivals: DataFrame, reads: DataFrame, key: str) -> DataFrame:
-    """Reads that overlap each interval; 0 where none does."""
-    hits = interval_join(reads.select("chrom", "st", "en"), ivals.select(key, "chrom", "st", "en"))
-    counts = hits.groupBy(F.col(f"r_{key}").alias(key)).agg(F.count("*").alias("n_reads"))
+    l = left.withColumns({"_ls": F.col("st") - pad, "_le": F.col("en") + pad}).where("_ls <= _le")
+    r = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns]).where("r_st <= r_en")
+    wide = width * 64
+
+    def binned(df, s, e, name, long_only=None):
+        size = F.col(e) - F.col(s)
+        if long_only is not None:
+            df = df.where(size > wide if long_only else size <= wide)
+        return df
+
+    def meet(a, b, w):
+        a = a.withColumn("_bin", _bins(F.col("_ls"), F.col("_le"), w))
+        b = b.withColumn("_rbin", _bins(F.col("r_st"), F.col("r_en"), w))
+        on = ((F.col("chrom") == F.col("r_chrom")) & (F.col("_bin") == F.col("_rbin"))
+              & (F.col("r_st") <= F.col("_le")) & (F.col("r_en") >= F.col("_ls"))
+              & (F.col("_bin") == F.floor(F.greatest("_ls", "r_st") / w)))
+        if strand:
+            on = on & (F.col("strand") == F.col("r_strand"))
+        return a.join(b, on)
+
+    short_l, long_l = binned(l, "_ls", "_le", "l", False), binned(l, "_ls", "_le", "l", True)
+    short_r, long_r = binned(r, "r_st", "r_en", "r", False), binned(r, "r_st", "r_en", "r", True)
+    pairs = meet(short_l, short_r, width).unionByName(meet(long_l, r, wide)).unionByName(meet(short_l, long_r, wide))
+    return pairs.drop("_bin", "_rbin", "_ls", "_le")
+
+
+def count_overlaps(ivals: DataFrame, reads: DataFrame, key: str, skip_flags: int = 1024 + 4, excluded: DataFrame | None = None) -> DataFrame:
+    """Reads without the flags of `skip_flags` that overlap each interval; 0 where none does, and for excluded keys."""
+    used = ivals.select(key, "chrom", "st", "en")
+    if excluded is not None:
+        used = used.join(excluded.select(key).distinct(), key, "left_anti")
+    kept = reads.where(F.col("flag").bitwiseAND(F.lit(skip_flags)) == 0).groupBy("chrom", "st", "en").agg(F.count("*").alias("n"))
+    counts = interval_join(kept, used).groupBy(F.col(f"r_{key}").alias(key)).agg(F.sum("n").alias("n_reads"))
     return ivals.select(key).join(counts, key, "left").select(key, F.coalesce("n_reads", F.lit(0)).cast("long").alias("n_reads"))
 
 
+def region_of(points: DataFrame, regions: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, name): the first region by `order` with a point strictly inside."""
+    hits = interval_join(points, regions).where((F.col("st") > F.col("r_st")) & (F.col("st") < F.col("r_en")))
+    return hits.groupBy(key).agg(F.min_by("r_name", f"r_{order}").alias("name"))
+
+
+def query_intervals(rows: DataFrame, ivals: DataFrame, key: str, wiggle: int = 0) -> DataFrame:
+    """Different rows that overlap any of the intervals widened by `wiggle`; equal intervals are asked once."""
+    asked = ivals.select("chrom", "st", "en").distinct().withColumns({"st": F.col("st") - wiggle, "en": F.col("en") + wiggle})
+    return interval_join(rows, asked).select(*rows.columns).dropDuplicates([key])
+
+
 def first_interval(points: DataFrame, ivals: DataFrame, key: str, order: str) -> DataFrame:
     """For each point row `key`, the overlapping interval that comes first by `order`."""
     hits = interval_join(points, ivals)
