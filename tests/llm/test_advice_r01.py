@@ -100,10 +100,3 @@ def test_cards_beside_other_digits(text):
 def test_other_values_inside_a_run_of_digits(text):
     out = pii.mask_text(text, b"k")[0]
     assert "123-45" not in out and "123-4567" not in out
-
-
-def test_expressed_sites_has_no_row_cap(spark):
-    from fusionframe.operators.evidence import expressed_sites
-    clusters = spark.range(1500).selectExpr("'chr1' chrom", "id * 20 + 1 pos", "id % 7 + 2 reads")
-    genes = spark.createDataFrame([(1, "chr1", 1, 40_000)], "gene_id long, chrom string, st long, en long")
-    assert expressed_sites(clusters, genes).count() == 1500
