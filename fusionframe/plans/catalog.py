@@ -59,13 +59,13 @@ _register("A03_depth_short", lambda s, d: E.depth_at(view(s, d, "fx_reads").with
           """, a01 as (""" + _A01 + """) select s.chrom, s.pos, count(r.st) depth, count(*) filter (r.strand='+') plus_depth, count(*) filter (r.strand='-') minus_depth from (select distinct chrom, pos from a01) s
  left join (select chrom, strand, flag, st, en+clip*4 en from fx_reads) r on r.chrom=s.chrom and r.st<=s.pos and r.en>=s.pos and r.flag & 4 = 0 and r.en-r.st+1<=200 group by 1,2""")
 _GENES = """, n as (select g.gene_id, count(r.st) n_reads from fx_genes g left join fx_reads r on r.chrom=g.chrom and r.st<=g.en and r.en>=g.st and r.flag & 1028 = 0 group by 1),
- gi as (select g.*, n_reads, g.en-g.st+1 mrna_length, (80*n_reads)/(100.0*(g.en-g.st+1)) cutoff from fx_genes g join n on n.gene_id=g.gene_id)"""
+ gi as (select g.*, n_reads, g.en-g.st+1 mrna_length, (80*n_reads)/(100*(g.en-g.st+1)) cutoff from fx_genes g join n on n.gene_id=g.gene_id)"""
 _register("A04_gene_cutoff", lambda s, d: _expressed_genes(s, d).select("gene_id", "n_reads", F.round("cutoff", 6).alias("cutoff"), F.round("per_kb", 6).alias("per_kb")),
           _GENES + " select gene_id, n_reads, round(cast(cutoff as double),6) cutoff, round(1000*cast(n_reads as double)/mrna_length,6) per_kb from gi")
 _register("F08_expressed_sites", lambda s, d: E.expressed_sites(_sites(s, d), _expressed_genes(s, d), 100, view(s, d, "fx_genes").where("gene_id % 50 = 0").select("name")).select(
     "chrom", "pos", "side", "reads", F.round("cutoff", 6).alias("cutoff"), "bases", F.round("expression_ratio", 6).alias("expression_ratio")),
     _DEPTH + _GENES + """, ex as (select distinct name from fx_genes where gene_id%50=0),
- h as (select a.*, gi.gene_id, gi.cutoff, gi.name in (select name from ex) or gi.cutoff<0.01 ends, (a.bases/80.0)/(gi.n_reads*100.0/(2*gi.mrna_length)) ratio,
+ h as (select a.*, gi.gene_id, gi.cutoff, gi.name in (select name from ex) or gi.cutoff<0.01 ends, (a.bases/80)/((gi.n_reads*100)/(2*gi.mrna_length)) ratio,
  greatest(a.plus_clip/(d.plus_depth+0.01), a.minus_clip/(d.minus_depth+0.01)) share from a01 a join d on d.chrom=a.chrom and d.pos=a.pos join gi on gi.chrom=a.chrom and gi.st<=a.pos and gi.en>=a.pos and gi.n_reads>0),
  f as (select chrom, pos, side, min(gene_id) gene_id from h where ends or ratio>0.01 or share>0.05 group by 1,2,3)
  select h.chrom, h.pos, h.side, h.reads, round(cast(h.cutoff as double),6) cutoff, h.bases, round(cast(h.ratio as double),6) expression_ratio from h join f on f.chrom=h.chrom and f.pos=h.pos and f.side=h.side and f.gene_id=h.gene_id where not h.ends
