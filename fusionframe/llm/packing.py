@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 from unicodedata import normalize
 
@@ -23,16 +24,33 @@ BLOCK_WINDOWS = 64
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
+#: A full stop or comma between a letter or digit and white space: a pre-token of its own.
+STOP = re.compile(r"(?<=[^\W_])([.,])(?=[ \n])")
+#: Letters whose lower case depends on their neighbours, or that lower case and composition treat in another order.
+TIED = re.compile("[\u03a3\u0130\u0300-\u036f]")
+
+
+class _Places(dict):
+    """Numbers of words; a new word gets the next one and is noted in `fresh`."""
+
+    fresh: list
+
+    def __missing__(self, word):
+        n = self[word] = len(self)
+        self.fresh.append(word)
+        return n
+
+
 class WordIds:
     """The tokenizer's ids of whole texts, put together from the ids of their words.
 
-    No pre-token crosses a space, tab, CR or LF, so a text's ids are those of its words.
-    New words are encoded in one joined call, cut where a word's last pre-token ends
-    (each pre-token ends with one id written with the end-of-word mark). The memo is
-    emptied beyond `most` words or letters / 16.
+    No pre-token crosses a space, tab, CR or LF, so a text's ids are those of its words; the tokenizer
+    lower-cases, so words are kept in lower case. New words are encoded in one joined call, cut where a
+    word's last pre-token ends (each pre-token ends with one id written with the end-of-word mark). The memo is
+    emptied beyond `most` words or 16 times as many letters.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int):
         from tokenizers import Tokenizer
         self.tok, self.most = Tokenizer.from_file(path), most
         vocab = self.tok.get_vocab()
@@ -42,45 +60,49 @@ class WordIds:
         self.clear()
 
     def clear(self):
-        self.place, self.letters, self.used = {"": 0}, 0, 0
+        self.place, self.letters = _Places({"": 0}), 0
+        self.place.fresh = []
         self.ids, self.start, self.size = np.empty(0, "<u4"), np.zeros(1, np.int64), np.zeros(1, np.int64)
 
-    def add(self, words: list[str]):
-        whole = [w for w in words if not any(m in w for m in self.marks)]
-        alone = [w for w in words if any(m in w for m in self.marks)]
-        counts = np.fromiter((len(PRE_TOKEN.findall(normalize("NFC", w).lower())) for w in whole), np.int64, len(whole))
-        joined = [" ".join(whole[i:i + 400]) for i in range(0, len(whole), 400)]
-        parts = [np.array(e.ids, "<u4") for e in self.tok.encode_batch_fast(joined + alone, add_special_tokens=False)]
-        flat = np.concatenate(parts[:len(joined)] or [np.empty(0, "<u4")])
+    def words(self, text: str) -> list[str]:
+        if not TIED.search(text) and not any(m in text for m in self.marks):
+            text = STOP.sub(r" \1", text.lower())
+        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+
+    def coded(self, words: list[str]) -> list[np.ndarray]:
+        """Arrays of ids, and of their number for each word, in the order of the words."""
+        marked = [i for i, w in enumerate(words) if any(m in w for m in self.marks)]
+        if len(words) == 1 or marked:
+            if len(words) > 1:
+                cuts = sorted({0, len(words), *marked, *(i + 1 for i in marked)})
+                parts = [self.coded(words[i:j]) for i, j in zip(cuts, cuts[1:])]
+                return [np.concatenate(x) for x in zip(*parts)]
+            ids = np.array(self.tok.encode(words[0], add_special_tokens=False).ids, "<u4")
+            return [ids, np.array([len(ids)], np.int64)]
+        counts = np.fromiter((1 if w.isalpha() and "\u0130" not in w else len(PRE_TOKEN.findall(normalize("NFC", w).lower())) for w in words), np.int64, len(words))
+        joined = [" ".join(words[i:i + 400]) for i in range(0, len(words), 400)]
+        flat = np.concatenate([np.array(e.ids, "<u4") for e in self.tok.encode_batch_fast(joined, add_special_tokens=False)])
         cuts = np.concatenate(([0], np.flatnonzero(self.ends[flat]) + 1))
-        if len(cuts) - 1 != counts.sum():
-            if len(whole) > 1:  # letters that this pattern and the tokenizer class apart: find their word
-                half = len(whole) // 2
-                for part in (whole[:half], whole[half:] + alone):
-                    self.add(part)
-                return
-            whole, alone, counts, cuts = [], whole + alone, counts[:0], np.zeros(1, np.int64)
-            joined, parts = [], [np.array(e.ids, "<u4") for e in self.tok.encode_batch_fast(alone, add_special_tokens=False)]
+        if len(cuts) - 1 != counts.sum():  # letters that this pattern and the tokenizer class apart: find their word
+            half = len(words) // 2
+            return [np.concatenate(x) for x in zip(self.coded(words[:half]), self.coded(words[half:]))]
         at = cuts[np.concatenate(([0], np.cumsum(counts)))]
-        sizes = np.concatenate((np.diff(at), [len(p) for p in parts[len(joined):]])).astype(np.int64)
-        fresh = np.concatenate([flat[:cuts[-1]], *parts[len(joined):]])
-        for w in [*whole, *alone]:
-            self.place[w] = len(self.place)
-            self.letters += len(w)
-        self.start = np.concatenate((self.start, len(self.ids) + np.cumsum(sizes) - sizes))
-        self.size = np.concatenate((self.size, sizes))
-        self.ids = np.concatenate((self.ids, fresh))
+        return [flat[:at[-1]], np.diff(at).astype(np.int64)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.place) > self.most or self.letters > 16 * self.most:
             self.clear()
-        words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = list(set().union(*words).difference(self.place)) if words else []
-        if new:
-            self.add(new)
-        place, out = self.place, []
-        for w in words:
-            at = np.array([place[x] for x in w], np.int64)
+        look = self.place.__getitem__
+        places = [np.fromiter(map(look, words), np.int64, len(words)) for words in map(self.words, texts)]
+        if self.place.fresh:
+            ids, sizes = self.coded(self.place.fresh)
+            self.letters += sum(map(len, self.place.fresh))
+            self.start = np.concatenate((self.start, len(self.ids) + np.cumsum(sizes) - sizes))
+            self.size = np.concatenate((self.size, sizes))
+            self.ids = np.concatenate((self.ids, ids))
+            self.place.fresh = []
+        out = []
+        for at in places:
             size = self.size[at]
             before = np.cumsum(size) - size
             out.append(self.ids[np.arange(size.sum()) + np.repeat(self.start[at] - before, size)])
@@ -88,9 +110,9 @@ class WordIds:
 
 
 @functools.lru_cache(maxsize=2)
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str, most: int = 400_000) -> WordIds:
     """One memo for each worker process, kept from task to task."""
-    return WordIds(path)
+    return WordIds(path, most)
 
 
 def tokenizer_path() -> str:
@@ -98,7 +120,7 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def tokenize(docs: DataFrame, path: str, end_id: int = 2, batch_bytes: int = 1 << 20) -> DataFrame:
+def tokenize(docs: DataFrame, path: str, end_id: int = 2, batch_bytes: int = 1 << 20, memo_words: int = 400_000) -> DataFrame:
     """(doc_id, queue, doc_tokens, ids, part, at): ids as little-endian 16-bit numbers, closed by end_id.
 
     `at` is the row's place among its queue's tokens in this task's output `part`, so
@@ -107,7 +129,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int = 2, batch_bytes: int = 1 <
     def run(batches):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        coder, end = word_ids(path), np.array([end_id], "<u2")
+        coder, end = word_ids(path, memo_words), np.array([end_id], "<u2")
         part, used = TaskContext.get().partitionId(), {}
         for rows in batches:
             sizes = pc.fill_null(pc.binary_length(rows.column("text")), 0).to_pylist()
@@ -170,7 +192,7 @@ def fill_windows(segments: list[tuple[str, int]], window: int = WINDOW) -> list[
     return taken
 
 
-def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS, memo_words: int = 400_000) -> DataFrame:
     """Pack rows of (doc_id, text, source) into windows of the corpus's own source mix.
 
     Each source is a queue; its tokens form one line. The lines are cut into as many equal
@@ -181,11 +203,12 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, block_w
     Returns one row per piece: doc_id, start, length, ids (16-bit), ids_crc32,
     doc_tokens, sequence_id, offset, padded_to (window, or the power of two above the fill).
     Null texts and sources are empty text and a queue of their own; an empty table gives no rows.
-    Repeated rows are packed each; other columns are left out.
+    Repeated rows are packed each; other columns are left out. `memo_words` bounds the memory of a worker's
+    word memo (about 250 bytes a word), not the result.
     """
     path = path or tokenizer_path()
     queue = F.coalesce(F.concat(F.lit("s:"), F.col("source").cast("string")), F.lit("null"))
-    coded = materialize(tokenize(docs.select(F.col("doc_id").cast("long"), "text", queue.alias("queue")), path), "ids")
+    coded = materialize(tokenize(docs.select(F.col("doc_id").cast("long"), "text", queue.alias("queue")), path, memo_words=memo_words), "ids")
     parts = materialize(coded.groupBy("queue", "part").agg(F.sum("doc_tokens").alias("n")), "parts")
     totals = parts.groupBy("queue").agg(F.sum("n").alias("total"))
     queues, tokens = totals.agg(F.count("*"), F.coalesce(F.sum("total"), F.lit(0))).first()
@@ -251,4 +274,4 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, block_w
 
 def op3_packing(spark, sf_dir) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return pack(docs).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padded_to")
+    return pack(docs, memo_words=1_000_000).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padded_to")

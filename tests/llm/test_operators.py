@@ -217,7 +217,7 @@ def test_lexicon_keeps_repeated_stems(spark):
 def test_word_ids_equal_the_tokenizer():
     coder = packing.WordIds(packing.tokenizer_path(), most=300)
     rng = np.random.default_rng(5)
-    letters = list("aBcé ñ\u0301İß’'-.,09\t\n\r\u00a0\x1c\x0b漢字🙂s") + ["don't", "<|endoftext|>", "we'll", "X" * 300]
+    letters = list("aBcé ñ\u0301İß’'-.,09\t\n\r\u00a0\x1c\x0b漢字🙂s") + ["don't", "Σας", "J\u030c", "it. ", "x, ", "...", "Word, ", "<|endoftext|>", "we'll", "X" * 300]
     for _ in range(40):
         texts = ["".join(rng.choice(letters, 60)) for _ in range(5)] + [""]
         want = [e.ids for e in coder.tok.encode_batch(texts, add_special_tokens=False)]
