@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 from fusionframe.plans import catalog
 
-HEADLINE = ["A01_clip_evidence", "W01_cluster_positions", "J01_interval_join", "J02_count_overlaps", "J08_pair_band_join",
+HEADLINE = ["A01_clip_evidence", "W01_cluster_positions", "J01_interval_join", "J02_count_overlaps", "J06_annotate_site", "J08_pair_band_join",
             "A12_junction_support", "A18_merge_intervals"]
 
 
