@@ -63,12 +63,12 @@ _GENES = """, n as (select g.gene_id, count(r.st) n_reads from fx_genes g left j
 _register("A04_gene_cutoff", lambda s, d: _expressed_genes(s, d).select("gene_id", "n_reads", F.round("cutoff", 6).alias("cutoff"), F.round("per_kb", 6).alias("per_kb")),
           _GENES + " select gene_id, n_reads, round(cast(cutoff as double),6) cutoff, round(1000*cast(n_reads as double)/mrna_length,6) per_kb from gi")
 _register("F08_expressed_sites", lambda s, d: E.expressed_sites(_sites(s, d), _expressed_genes(s, d), 100, view(s, d, "fx_genes").where("gene_id % 50 = 0").select("name")).select(
-    "chrom", "pos", "side", "reads", F.round("cutoff", 6).alias("cutoff"), "bases", F.round("expression_ratio", 6).alias("expression_ratio")),
+    "chrom", "pos", "side", "reads", F.round("cutoff", 6).alias("cutoff"), "bases", "expression_ratio"),
     _DEPTH + _GENES + """, ex as (select distinct name from fx_genes where gene_id%50=0),
  h as (select a.*, gi.gene_id, gi.cutoff, gi.name in (select name from ex) or gi.cutoff<0.01 ends, (a.bases/80)/((gi.n_reads*100)/(2*gi.mrna_length)) ratio,
  greatest(a.plus_clip/(d.plus_depth+0.01), a.minus_clip/(d.minus_depth+0.01)) share from a01 a join d on d.chrom=a.chrom and d.pos=a.pos join gi on gi.chrom=a.chrom and gi.st<=a.pos and gi.en>=a.pos and gi.n_reads>0),
  f as (select chrom, pos, side, min(gene_id) gene_id from h where ends or ratio>0.01 or share>0.05 group by 1,2,3)
- select h.chrom, h.pos, h.side, h.reads, round(cast(h.cutoff as double),6) cutoff, h.bases, round(cast(h.ratio as double),6) expression_ratio from h join f on f.chrom=h.chrom and f.pos=h.pos and f.side=h.side and f.gene_id=h.gene_id where not h.ends
+ select h.chrom, h.pos, h.side, h.reads, round(cast(h.cutoff as double),6) cutoff, h.bases, h.ratio expression_ratio from h join f on f.chrom=h.chrom and f.pos=h.pos and f.side=h.side and f.gene_id=h.gene_id where not h.ends
  union all select chrom, pos, side, reads, -1.0, bases, 0.0 from a01 a where reads>=5 and not exists (select 1 from h where h.chrom=a.chrom and h.pos=a.pos and h.side=a.side)""")
 _register("F10_depth_gate", lambda s, d: E.depth_gate(_sites(s, d)).select("chrom", "pos", "side", "reads", "depth"),
           _DEPTH + """ select a.chrom, a.pos, a.side, a.reads, d.depth from a01 a join d on d.chrom=a.chrom and d.pos=a.pos where d.depth>0 and ((d.depth<2000 and a.reads>d.depth/200.0) or a.reads>d.depth/20.0)""")
