@@ -42,6 +42,17 @@ VIEWS = {
     "fx_tx": ("part", """select p_partkey tx, concat('T',cast(p_partkey%300 as varchar(5))) gene, concat('chr',cast(p_partkey%22+1 as varchar(5))) chrom, case when p_size%2=0 then '+' else '-' end strand,
  cast(1000+(p_partkey*977)%100000 as bigint) st, cast(1000+(p_partkey*977)%100000+300+p_size*4 as bigint) en, cast(1000+(p_partkey*977)%100000+20 as bigint) cds_st, cast(1000+(p_partkey*977)%100000+280 as bigint) cds_en,
  cast(1000+(p_partkey*977)%100000+60 as bigint) e1, cast(1000+(p_partkey*977)%100000+100 as bigint) s2, cast(1000+(p_partkey*977)%100000+160 as bigint) e2, cast(1000+(p_partkey*977)%100000+240 as bigint) s3 from part"""),
+    "fx_mates": ("lineitem", """select concat('q',cast(l_orderkey as varchar(12))) qname, concat('chr',cast(l_orderkey%4+1 as varchar(5))) chrom, cast(1000+(l_partkey*37)%5000 as bigint) st, cast(1000+(l_partkey*37)%5000+99 as bigint) en,
+ cast(1000+(l_suppkey*53+l_partkey*7)%5000 as bigint) mate_st, 1+case when l_linenumber%2=1 then 64 else 128 end+case when l_returnflag='R' then 1024 else 0 end+case when l_partkey%6=0 then 4 else 0 end+case when l_linenumber=4 then 8 else 0 end
+ +case when l_linestatus='O' then 16 else 0 end+case when l_quantity>25 then 32 else 0 end flag, concat(cast(4+cast(l_quantity as int) as varchar(4)),'M',cast(190+l_partkey%20 as varchar(5)),case when l_linenumber=2 then 'D' else 'N' end,cast(96-cast(l_quantity as int) as varchar(4)),'M') cigar,
+ cast(4+cast(l_quantity as int) as bigint) m1, cast(190+l_partkey%20 as bigint) gap, cast(96-cast(l_quantity as int) as bigint) m2, translate(md5(cast(l_partkey as varchar(12))),'0123456789abcdef','ACGTACGTACGTACGN') seq, translate(md5(cast(l_orderkey as varchar(12))),'0123456789abcdef','+5II5IIIII5IIIII') qual from lineitem"""),
+    "fx_samples": ("orders", """select o_orderkey ord, case o_orderkey%5 when 0 then concat('SJALL',lpad(cast(o_custkey%1000 as varchar(5)),3,'0'),'_',substr('ABDEGHIOSTXZ',cast(o_custkey%12+1 as int),1),case when o_custkey%2=0 then '-TB' else '' end)
+ when 1 then concat('SJAML',lpad(cast(o_custkey as varchar(12)),6,'0'),'_',substr('ABDGOR',cast(o_custkey%6+1 as int),1),cast(o_custkey%4 as varchar(5))) when 2 then concat('/x/SJE2A012_',substr('DGQ',cast(o_custkey%3+1 as int),1),'.bam')
+ when 3 then concat('Bin',substr('DGQ',cast(o_custkey%3+1 as int),1),cast(o_custkey as varchar(12)),'_x') else concat('s',cast(o_custkey as varchar(12))) end as name from orders"""),
+    "fx_prot": ("orders", """select concat(case when o_custkey%5=0 then 'NP_' else 'NM_' end,cast(o_custkey%300 as varchar(5))) accession, cast(o_orderkey%7+1 as int) version, max(case o_orderkey%7 when 0 then md5(cast(o_custkey%300 as varchar(5))) when 1 then concat(substr(md5(cast(o_custkey%300 as varchar(5))),1,31),'W')
+ when 2 then concat(md5(cast(o_custkey%300 as varchar(5))),'K') when 3 then translate(md5(cast(o_custkey%300 as varchar(5))),'abc','ABC') when 4 then substr(md5(cast(o_custkey%300 as varchar(5))),3,20) else md5(cast(o_custkey%300 as varchar(5))) end) protein from orders group by 1, 2"""),
+    "fx_hits": ("lineitem", """select l_orderkey contig, concat(cast(l_partkey as varchar(12)),'_',cast(l_suppkey as varchar(12)),'_',cast(l_linenumber as varchar(5)),'_',cast(l_extendedprice as varchar(24))) id, cast(1000+(l_orderkey*131)%5000 as bigint) site, cast(1000+(l_orderkey*131)%5000-l_partkey%60 as bigint) tstart,
+ cast(1000+(l_orderkey*131)%5000-l_partkey%60+l_suppkey%90 as bigint) tend, cast(l_quantity as bigint) qstart, cast(l_quantity as bigint)+20+l_partkey%60 qend, cast(140 as bigint) qlen, cast(floor((21+l_partkey%60)*(70+l_suppkey%30)/100) as bigint) matches from lineitem"""),
     "fx_contig": ("documents", """select doc_id, translate(concat(md5(text),md5(concat(text,'1')),md5(concat(text,'2')),
  md5(concat(text,'3'))),'0123456789abcdef','ACGTACGTACGTACGT') seq from documents"""),
 }

@@ -33,6 +33,38 @@ def feature_at(pos: Column, strand: Column, st: Column, en: Column, cds_st: Colu
             .when(pos <= cds_st, F.when(forward, "5utr").otherwise("3utr")).when(pos > cds_en, F.when(forward, "3utr").otherwise("5utr")).otherwise("coding"))
 
 
+def numbered_feature(pos: Column, strand: Column, st: Column, en: Column, cds_st: Column, cds_en: Column, exons: Column, synthesize: Column | bool = False) -> Column:
+    """(feature, number) with closed bounds; exons and introns are numbered from 1 along the strand, 0 outside the transcript.
+
+    Where `synthesize` holds, the whole of a transcript without a coding range counts as coding.
+    """
+    ordered = F.array_sort(exons)
+    none = (F.lit(synthesize) if isinstance(synthesize, bool) else synthesize) & (cds_st >= cds_en)
+    first, last = F.when(none, st).otherwise(cds_st), F.when(none, en).otherwise(cds_en)
+    at = F.size(F.filter(ordered, lambda e: e["st"] <= pos))
+    exonic, forward = F.exists(ordered, lambda e: (e["st"] <= pos) & (pos <= e["en"])), strand == "+"
+    outside = (pos < st) | (pos > en)
+    utr = F.when((pos < first) == forward, "5utr").otherwise("3utr")
+    feature = F.when(outside, "intergenic").when(~exonic, "intron").when((pos >= first) & (pos <= last), "coding").otherwise(utr)
+    number = F.when(outside, 0).when(forward, at).when(exonic, F.size(exons) + 1 - at).otherwise(F.size(exons) - at)
+    return F.struct(feature.alias("feature"), number.alias("number"))
+
+
+def feature_annot(points: DataFrame, transcripts: DataFrame, key: str) -> DataFrame:
+    """(key, text): `feature=tx,tx;feature=tx` of the transcripts at each point, `intergenic=no_transcripts_found` without any."""
+    hits = interval_join(points, transcripts)
+    what = numbered_feature(F.col("st"), F.col("r_strand"), F.col("r_st"), F.col("r_en"), F.col("r_cds_st"), F.col("r_cds_en"), F.col("r_exons"))["feature"]
+    lists = hits.groupBy(key, what.alias("f")).agg(F.array_join(F.array_sort(F.collect_set(F.col("r_tx").cast("string"))), ",").alias("l"))
+    texts = lists.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "f", "l"))), ";").alias("text"))
+    return points.select(key).join(texts, key, "left").select(key, F.coalesce("text", F.lit("intergenic=no_transcripts_found")).alias("text"))
+
+
+def nearest_cds(points: DataFrame, codons: DataFrame, key: str) -> DataFrame:
+    """(key, tx, coding_base, last_base): the coding base nearest to a point in its transcript, the lower position on ties, and the last one."""
+    near = points.select(key, "tx", F.col("pos").alias("at")).join(codons.where("coding_base > 0").select("tx", "pos", "coding_base"), "tx")
+    return near.groupBy(key, "tx").agg(F.min_by("coding_base", F.struct(F.abs(F.col("pos") - F.col("at")), "pos")).alias("coding_base"), F.max("coding_base").alias("last_base"))
+
+
 def feature_score(feature: Column) -> Column:
     return F.coalesce(*[F.when(feature == k, v) for k, v in SCORES.items()])
 

@@ -5,21 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from fusionframe.fixtures import transcripts, view, with_views
+from fusionframe.fixtures import transcripts, view
 from fusionframe.functions import columns as C
 from fusionframe.operators import evidence as E
 from fusionframe.operators import intervals as I
 from fusionframe.operators import proximity as P
 from fusionframe.operators import scoring as S
 from fusionframe.operators import transcripts as T
-
-QUERIES, ORACLES = {}, {}
-
-
-def _register(name, query, sql=None):
-    QUERIES[name] = query
-    if sql:
-        ORACLES[name] = with_views(sql)
+from fusionframe.plans import records  # noqa: F401  (registers its queries)
+from fusionframe.plans.registry import ORACLES, QUERIES
+from fusionframe.plans.registry import register as _register
 
 
 def _points(spark, sf):
