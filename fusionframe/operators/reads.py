@@ -93,18 +93,18 @@ def junction_reads(reads: DataFrame, sites: DataFrame, key: str, extend: int = 1
 
     used = reads.where(flag_is(F.col("flag"), PAIRED) & _lacks(UNMAPPED | MATE_UNMAPPED | DUPLICATE) & F.col("cigar").contains("N"))
     gaps = used.withColumn("_gaps", F.filter(F.transform(ops, gap_at), lambda g: g.isNotNull()))
-    at = sites.select(key, "chrom", F.col("pos").alias("st"), F.col("pos").alias("en"), "clip", "gap")
-    hits = interval_join(gaps, at, pad=extend).withColumn("r_key", F.col(f"r_{key}"))
-    edge = lambda g: F.when(F.col("r_clip") > 0, g["at"]).otherwise(g["at"] + g["len"])
-    start = F.struct(F.lit(True).alias("open"), F.lit(False).alias("hit"))
-
-    def step(acc, g):
-        fits = acc["open"] & g["good"] & (F.abs(g["len"] - F.col("r_gap")) < 10)
-        hit = acc["hit"] | (fits & (F.abs(edge(g) - F.col("r_st")) < extend) & (F.col("r_clip") != 0))
-        return F.struct(fits.alias("open"), hit.alias("hit"))
-
-    found = hits.where(F.aggregate("_gaps", start, step)["hit"])
-    return found.select(F.col("r_key").alias(key), *reads.columns)
+    # One row per gap and kind of edge, with the gaps up to it: few rows lie near a site, while many reads overlap it.
+    each = gaps.select(*[F.col(c).alias(f"_{c}") for c in reads.columns], "_gaps", F.posexplode("_gaps").alias("_i", "_g"))
+    each = each.withColumn("_upto", F.slice("_gaps", 1, F.col("_i") + 1)).where(F.forall("_upto", lambda g: g["good"])).drop("_gaps", "_i")
+    each = each.withColumn("right", F.explode(F.array(F.lit(True), F.lit(False))))
+    edge = lambda g: g["at"] + F.when(F.col("right"), 0).otherwise(g["len"])
+    points = each.withColumns({"chrom": F.col("_chrom"), "st": edge(F.col("_g")), "en": edge(F.col("_g"))})
+    at = sites.select(F.col(key).alias("key"), "chrom", F.col("pos").alias("st"), F.col("pos").alias("en"), "clip", "gap")
+    hits = interval_join(points, at, width=8 * extend, pad=extend - 1).where((F.col("right") & (F.col("r_clip") > 0)) | (~F.col("right") & (F.col("r_clip") < 0)))
+    fits = F.forall("_upto", lambda g: F.abs(g["len"] - F.col("r_gap")) < 10)
+    earlier = F.exists(F.slice("_upto", 1, F.size("_upto") - 1), lambda g: F.abs(edge(g) - F.col("r_st")) < extend)
+    found = hits.where(fits & ~earlier & (F.col("_st") <= F.col("r_st") + extend) & (F.col("_en") >= F.col("r_st") - extend))
+    return found.select(F.col("r_key").alias(key), *[F.col(f"_{c}").alias(c) for c in reads.columns])
 
 
 def clip_quality_ok(qual: Column, clip: Column, side: str) -> Column:
