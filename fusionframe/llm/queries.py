@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and their DuckDB SQL."""
 
-from . import decontamination, langid, packing, pii, sharding, simhash, substrings, topk, toxicity, urls
+from . import alignment, decontamination, langid, mixing, negatives, packing, pii, sharding, simhash, substrings, topk, toxicity, urls
 
 QUERIES = {
     "op1_top_k": topk.op1_top_k,
@@ -13,5 +13,8 @@ QUERIES = {
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_suffix_trees": substrings.op10_suffix_trees,
+    "op11_mixing": mixing.op11_mixing,
+    "op12_hard_negatives": negatives.op12_hard_negatives,
+    "op13_alignment": alignment.op13_alignment,
 }
-ORACLES = {"op1_top_k": topk.OP1_SQL}
+ORACLES = {"op1_top_k": topk.OP1_SQL, "op11_mixing": mixing.OP11_SQL, "op12_hard_negatives": negatives.OP12_SQL}
