@@ -251,10 +251,10 @@ def hard_negatives(rows: DataFrame, anchor: Column, positives: int = 5, negative
     near = near.withColumn("n", F.row_number().over(best)).where(F.col("n") <= positives)
     listed = near.groupBy("anchor_id").agg(F.collect_set(F.struct("positive_id", "positive_score")).alias("wanted"))  # at most `positives` each; a repeated row is asked once
     asked = materialize(anchors.join(listed, anchors["vec_id"] == listed["anchor_id"]).drop("anchor_id", "floor"), "asked")
-    scores = F.col("wanted.positive_score")
+    scores = F.col("wanted.positive_score").cast("array<double>")
     windows = asked.groupBy("home", "dim").agg(F.min(F.array_min(scores)).alias("p"), F.max(F.array_max(scores)).alias("m"))
-    needs = homes.drop("least", "most").join(windows.select(F.col("home").alias("tile"), (F.least(F.col("p"), F.col("p") * low / 100) - 1).cast("double").alias("least"),
-                                                            (F.greatest(F.col("m"), F.lit(0)) * high / 100 + 1).cast("double").alias("most")), "tile")
+    needs = homes.drop("least", "most").join(windows.select(F.col("home").alias("tile"), (F.least(F.col("p"), F.col("p") * low / 100) - 1).alias("least"),
+                                                            (F.greatest(F.col("m"), F.lit(0.0)) * high / 100 + 1).alias("most")), "tile")
 
     def find_negatives(key, left, right):
         out = []
