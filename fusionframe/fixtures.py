@@ -53,6 +53,15 @@ VIEWS = {
  when 2 then concat(md5(cast(o_custkey%300 as varchar(5))),'K') when 3 then translate(md5(cast(o_custkey%300 as varchar(5))),'abc','ABC') when 4 then substr(md5(cast(o_custkey%300 as varchar(5))),3,20) else md5(cast(o_custkey%300 as varchar(5))) end) protein from orders group by 1, 2"""),
     "fx_hits": ("lineitem", """select l_orderkey contig, concat(cast(l_partkey as varchar(12)),'_',cast(l_suppkey as varchar(12)),'_',cast(l_linenumber as varchar(5)),'_',cast(l_extendedprice as varchar(24))) id, cast(1000+(l_orderkey*131)%5000 as bigint) site, cast(1000+(l_orderkey*131)%5000-l_partkey%60 as bigint) tstart,
  cast(1000+(l_orderkey*131)%5000-l_partkey%60+l_suppkey%90 as bigint) tend, cast(l_quantity as bigint) qstart, cast(l_quantity as bigint)+20+l_partkey%60 qend, cast(140 as bigint) qlen, cast(floor((21+l_partkey%60)*(70+l_suppkey%30)/100) as bigint) matches from lineitem"""),
+    "fx_psl": ("lineitem", """select contig, id, tname, tstart, cast(tstart+l1+case when l2>0 then gt+l2 else 0 end-1 as bigint) tend, qstart, cast(qstart+l1+case when l2>0 then gq+l2 else 0 end-1 as bigint) qend, qstrand, cast(200 as bigint) qlen,
+ cast(l1+l2-mm as bigint) matches, mm mismatches, l1, l2, gt, gq, sc_chrom, sc_site, clip from (select contig, id, clip, qstrand, sc_chrom, sc_site, case when far then 'chrX' when p%7=0 then substr(sc_chrom,4,9) else sc_chrom end tname, qstart, l1, l2, gt, gq,
+ cast(case p%4 when 0 then 0 when 1 then s%3 when 2 then s%9 else s%25 end as bigint) mm, cast(greatest(1, case role when 0 then sc_site-l1-p%5+2 when 1 then case when clip>0 then sc_site-l1+p%9 else sc_site-p%9+3 end when 2 then sc_site+(p*131+s)%30000-9000 else 5000+p%400 end) as bigint) tstart
+ from (select *, role=3 or (role=0 and s%9=0) far, case when role=0 then cast(1+s%24 as bigint) when first then cast(1+s%20 as bigint) else cast(88+p%30 as bigint) end qstart,
+ cast(case when role=0 then 60+p%50 when role=4 then 20+p%12 when first then 75+p%30 else 70+s%12 end as bigint) l1, cast(case when role=0 and p%6>0 then 60+s%40 when h%3=0 and role in (1,2) then 12+p%9 else 0 end as bigint) l2,
+ cast(case when role=0 and k%3<2 then 40+p%700 when h%3=0 then 30+p%90 else 0 end as bigint) gt, cast(case when role=0 and k%3=2 then 4+p%20 else 0 end as bigint) gq
+ from (select l_orderkey k, l_orderkey contig, l_partkey p, l_suppkey s, l_linenumber h, concat(cast(l_partkey as varchar(12)),'_',cast(l_suppkey as varchar(12)),'_',cast(l_linenumber as varchar(5)),'_',cast(l_extendedprice as varchar(24))) id,
+ case when l_orderkey%2=0 then 1 else -1 end clip, case when (l_orderkey+l_linenumber)%4=0 then -1 else 1 end qstrand, concat('chr',cast(l_orderkey%3+1 as varchar(5))) sc_chrom, cast(20000+(l_orderkey*131)%5000 as bigint) sc_site,
+ case when l_orderkey%4=0 then (l_partkey%3) else 1+l_partkey%4 end role, case when l_partkey%5>0 then (l_orderkey%2=0)=((l_partkey%4)=0) else l_partkey%2=0 end first from lineitem) a) b) c"""),
     "fx_contig": ("documents", """select doc_id, translate(concat(md5(text),md5(concat(text,'1')),md5(concat(text,'2')),
  md5(concat(text,'3'))),'0123456789abcdef','ACGTACGTACGTACGT') seq from documents"""),
 }
@@ -71,6 +80,20 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "fx_tx").withColumn("exons", exons).drop("e1", "s2", "e2", "s3")
 
 
+def mappings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(hits, sites, contigs): fx_psl with its one or two blocks as an array, the site of each contig, and a sequence of its length."""
+    from pyspark.sql import functions as F
+    rows = view(spark, sf_dir, "fx_psl")
+    forward = F.col("qstrand") > 0
+    first = F.struct(F.col("tstart").alias("t"), F.when(forward, F.col("qstart")).otherwise(F.col("qend")).alias("q"), F.col("l1").alias("len"))
+    step = F.col("l1") + F.col("gq")
+    second = F.struct((F.col("tstart") + F.col("l1") + F.col("gt")).alias("t"), F.when(forward, F.col("qstart") + step).otherwise(F.col("qend") - step).alias("q"), F.col("l2").alias("len"))
+    hits = rows.withColumn("blocks", F.when(F.col("l2") > 0, F.array(first, second)).otherwise(F.array(first)))
+    sites = rows.select("contig", "sc_chrom", "sc_site", "clip").distinct()
+    letters = F.translate(F.concat(*[F.md5(F.concat(F.col("contig").cast("string"), F.lit(f"_{i}")).cast("binary")) for i in range(7)]), "0123456789abcdef", "ACGTACGTACGTACGT")
+    return hits.drop("l1", "l2", "gt", "gq", "sc_chrom", "sc_site", "clip"), sites, sites.select("contig", F.substring(letters, 1, 200).alias("seq"))
+
+
 def with_views(sql: str) -> str:
     """DuckDB text with the views it names in front."""
     used = [f"{n} as ({s})" for n, (_, s) in VIEWS.items() if n in sql]
