@@ -62,6 +62,9 @@ VIEWS = {
  from (select l_orderkey k, l_orderkey contig, l_partkey p, l_suppkey s, l_linenumber h, concat(cast(l_partkey as varchar(12)),'_',cast(l_suppkey as varchar(12)),'_',cast(l_linenumber as varchar(5)),'_',cast(l_extendedprice as varchar(24))) id,
  case when l_orderkey%2=0 then 1 else -1 end clip, case when (l_orderkey+l_linenumber)%4=0 then -1 else 1 end qstrand, concat('chr',cast(l_orderkey%3+1 as varchar(5))) sc_chrom, cast(20000+(l_orderkey*131)%5000 as bigint) sc_site,
  case when l_orderkey%4=0 then (l_partkey%3) else 1+l_partkey%4 end role, case when l_partkey%5>0 then (l_orderkey%2=0)=((l_partkey%4)=0) else l_partkey%2=0 end first from lineitem) a) b) c"""),
+    "fx_maps": ("lineitem", """select l_orderkey contig, concat('m',cast(l_partkey%60 as varchar(12))) as read, case when l_linenumber%2=0 then 'b' else 'a' end side, cast(60+l_partkey%40-l_suppkey%4 as bigint) matches, cast(l_suppkey%3 as bigint) qstart, cast(l_suppkey%3+60+l_partkey%40 as bigint) qend,
+ cast((l_partkey*7+l_suppkey)%90+20 as bigint) tstart, cast((l_partkey*7+l_suppkey)%90+80+l_partkey%40 as bigint) tend from lineitem"""),
+    "fx_cuts": ("orders", """select o_orderkey key, o_orderkey contig, cast(60+o_custkey%80 as bigint) pos, case when o_custkey%2=0 then 1 else -1 end ort from orders"""),
     "fx_contig": ("documents", """select doc_id, translate(concat(md5(text),md5(concat(text,'1')),md5(concat(text,'2')),
  md5(concat(text,'3'))),'0123456789abcdef','ACGTACGTACGTACGT') seq from documents"""),
 }

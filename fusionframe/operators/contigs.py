@@ -8,6 +8,7 @@ hits together. Rows with a null contig join nothing.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -291,3 +292,146 @@ def overhang_second(pm: DataFrame, hits: DataFrame, least: int = MIN_HIT, min_di
     return out.select("key", "contig", "id", "n", "ort", "tname", "tstart", "tend", F.when(_c("ort") * _c("qstrand") > 0, _c("tend")).otherwise(_c("tstart")).alias("tpos"),
                       _c("qs").alias("qstart"), _c("qe").alias("qend"), F.when(_c("ort") > 0, _c("qe")).otherwise(_c("qs")).alias("qpos"), "qstrand", "matches", _c("part").alias("percent"),
                       F.when(_c("pick").isNotNull(), 0.0).otherwise(score).alias("repeat"))
+
+
+def choose_pairs(rows: list[dict], most: int, read_len: int, least: int, min_distance: int) -> list[dict]:
+    """The pairs that stay of one site's: `events` within hits first, then the candidates of each contig in order (see `detect_pairs`)."""
+    events = [r for r in rows if r["step"] == 0]
+    total = lambda r: r["matchesa"] + r["matchesb"]
+    apart = lambda r: abs(r["tposa"] - r["tposb"])
+    n, bad, mapped = rows[0]["n_contigs"], rows[0]["n_bad"], rows[0]["n_mapped"]
+    kept = sorted(events, key=lambda r: (r["place"], r["n"]))
+    whole = any(not r["itd"] and total(r) > r["qlen"] - least and apart(r) < min_distance for r in kept)
+    contigs: dict = {}
+    for r in sorted((r for r in rows if r["step"]), key=lambda r: (r["place"], r["step"], r["n"])):
+        contigs.setdefault(r["contig"], []).append(r)
+    if (whole and n == bad + mapped) or not contigs:
+        return kept
+    for contig, found in contigs.items():
+        own = [r for r in events if r["contig"] == contig]
+        best_local = max(map(total, own), default=0)
+        done = any(not r["itd"] and r["matchesa"] + r["matchesb"] / r["qlen"] > 0.99 for r in own)
+        local = [] if done else [r for r in found if r["step"] == 1]
+        for r in local:
+            if best_local >= total(r) or apart(r) > min_distance:
+                continue
+            best_local = total(r)
+            done = done or min(r["matchesa"], r["matchesb"]) > 2 * least or best_local > r["qlen"] - least
+        others = [] if done else [r for r in found if r["step"] == 2]
+        if not done and not others and not local:
+            others = [r for r in found if r["step"] == 3]
+        wanted = []
+        for r in local + others:
+            near = r["tnamea"] == r["tnameb"] and apart(r) < min_distance
+            if (near and not r["site_mapped"] and total(r) < best_local) or (not near and total(r) < best_local + 5):
+                continue
+            wanted.append((r, near))
+        if not wanted or (len(wanted) >= most and wanted[0][0]["qlen"] < read_len + 5):
+            continue
+        floor = sorted((total(r) for r, _ in wanted), reverse=True)[most - 1] if len(wanted) > most else 0
+        mine = []
+        for r, _ in wanted:
+            r = r | {"tposa": r["enda"], "tposb": r["endb"]}
+            if total(r) < floor or total(r) < r["best"]:
+                continue
+            if len(mine) == most:
+                break
+            if r["tnamea"] == r["tnameb"] and apart(r) < min_distance:
+                mine.append(r)
+                break
+            at = next((i for i, k in enumerate(kept) if any(
+                r["tnamea"] == k[f"tname{x}"] and r["tnameb"] == k[f"tname{y}"] and abs(r["tposa"] - k[f"tpos{x}"]) < 50 and abs(r["tposb"] - k[f"tpos{y}"]) < 50
+                for x, y in ("ab", "ba"))), None)
+            if at is not None:
+                if r["matchesa"] * r["matchesb"] > kept[at]["matchesa"] * kept[at]["matchesb"]:
+                    kept[at] = r
+                continue
+            if r["second"]:
+                mine = []
+                break
+            mine.append(r)
+        kept += mine
+    return kept
+
+
+def detect_pairs(hits: DataFrame, sites: DataFrame, contigs: DataFrame, second_hits: DataFrame, read_len: int, most: int = 10, least: int = MIN_HIT,
+                 min_distance: int = MIN_DISTANCE) -> DataFrame:
+    """Pairs of breakpoints from sorted hits: contig, id, step, itd and both ends (columns of END with a and b), repeata and repeatb.
+
+    step 0 are events within hits over the site (`block_events`). Contigs with a partial hit at the site that are not explained by one get
+    partners on its target (1), else on others (2), else from second-pass hits (3). A contig's candidates must reach its local matches and its best hit; those of a
+    short contig with `most` or more go, of more only the `most` best stay. A candidate within 50 bases of a pair of the site takes its place if
+    the product of its matches is greater; a far one whose second end explains the contig as well on that target ends the contig without
+    pairs, a near one ends it with that. Where an event explains a site and all its contigs are bad or map over it, only events stay. Contigs come by
+    length, the longest first, and name. Only the last step sees all pairs of a site together.
+    """
+    triage = triage_contigs(hits, sites, read_len, least)
+    events = block_events(hits, sites, triage.where("site_mapped"), least)
+    pm = partial_hits(hits, sites, triage, contigs, least).withColumn("key", _c("contig"))
+    b_end = ["contig", "id", "n", *[_c(c).alias(f"{c}b") for c in END]]
+    partners = overhang_local(pm, hits, read_len, least, min_distance).select(F.lit(1).alias("step"), *b_end, F.lit(None).cast("double").alias("repeat2"))
+    partners = partners.unionByName(overhang_remote(pm, hits, least).select(F.lit(2).alias("step"), *b_end, F.lit(None).cast("double").alias("repeat2")))
+    partners = partners.unionByName(overhang_second(pm, second_hits, least, min_distance).select(F.lit(3).alias("step"), *b_end, _c("repeat").alias("repeat2")))
+    a_end = pm.select("contig", "sc_site", "qlen", "best", _c("repeat").alias("repeat1"), *[_c(c).alias(f"{c}a") for c in END])
+    pairs = a_end.join(partners, "contig").withColumn("key", F.concat_ws("/", _c("contig").cast("string"), "step", _c("n").cast("string")))
+
+    def outer(x: str) -> Column:
+        return F.when(_c(f"qstrand{x}") * _c(f"ort{x}") < 0, _c(f"tstart{x}")).otherwise(_c(f"tend{x}"))
+
+    pairs = pairs.withColumns({"enda": outer("a"), "endb": outer("b"), **{f"q{x}": F.when(_c(f"ort{x}") > 0, _c(f"qend{x}")).otherwise(_c(f"qstart{x}")) for x in "ab"}})
+    first = _c("enda") - _c("sc_site") > 50
+    fixed = {"tpos": ("enda", "endb"), "qpos": ("qa", "qb")}
+    second = pairs.select("key", "contig", *[F.when(first, _c(fixed.get(c, (f"{c}a",))[0])).otherwise(_c(fixed.get(c, ("", f"{c}b"))[1])).alias(c) for c in END],
+                          (_c("matchesa") + _c("matchesb")).alias("sum"), "qlen")
+    again = overhang_local(second, hits, read_len, least, min_distance).select("key", _c("matches").alias("m2"), _c("tpos").alias("t2"))
+    both = again.join(second.select("key", "sum", "qlen", "matches", "tpos"), "key")
+    explains = (_c("matches") + _c("m2") >= _c("sum")) | (F.least("matches", "m2") > 2 * least) | (_c("matches") + _c("m2") > _c("qlen") - 2 * least)
+    local = both.where((F.abs(_c("t2") - _c("tpos")) <= min_distance) & explains).select("key").distinct().withColumn("second", F.lit(True))
+    pairs = pairs.join(local, "key", "left").withColumns({"second": F.coalesce("second", F.lit(False)), "itd": F.lit(False)})
+    fields = ["contig", "id", "n", "step", "itd", "qlen", *[f"{c}{x}" for x in "ab" for c in END if c != "percent"], "repeata", "repeatb"]
+    pairs = pairs.withColumns({"repeata": _c("repeat1"), "repeatb": _c("repeat2")}).select(*fields, "enda", "endb", "second", "best")
+    none = F.lit(None)
+    events = events.withColumns({"step": F.lit(0), "repeata": F.lit(0.0), "repeatb": F.lit(0.0)}).select(
+        *fields, none.cast("long").alias("enda"), none.cast("long").alias("endb"), F.lit(False).alias("second"), none.cast("long").alias("best"))
+    counted = contigs.select("contig").join(sites, "contig").join(triage.select("contig", "bad", "site_mapped"), "contig", "left")
+    per_site = counted.groupBy("sc_chrom", "sc_site", "clip").agg(F.count("*").alias("n_contigs"), F.count_if("bad").alias("n_bad"), F.count_if("site_mapped").alias("n_mapped"))
+    where = counted.select("contig", "sc_chrom", "sc_site", "clip", F.coalesce("site_mapped", F.lit(False)).alias("site_mapped")).join(per_site, ["sc_chrom", "sc_site", "clip"])
+    rows = pairs.unionByName(events).join(where, "contig").where(_c("n_contigs") > _c("n_bad"))
+    rows = rows.withColumn("place", F.struct(-_c("qlen"), _c("contig")))
+    schema = rows.select(*fields).schema
+
+    def choose(table):
+        listed = table.to_pylist()
+        for r in listed:
+            r["place"] = tuple(r["place"].values())
+        kept = choose_pairs(listed, most, read_len, least, min_distance)
+        return pa.Table.from_pylist([{k: r[k] for k in fields} for r in kept], schema=table.select(fields).schema)
+
+    return rows.groupBy("sc_chrom", "sc_site", "clip").applyInArrow(choose, schema)
+
+
+def requantify(pairs: DataFrame, events: DataFrame, maps: DataFrame, near: int = 50, cutoff: int = 5, least: int = MIN_HIT) -> DataFrame:
+    """Read support of pairs (ord, chra, posa, chrb, posb) on the events of their contigs: ord, event, swapped, readsa, areaa, readsb, areab.
+
+    An event (unique `event`, ord, contig and both ends with tname, tpos, qpos, ort) of a pair counts if both ends lie within `near` bases of the pair's, straight or,
+    failing that, swapped. maps are the reads of the pair's sides mapped to its contigs: ord, side (a, b: the end that the read was gathered
+    for), contig and the columns of `junction_support`. An end takes the reads of its own side; with no row for that side and contig it has 0 reads and area 1.
+    """
+    from .evidence import junction_support
+
+    e = events.select("event", "ord", "contig", *[f"{c}{x}" for x in "ab" for c in ("tname", "tpos", "qpos", "ort")])
+
+    def fits(x: str, y: str) -> Column:
+        return ((_c("chra") == _c(f"tname{x}")) & (F.abs(_c("posa") - _c(f"tpos{x}")) < near) & (_c("chrb") == _c(f"tname{y}")) & (F.abs(_c("posb") - _c(f"tpos{y}")) < near))
+
+    matched = pairs.select("ord", "chra", "posa", "chrb", "posb").join(e, "ord").withColumn("straight", fits("a", "b")).where(_c("straight") | fits("b", "a"))
+    ends = matched.select("event", "ord", "contig", "straight", F.explode(F.array(*[F.struct(
+        F.lit(x).alias("end"), F.when(_c("straight"), F.lit(x)).otherwise(F.lit(y)).alias("side"), _c(f"qpos{x}").alias("pos"), _c(f"ort{x}").alias("ort")) for x, y in ("ab", "ba")])).alias("p"))
+    place = F.concat_ws("/", _c("ord").cast("string"), "side", _c("contig").cast("string"))  # the reads of one side on one contig
+    points = ends.select("event", "ord", "straight", "contig", "p.*").withColumns({"key": F.concat_ws("/", _c("event").cast("string"), "end"), "place": place})
+    read = maps.withColumn("place", place).drop("contig").withColumnRenamed("place", "contig")
+    support = junction_support(read, points.select("key", _c("place").alias("contig"), "pos", "ort"), "key", cutoff, least)
+    known = read.select(_c("contig").alias("place")).distinct().withColumn("known", F.lit(True))
+    rows = points.join(support, "key").join(known, "place", "left").withColumn("area", F.when(_c("known"), _c("support")).otherwise(1))
+    pick = lambda c, x: F.max(F.when(_c("end") == x, _c(c)))
+    return rows.groupBy("ord", "event", (~_c("straight")).alias("swapped")).agg(pick("reads", "a").alias("readsa"), pick("area", "a").alias("areaa"), pick("reads", "b").alias("readsb"), pick("area", "b").alias("areab"))

@@ -136,11 +136,21 @@ def depth_gate(sites: DataFrame) -> DataFrame:
     return sites.where((F.col("depth") > 0) & (((F.col("depth") < 2000) & (F.col("reads") > F.col("depth") / 200)) | (F.col("reads") > F.col("depth") / 20)))
 
 
-def junction_support(hits: DataFrame, keys: list[str], length: str, read: str) -> DataFrame:
-    """(keys, support, reads): the sum of support lengths, each length of a key at most twice, and its different reads."""
-    one = hits.groupBy(*keys, read).agg(F.max(length).alias(length))
-    return one.groupBy(*keys, length).agg(F.count("*").alias("n")).groupBy(*keys).agg(
-        F.sum(F.col(length) * F.least("n", F.lit(2))).cast("long").alias("support"), F.sum("n").alias("reads"))
+def junction_support(maps: DataFrame, points: DataFrame, key: str, cutoff: int = 5, least: int = 25, identity: float = 0.95) -> DataFrame:
+    """(key, reads, support): the different reads that map over a point of a contig, and the sum of the lengths by which they reach past it.
+
+    Points have the unique `key`, contig, pos and ort; a mapping row (contig, read, matches, qstart, qend, tstart, tend; starts from 0) counts with
+    over `least` matches, more than `identity` of its range and over `cutoff` bases on both sides of the point. It reaches up to
+    its end where ort is positive, else down to its start; of the rows of one length two count. Points without a row have zeros.
+    """
+    used = maps.where((F.col("matches") > least) & (F.try_divide("matches", F.col("qend") - F.col("qstart")) > identity))
+    hits = points.select(key, "contig", "pos", "ort").join(used.select("contig", "read", "tstart", "tend"), "contig").where(
+        (F.col("tend") > F.col("pos") + cutoff) & (F.col("tstart") < F.col("pos") - cutoff))
+    length = F.when(F.col("ort") > 0, F.col("tend") - F.col("pos")).otherwise(F.col("pos") - F.col("tstart"))
+    sized = hits.select(key, "read", length.alias("length"))
+    support = sized.groupBy(key, "length").agg(F.count("*").alias("n")).groupBy(key).agg(F.sum(F.col("length") * F.least("n", F.lit(2))).cast("long").alias("support"))
+    reads = sized.select(key, "read").distinct().groupBy(key).agg(F.count("*").alias("reads"))
+    return points.select(key).join(reads, key, "left").join(support, key, "left").na.fill(0, ["reads", "support"])
 
 
 def partner_recurrence(pairs: DataFrame, least: int, exempt: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sweep import runs_by_gap
+
 NEAR = 10
 
 
@@ -41,6 +43,13 @@ def fold_pairs(rows: list[dict], mode: str, near: int = NEAR) -> list[dict]:
     return kept
 
 
+def _near_blocks(rows: DataFrame, near: int) -> DataFrame:
+    """Add c1, c2 (the chroms in order) and `block`: rows of different blocks are at least `near` apart at the end on c1 (the lower one on one chrom)."""
+    place = F.when(F.col("chra") == F.col("chrb"), F.least("posa", "posb")).when(F.col("chra") < F.col("chrb"), F.col("posa")).otherwise(F.col("posb"))
+    keyed = rows.select("*", F.least("chra", "chrb").alias("c1"), F.greatest("chra", "chrb").alias("c2"), place.alias("place"))
+    return runs_by_gap(keyed, ["c1", "c2"], "place", near, "block").drop("place")
+
+
 def dedupe_pairs(pairs: DataFrame, mode: str = "raw", near: int = NEAR) -> DataFrame:
     """Greedy proximity de-duplication in order of the unique column `ord` (see `fold_pairs`).
 
@@ -49,11 +58,7 @@ def dedupe_pairs(pairs: DataFrame, mode: str = "raw", near: int = NEAR) -> DataF
     """
     fields = ["ord", "chra", "posa", "chrb", "posb", "readsa", "readsb", "matcha", "matchb"]
     rows = pairs.select(*fields).dropna(subset=["ord", "chra", "posa", "chrb", "posb"])
-    place = F.when(F.col("chra") == F.col("chrb"), F.least("posa", "posb")).when(F.col("chra") < F.col("chrb"), F.col("posa")).otherwise(F.col("posb"))
-    keyed = rows.select(*fields, F.least("chra", "chrb").alias("c1"), F.greatest("chra", "chrb").alias("c2"), place.alias("place"))
-    order = Window.partitionBy("c1", "c2").orderBy("place", "ord")
-    cut = F.when(F.col("place") - F.lag("place").over(order) < near, 0).otherwise(1)
-    blocks = keyed.withColumn("cut", cut).withColumn("block", F.sum("cut").over(order)).drop("cut", "place")
+    blocks = _near_blocks(rows, near)
 
     def fold(table):
         return pa.Table.from_pylist(fold_pairs(table.select(fields).to_pylist(), mode, near), schema=table.select(fields).schema)
@@ -62,18 +67,41 @@ def dedupe_pairs(pairs: DataFrame, mode: str = "raw", near: int = NEAR) -> DataF
     return blocks.groupBy("c1", "c2", "block").applyInArrow(fold, schema)
 
 
+def fold_candidates(rows: list[dict], near: int) -> list[dict]:
+    """The rows left when each in turn replaces the first kept row near it, either way round, if its product of matches is greater; without one near, it is kept."""
+    kept, cells = [], {}
+    for r in sorted(rows, key=lambda r: r["ord"]):
+        if r["chra"] == r["chrb"]:
+            spots = [(r["posa"], r["posb"]), (r["posb"], r["posa"])]
+        else:
+            spots = [(r["posa"], r["posb"])] if r["chra"] < r["chrb"] else [(r["posb"], r["posa"])]
+        found = {i for x, y in spots for d in (-1, 0, 1) for i in cells.get(x // near + d, ()) if abs(kept[i][0] - x) < near and abs(kept[i][1] - y) < near}
+        place = spots[0]
+        if not found:
+            cells.setdefault(place[0] // near, set()).add(len(kept))
+            kept.append((*place, r))
+            continue
+        i = min(found)
+        if r["matcha"] * r["matchb"] > kept[i][2]["matcha"] * kept[i][2]["matchb"]:
+            cells[kept[i][0] // near].discard(i)
+            cells.setdefault(place[0] // near, set()).add(i)
+            kept[i] = (*place, r)
+    return [k[2] for k in kept]
+
+
 def merge_candidates(pairs: DataFrame, near: int = 50) -> DataFrame:
-    """Of pairs within `near` at both ends, either way round, those that no greater product of matches lies next to (ties: the first)."""
-    weight = F.col("matcha") * F.col("matchb")
-    cell = F.floor(F.col("posa") / near)
-    one = pairs.select("ord", "chra", "posa", "chrb", "posb", weight.alias("w"))
-    turned = one.select("ord", F.col("chrb").alias("chra"), F.col("posb").alias("posa"), F.col("chra").alias("chrb"), F.col("posa").alias("posb"), "w")
-    other = one.unionByName(turned).select(F.col("ord").alias("o2"), "chra", F.col("posa").alias("pa"), "chrb", F.col("posb").alias("pb"), F.col("w").alias("w2"),
-                                           F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
-    beaten = one.withColumn("cell", cell).join(other, ["chra", "chrb", "cell"]).where(
-        (F.abs(F.col("posa") - F.col("pa")) < near) & (F.abs(F.col("posb") - F.col("pb")) < near)
-        & ((F.col("w2") > F.col("w")) | ((F.col("w2") == F.col("w")) & (F.col("o2") < F.col("ord"))))).select("ord").distinct()
-    return pairs.join(beaten, "ord", "left_anti")
+    """Ordered merge by the unique column `ord`: of pairs within `near` at both ends, either way round, the greater product of matches takes the place (see `fold_candidates`).
+
+    Rows are cut into blocks that no near pair crosses, as in `dedupe_pairs`, and each block is folded alone; rows with null ends or matches go.
+    """
+    fields = ["ord", "chra", "posa", "chrb", "posb", "matcha", "matchb"]
+    rows = pairs.select(*fields).dropna(subset=fields)
+
+    def fold(table):
+        return pa.Table.from_pylist([{"ord": r["ord"]} for r in fold_candidates(table.select(fields).to_pylist(), near)], schema=pa.schema([table.schema.field("ord")]))
+
+    kept = _near_blocks(rows, near).groupBy("c1", "c2", "block").applyInArrow(fold, f"ord {rows.schema['ord'].dataType.simpleString()}")
+    return pairs.join(kept, "ord", "left_semi")
 
 
 def merge_sites(sites: DataFrame, key: list[str], count: str, order: str) -> DataFrame:
@@ -93,11 +121,16 @@ def offset_lookup(points: DataFrame, sites: DataFrame, key: str, most: int = 5)
     return hit.groupBy(key).agg(first.alias("r")).select(key, "r.*")
 
 
-def top_hits(hits: DataFrame, group: str, value: str, order: str, k: int) -> DataFrame:
-    """The hits of each group that are no worse than its k-th best; ties at that value all stay."""
-    by = Window.partitionBy(group).orderBy(F.desc(value), order)
-    kth = hits.withColumn("_n", F.row_number().over(by)).where(F.col("_n") == F.lit(k)).select(group, F.col(value).alias("_least"))
-    return hits.join(kth, group, "left").where(F.col("_least").isNull() | (F.col(value) >= F.col("_least"))).drop("_least")
+def top_hits(hits: DataFrame, k: int, read_len: int) -> DataFrame:
+    """The hits (contig, ord, matches, qlen, best) of each contig that reach its k-th most matches and `best`, the first k of them by `ord`.
+
+    A contig with k hits or more and under read_len + 5 bases is left out; with up to k hits only `best` is asked.
+    """
+    every = Window.partitionBy("contig")
+    ranked = hits.withColumns({"_n": F.count("*").over(every), "_r": F.row_number().over(every.orderBy(F.desc("matches"), "ord"))})
+    ranked = ranked.withColumn("_least", F.max(F.when(F.col("_r") == k, F.col("matches"))).over(every))
+    kept = ranked.where(~((F.col("_n") >= k) & (F.col("qlen") < read_len + 5)) & ((F.col("_n") <= k) | (F.col("matches") >= F.col("_least"))) & (F.col("matches") >= F.col("best")))
+    return kept.withColumn("_i", F.row_number().over(every.orderBy("ord"))).where(F.col("_i") <= k).drop("_n", "_r", "_least", "_i")
 
 
 def chunk_by_sum(counts: list[int], limit: int) -> list[int]:

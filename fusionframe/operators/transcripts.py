@@ -199,17 +199,19 @@ def symbol_of(rows: DataFrame, transcripts: DataFrame, accession: str) -> DataFr
     return rows.join(known.select(accession, F.col("genes")[0].alias("symbol")), accession, "left")
 
 
-def genes_between(pairs: DataFrame, genes: DataFrame, margin: int = 10_000) -> DataFrame:
-    """(ord, genes): genes with over 300 coding bases that lie wholly between the ends of a pair and inside no other such gene.
+def genes_between(pairs: DataFrame, genes: DataFrame, margin: int = 10_000, strand: str | None = None) -> DataFrame:
+    """(ord, genes): genes with over 300 coding bases that lie wholly between the ends of a pair and inside no other gene of their strand.
 
-    0 if one gene spans both ends, give or take `margin`. Genes have gene, chrom, st, en and cds_length.
+    0 if one gene spans both ends, give or take `margin`. Genes have gene, chrom, strand, st, en and cds_length; with `strand` (+ or -)
+    only that strand's genes are looked at.
     """
+    genes = genes.where(F.col("strand") == strand) if strand else genes
     spans = pairs.where("chra = chrb").select("ord", F.col("chra").alias("chrom"), F.least("posa", "posb").alias("st"), F.greatest("posa", "posb").alias("en"))
     hits = interval_join(spans, genes).withColumn("over", (F.col("r_st") <= F.col("st") + margin) & (F.col("r_en") >= F.col("en") - margin))
     inside = (F.col("r_st") > F.col("st")) & (F.col("r_en") < F.col("en"))
     listed = hits.groupBy("ord").agg(F.bool_or("over").alias("over"), F.collect_list(F.struct(
-        F.col("r_gene").alias("g"), F.col("r_st").alias("s"), F.col("r_en").alias("e"), (inside & (F.col("r_cds_length") > 300)).alias("ok"))).alias("found"))
-    free = F.filter("found", lambda x: x["ok"] & ~F.exists("found", lambda y: (y["g"] != x["g"]) & (y["s"] < x["s"]) & (y["e"] > x["e"])))
+        F.col("r_gene").alias("g"), F.col("r_strand").alias("d"), F.col("r_st").alias("s"), F.col("r_en").alias("e"), (inside & (F.col("r_cds_length") > 300)).alias("ok"))).alias("found"))
+    free = F.filter("found", lambda x: x["ok"] & ~F.exists("found", lambda y: (y["g"] != x["g"]) & (y["d"] == x["d"]) & (y["s"] < x["s"]) & (y["e"] > x["e"])))
     counts = listed.select("ord", F.when(F.col("over"), 0).otherwise(F.size(free)).cast("long").alias("genes"))
     return spans.select("ord").join(counts, "ord", "left").select("ord", F.coalesce("genes", F.lit(0)).cast("long").alias("genes"))
 

@@ -103,9 +103,9 @@ _register("U03_subtract_intervals", lambda s, d: I.subtract_intervals(
     view(s, d, "fx_genes").groupBy("chrom").agg((F.max("en") + 500).alias("len")), view(s, d, "fx_genes")),
     _MERGED + """, p as (select chrom, coalesce(lag(en) over (partition by chrom order by st),0)+1 st, st-1 en from m
  union all select chrom, max(en)+1, max(en)+500 from m group by 1) select chrom, st, en from p where en>=st""")
-_register("A12_junction_support", lambda s, d: E.junction_support(view(s, d, "fx_sam"), ["chrom", "strand"], "clip", "qname"),
-          """, o as (select chrom, strand, qname, max(clip) clip from fx_sam group by 1,2,3), n as (select chrom, strand, clip, count(*) n from o group by 1,2,3)
- select chrom, strand, cast(sum(clip*least(n,2)) as bigint) support, cast(sum(n) as bigint) reads from n group by 1,2""")
+_register("A12_junction_support", lambda s, d: E.junction_support(view(s, d, "fx_maps"), view(s, d, "fx_cuts"), "key"),
+          """, l as (select c.key, m.read, case when c.ort>0 then tend-pos else pos-tstart end length from fx_cuts c join fx_maps m on m.contig=c.contig and m.matches>25 and cast(m.matches as double)/(m.qend-m.qstart)>0.95 and tend>pos+5 and tstart<pos-5)
+ select c.key, (select count(distinct read) from l where l.key=c.key) reads, coalesce((select cast(sum(length) as bigint) from (select length from l where l.key=c.key qualify row_number() over (partition by length order by read)<=2) z), 0) support from fx_cuts c""")
 _NAMES = """, na as (select ord, unnest(string_split(replace(genea,'|',','),',')) x from fx_svs), nb as (select ord, unnest(string_split(replace(geneb,'|',','),',')) y from fx_svs)"""
 _register("A08_partner_recurrence", lambda s, d: E.partner_recurrence(view(s, d, "fx_svs"), 10, view(s, d, "fx_deny")),
           _NAMES + """, p as (select distinct least(x,y) x, greatest(x,y) y from na join nb on na.ord=nb.ord where x<>y), e as (select x gene from p union all select y from p)
@@ -197,10 +197,14 @@ for _mode, _key in (("raw", "W02"), ("annotated", "W03"), ("rank", "W04")):
 _register("W05_merge_sites", lambda s, d: P.merge_sites(view(s, d, "fx_svs").select("chra", "posa", "orta", "readsa", "ord"), ["chra", "posa", "orta"], "readsa", "ord"),
           "select chra, posa, orta, arg_max(readsa, ord) readsa, max(ord) ord from fx_svs where readsa>0 group by 1,2,3")
 _register("M07_merge_candidates", lambda s, d: P.merge_candidates(view(s, d, "fx_svs")).select("ord"),
-          """select ord from fx_svs l where not exists (select 1 from fx_svs r where r.ord<>l.ord and (r.matcha*r.matchb>l.matcha*l.matchb or (r.matcha*r.matchb=l.matcha*l.matchb and r.ord<l.ord))
- and ((r.chra=l.chra and r.chrb=l.chrb and abs(r.posa-l.posa)<50 and abs(r.posb-l.posb)<50) or (r.chra=l.chrb and r.chrb=l.chra and abs(r.posb-l.posa)<50 and abs(r.posa-l.posb)<50)))""")
-_register("W07_top_hits", lambda s, d: P.top_hits(view(s, d, "fx_svs").select("ord", "chra", "matcha"), "chra", "matcha", "ord", 5),
-          ", k as (select chra, matcha least_m from fx_svs qualify row_number() over (partition by chra order by matcha desc, ord)=5) select s.ord, s.chra, s.matcha from fx_svs s join k on k.chra=s.chra where matcha>=least_m")
+          """, b as (select least(chra,chrb) c1, greatest(chra,chrb) c2, struct_pack(o:=ord, ca:=chra, pa:=posa, cb:=chrb, pb:=posb, w:=matcha*matchb) r, row_number() over (partition by least(chra,chrb), greatest(chra,chrb) order by ord) i from fx_svs),
+ walk as (select c1, c2, i, [r] kept from b where i=1 union all select c1, c2, i, case when spot is null then list_append(kept, r) when r.w>kept[spot].w then list_concat(list_append(kept[1:spot-1], r), kept[spot+1:]) else kept end
+ from (select b.c1, b.c2, b.i, b.r, walk.kept, list_position(list_transform(walk.kept, lambda k: (k.ca=b.r.ca and k.cb=b.r.cb and abs(k.pa-b.r.pa)<50 and abs(k.pb-b.r.pb)<50) or (k.ca=b.r.cb and k.cb=b.r.ca and abs(k.pa-b.r.pb)<50 and abs(k.pb-b.r.pa)<50)), true) spot
+ from walk join b on b.c1=walk.c1 and b.c2=walk.c2 and b.i=walk.i+1) z)
+ select unnest(list_transform(kept, lambda k: k.o)) ord from (select kept from walk qualify i=max(i) over (partition by c1, c2)) z""")
+_register("W07_top_hits", lambda s, d: P.top_hits(view(s, d, "fx_svs").select("ord", (F.col("ord") % 900).alias("contig"), (F.col("matcha") + F.col("matchb")).alias("matches"), (90 + F.col("ord") % 900 % 40).alias("qlen"), (F.col("ord") % 900 % 150).alias("best")), 5, 100).select("ord", "contig", "matches"),
+          """, c as (select ord, ord%900 contig, matcha+matchb matches, 90+ord%900%40 qlen, ord%900%150 best from fx_svs), n as (select *, count(*) over (partition by contig) n, row_number() over (partition by contig order by matches desc, ord) r from c),
+ k as (select *, max(case when r=5 then matches end) over (partition by contig) least_m from n) select ord, contig, matches from k where not (n>=5 and qlen<105) and (n<=5 or matches>=least_m) and matches>=best qualify row_number() over (partition by contig order by ord)<=5""")
 _register("W12_split_rows", lambda s, d: P.split_rows(view(s, d, "fx_svs").select("ord", "chra"), "ord", 100, "chra"),
           "select ord, chra, cast((row_number() over (partition by chra order by ord)-1)//100 as bigint) part from fx_svs")
 _register("W14_drop_pcr_dups", lambda s, d: P.drop_pcr_dups(view(s, d, "fx_sam").select("chrom", "st", "mate_st", "clip", "qname"), ["chrom", "st", "mate_st", "clip"], "qname"),
@@ -295,9 +299,9 @@ _register("J06_annotate_site", lambda s, d: T.annotate_site(view(s, d, "fx_pairs
  k as (select *, """ + _FS.format(f="f") + """ sc, case when g<=10 then 1 when g<=5000 then 2 when g<=10000 then 3 else 4 end tier from h where f<>'intergenic' or edge<40000),
  b as (select * from k qualify row_number() over (partition by ord order by sc desc, case when f='intergenic' then edge else 0 end, tier, other, tx)=1)
  select p.ord, coalesce(b.gene,'NA') gene, coalesce(b.f,'intergenic') feature, coalesce(cast(b.sc as double)*case when other then -1 else 1 end, 0.0) score from fx_pairs p left join b on b.ord=p.ord""")
-_register("J23_genes_between", lambda s, d: T.genes_between(view(s, d, "fx_svs"), transcripts(s, d).select(F.col("tx").alias("gene"), "chrom", "st", "en", (F.col("en") - F.col("st")).alias("cds_length"))),
-          """, p as (select ord, chra chrom, least(posa,posb) s, greatest(posa,posb) e from fx_svs where chra=chrb), h as (select p.*, t.tx, t.st, t.en, t.st<=s+10000 and t.en>=e-10000 span from p join fx_tx t on t.chrom=p.chrom and t.st<=e and t.en>=s),
- n as (select ord, bool_or(span) span, count(*) filter (st>s and en<e and en-st>300 and not exists (select 1 from h y where y.ord=h.ord and y.tx<>h.tx and y.st<h.st and y.en>h.en)) n from h group by 1)
+_register("J23_genes_between", lambda s, d: T.genes_between(view(s, d, "fx_svs"), transcripts(s, d).select(F.col("tx").alias("gene"), "chrom", "strand", "st", "en", (F.col("en") - F.col("st")).alias("cds_length"))),
+          """, p as (select ord, chra chrom, least(posa,posb) s, greatest(posa,posb) e from fx_svs where chra=chrb), h as (select p.*, t.tx, t.strand, t.st, t.en, t.st<=s+10000 and t.en>=e-10000 span from p join fx_tx t on t.chrom=p.chrom and t.st<=e and t.en>=s),
+ n as (select ord, bool_or(span) span, count(*) filter (st>s and en<e and en-st>300 and not exists (select 1 from h y where y.ord=h.ord and y.tx<>h.tx and y.strand=h.strand and y.st<h.st and y.en>h.en)) n from h group by 1)
  select p.ord, coalesce(case when span then 0 else n end,0) genes from p left join n on n.ord=p.ord""")
 _register("R01_three_frames", lambda s, d: view(s, d, "fx_contig").select("doc_id", *T.three_frames(F.col("seq"))),
           ", ".join(["", *["f%d as (select doc_id, list_aggregate(list_transform(range(%d, length(seq)-1, 3), lambda i: substr('FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG', cast((instr('TCAG',substr(seq,i,1))-1)*16+(instr('TCAG',substr(seq,i+1,1))-1)*4+instr('TCAG',substr(seq,i+2,1)) as int), 1)),'string_agg','') frame%d from fx_contig)" % (k, k + 1, k) for k in range(3)]])

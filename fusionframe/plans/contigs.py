@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fusionframe.fixtures import mappings
+from fusionframe.fixtures import mappings, view
 from fusionframe.operators import contigs as C
 from fusionframe.plans.registry import register
 
@@ -126,3 +126,60 @@ def _remote(s, d):
 
 register("M05_overhang_remote", lambda s, d: _rounded(_remote(s, d).select("contig", "id", *C.END)),
          _M05 + """ select contig, id, ort, tname, tstart, tend, case when ort*qstrand>0 then tend else tstart end tpos, qstart, qend, case when ort>0 then qend else qstart end qpos, qstrand, matches, round(pc,9) percent from remote""")
+
+
+def _second(s, d):
+    """Hits of second-pass mappings: those of the contig, moved to the front of an overhang of 110 bases."""
+    hits = mappings(s, d)[0]
+    moved = 1 + F.col("qstart") % 30
+    return C.sort_hits(hits.withColumns({"qend": moved + F.col("qend") - F.col("qstart"), "qstart": moved, "qlen": F.lit(110).cast("long")}))
+
+
+def _second_partners(s, d):
+    return C.overhang_second(_partial(s, d)[1], _second(s, d))
+
+
+_M06 = _M03 + """, s0 as (select h.contig, id, n, tname, tstart, tend, 1+qstart%30 qstart, 1+qstart%30+qend-qstart qend, qstrand, matches, pc, 110 qlen from h),
+ s1 as (select s0.*, p0.ort p_ort, p0.tpos p_tpos, case when p0.ort>0 then p0.qend else 0 end shift, s0.tname=p0.tname and least(abs(s0.tstart-p0.tpos),abs(s0.tend-p0.tpos))<10000 near, least(abs(s0.tstart-p0.tpos),abs(s0.tend-p0.tpos)) dist,
+ p0.qend p_qend, p0.qstart p_qstart from s0 join p0 using (contig) where s0.matches>=25),
+ s2 as (select *, case when p_ort>0 then abs(qstart+shift-p_qend)<50 else abs(qend+shift-p_qstart)<50 end beside, min(case when pc>=0.9 and near then dist end) over (partition by contig order by n rows between unbounded preceding and 1 preceding) prev from s1),
+ s3 as (select *, pc>=0.9 and (not near or prev is null or dist<=prev) taken from s2),
+ s4 as (select *, max(matches) filter (taken) over (partition by contig) length, sum(matches) filter (pc>=0.9) over (partition by contig) total, max(n) filter (taken and near and beside) over (partition by contig) pick from s3),
+ second as (select *, -p_ort ort from s4 where length is not null and case when pick is not null then n=pick else pc>=0.8 and (matches>=0.8*qlen or pc>=0.98) and matches=length end)"""
+register("M06_overhang_second", lambda s, d: _rounded(_second_partners(s, d).select("contig", "id", *C.END, "repeat")),
+         _M06 + """ select contig, id, ort, tname, tstart, tend, case when ort*qstrand>0 then tend else tstart end tpos, qstart+shift qstart, qend+shift qend, case when ort>0 then qend+shift else qstart+shift end qpos, qstrand, matches,
+ round(pc,9) percent, round(case when pick is not null then 0.0 else 1-cast(length as double)/total end,9) "repeat" from second""")
+
+
+def _detected(s, d):
+    hits, sites, contigs = _hits(s, d)
+    return C.detect_pairs(hits, sites, contigs, _second(s, d), READ_LEN, 3)
+
+
+register("M10_detect_pairs", lambda s, d: _rounded(_detected(s, d)))
+
+
+def _requantified(s, d):
+    hits, pm = _partial(s, d)
+    a = pm.select("contig", *[F.col(c).alias(f"{c}a") for c in ("tname", "tpos", "qpos", "ort")])
+    b = C.overhang_remote(pm, hits).select("contig", "id", *[F.col(c).alias(f"{c}b") for c in ("tname", "tpos", "qpos", "ort")])
+    events = a.join(b, "contig").withColumns({"event": F.concat_ws("_", F.col("contig").cast("string"), "id"), "ord": F.col("contig")})
+    turn, off = F.col("contig") % 3 == 0, F.col("contig") % 70 - 15
+    ends = [F.when(turn, F.col(f"{c}{y}")).otherwise(F.col(f"{c}{x}")) for x, y in ("ab", "ba") for c in ("tname", "tpos")]
+    pairs = events.groupBy("ord").agg(F.min_by(F.struct("contig", *[f"{c}{x}" for x in "ab" for c in ("tname", "tpos")]), "id").alias("e")).select("ord", "e.*").select(
+        "ord", ends[0].alias("chra"), (ends[1] + off).alias("posa"), ends[2].alias("chrb"), ends[3].alias("posb"))
+    maps = view(s, d, "fx_maps").withColumn("ord", F.col("contig"))
+    return C.requantify(pairs, events, maps)
+
+
+_M11 = _M05 + """, ev as (select p0.contig, remote.id, p0.tname na, p0.tpos ta, p0.qpos qa, p0.ort oa, remote.tname nb, case when remote.ort*remote.qstrand>0 then remote.tend else remote.tstart end tb, case when remote.ort>0 then remote.qend else remote.qstart end qb, remote.ort ob
+ from p0 join remote on remote.contig=p0.contig),
+ sv as (select contig, case when contig%3=0 then nb else na end chra, case when contig%3=0 then tb else ta end+contig%70-15 posa, case when contig%3=0 then na else nb end chrb, case when contig%3=0 then ta else tb end posb from ev qualify row_number() over (partition by contig order by id)=1),
+ mt as (select ev.*, chra=na and abs(posa-ta)<50 and chrb=nb and abs(posb-tb)<50 straight, chra=nb and abs(posa-tb)<50 and chrb=na and abs(posb-ta)<50 turned from ev join sv using (contig)),
+ pt as (select contig, id, straight, 'a' ending, case when straight then 'a' else 'b' end side, qa pos, oa ort from mt where straight or turned union all select contig, id, straight, 'b', case when straight then 'b' else 'a' end, qb, ob from mt where straight or turned),
+ ln as (select pt.contig, pt.id, pt.ending, m.read, case when pt.ort>0 then m.tend-pt.pos else pt.pos-m.tstart end length from pt join fx_maps m on m.contig=pt.contig and m.side=pt.side and m.matches>25 and cast(m.matches as double)/(m.qend-m.qstart)>0.95 and m.tend>pt.pos+5 and m.tstart<pt.pos-5),
+ su as (select contig, id, ending, count(distinct read) reads from ln group by 1,2,3), ar as (select contig, id, ending, cast(sum(length) as bigint) area from (select * from ln qualify row_number() over (partition by contig, id, ending, length order by read)<=2) z group by 1,2,3),
+ fi as (select pt.*, coalesce(reads,0) reads, case when exists (select 1 from fx_maps m where m.contig=pt.contig and m.side=pt.side) then coalesce(area,0) else 1 end area from pt left join su on su.contig=pt.contig and su.id=pt.id and su.ending=pt.ending
+ left join ar on ar.contig=pt.contig and ar.id=pt.id and ar.ending=pt.ending)"""
+register("M11_requantify", _requantified,
+         _M11 + """ select contig ord, concat(cast(contig as varchar),'_',id) event, not straight swapped, max(reads) filter (ending='a') readsa, max(area) filter (ending='a') areaa, max(reads) filter (ending='b') readsb, max(area) filter (ending='b') areab from fi group by contig, id, straight""")
