@@ -17,6 +17,8 @@ from .common import load, lookup_join, materialize
 MEASURES = ["n_a", "n_b", "n_groups", "n_links"]
 #: A space after a letter, digit or mark of ASCII. No token of either tokenizer ends in such a mark's right neighbour: see `Aligner`.
 CUT = re.compile(r"(?<=[\w!-~]) ")
+#: Units that end like this can be encoded one after the other as one text.
+TAIL = re.compile(r"[\w!-~]\Z")
 BLOCK_BYTES = 32 << 20
 
 
@@ -27,20 +29,19 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
-def align(a: list[int], b: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """(links, cuts) of two lists of token ends over the same bytes.
+def align(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, x, y) of two rising arrays of token ends over the same bytes.
 
-    links are the pairs (i, j) of tokens whose byte ranges overlap, cuts the pairs of token counts up to each place where
-    both tokenizers end a token.
+    i and j are the pairs of tokens whose byte ranges overlap, x and y the counts of tokens up to each place where both
+    tokenizers end a token.
     """
-    links, cuts, i, j = [], [], 0, 0
-    while i < len(a) and j < len(b):
-        links.append((i, j))
-        end = min(a[i], b[j])
-        i, j = i + (a[i] == end), j + (b[j] == end)
-        if i and j and a[i - 1] == b[j - 1] == end:
-            cuts.append((i, j))
-    return links, cuts
+    starts = np.concatenate(([0], a[:-1])) if len(a) else a
+    first, last = np.searchsorted(b, starts, "right"), np.searchsorted(b, a, "left")
+    counts = last - first + 1
+    i = np.repeat(np.arange(len(a)), counts)
+    j = np.arange(len(i)) - np.repeat(np.cumsum(counts) - counts - first, counts)
+    ends = a[np.isin(a, b, assume_unique=True)]
+    return i, j, np.searchsorted(a, ends) + 1, np.searchsorted(b, ends) + 1
 
 
 class Aligner:
@@ -67,6 +68,8 @@ class Aligner:
         if any(re.search("[^▁]▁", p) for p in pieces):
             raise ValueError("pieces with an inner space cannot be aligned by units")
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.sizes = [np.array([len(t) for t in table], np.int64) for table in (self.bytes_a, self.bytes_b)]
+        self.names = [str(i) for i in range(max(len(self.bytes_a), len(pieces)))]
         self.space = self.b.piece_to_id("▁")
         self.clear()
 
@@ -90,35 +93,49 @@ class Aligner:
 
     def settle(self):
         """Encode and align the units noted since the last call."""
-        if not self.rows:
-            return
-        added = []
-        for start in range(0, len(self.rows), 20_000):
-            some = self.rows[start:start + 20_000]
-            ids_a = [e.ids for e in self.a.encode_batch([" " + u for u in some], add_special_tokens=False)]
-            ids_b = self.b.encode(some, num_threads=1)
-            for body, a, b in zip(some, ids_a, ids_b):
-                b = b or [self.space]
-                parts_a, parts_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-                data = (" " + body).encode()
-                if b"".join(parts_a) != data or b"".join(parts_b) != data:
-                    added.append((0, 0, 0, 0, 0))
-                    self.groups.append("")
-                    self.codes.append(np.empty(0, np.uint32))
-                    continue
-                ends_a, ends_b = np.cumsum([len(p) for p in parts_a]).tolist(), np.cumsum([len(p) for p in parts_b]).tolist()
-                links, cuts = align(ends_a, ends_b)
-                i = j = 0
-                texts = []
-                for x, y in cuts:
-                    texts.append(",".join(map(str, a[i:x])) + "|" + ",".join(map(str, b[j:y])))
-                    i, j = x, y
-                added.append((len(a), len(b), len(cuts), len(links), 1))
-                self.groups.append(";".join(texts))
-                self.codes.append(np.array([a[i] << 16 | b[j] for i, j in links], np.uint32))
-        self.table = np.concatenate((self.table, np.array(added, np.int64)))
+        added = np.zeros((len(self.rows), 5), np.int64)
+        groups, codes = [""] * len(self.rows), [np.empty(0, np.uint32)] * len(self.rows)
+        plain = [k for k, body in enumerate(self.rows) if TAIL.search(body)]
+        parts = [plain[k:k + 4096] for k in range(0, len(plain), 4096)] + [[k] for k, body in enumerate(self.rows) if not TAIL.search(body)]
+        while parts:
+            some = parts.pop()
+            if self._joined(some, added, groups, codes):
+                continue
+            if len(some) > 1:  # one of them does not come out as it went in: find it
+                parts += [some[:len(some) // 2], some[len(some) // 2:]]
+        self.table = np.concatenate((self.table, added))
+        self.groups += groups
+        self.codes += codes
         self.rows = []
 
+    def _joined(self, some: list[int], added: np.ndarray, groups: list, codes: list) -> bool:
+        """Encode units as one text and share out tokens, groups and links; False if the tokens do not spell it or cross a unit's end."""
+        text = " ".join([self.rows[k] for k in some])
+        a = np.array(self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, np.int64)
+        b = np.array(self.b.encode(text, num_threads=1) or [self.space], np.int64)
+        data = (" " + text).encode()
+        if b"".join(map(self.bytes_a.__getitem__, a.tolist())) != data or b"".join(map(self.bytes_b.__getitem__, b.tolist())) != data:
+            return False
+        ends_a, ends_b = np.cumsum(self.sizes[0][a]), np.cumsum(self.sizes[1][b])
+        ends = np.cumsum([len(self.rows[k].encode()) + 1 for k in some])
+        if not (np.isin(ends, ends_a).all() and np.isin(ends, ends_b).all()):
+            return False
+        i, j, x, y = align(ends_a, ends_b)
+        names = self.names
+        text_a, text_b = [names[t] for t in a.tolist()], [names[t] for t in b.tolist()]
+        x0, y0 = [0, *x.tolist()], [0, *y.tolist()]
+        written = [",".join(text_a[p:q]) + "|" + ",".join(text_b[r:s]) for p, q, r, s in zip(x0, x0[1:], y0, y0[1:])]
+        upto = [np.searchsorted(e, ends, "left") + 1 for e in (ends_a, ends_b, ends_a[x - 1])]
+        upto.append(np.searchsorted(i, upto[0], "left"))
+        links = (a[i] << 16 | b[j]).astype(np.uint32)
+        g = l = 0
+        for k, g1, l1 in zip(some, upto[2].tolist(), upto[3].tolist()):
+            groups[k], codes[k] = ";".join(written[g:g1]), links[l:l1]
+            g, l = g1, l1
+        added[some, :4] = np.stack([np.diff(u, prepend=0) for u in upto], axis=1)
+        added[some, 4] = 1
+        return True
+
 
 @functools.lru_cache(maxsize=2)
 def aligner(path_a: str, path_b: str, most: int) -> Aligner:

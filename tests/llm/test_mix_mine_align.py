@@ -209,7 +209,6 @@ def test_alignment_edges(spark):
 
 
 def test_align_links_and_cuts():
-    links, cuts = alignment.align([2, 5, 6], [3, 6])
-    assert links == [(0, 0), (1, 0), (1, 1), (2, 1)] and cuts == [(3, 2)]
-    links, cuts = alignment.align([1, 3], [1, 3])
-    assert links == [(0, 0), (1, 1)] and cuts == [(1, 1), (2, 2)]
+    for ends_a, ends_b, links, cuts in [([2, 5, 6], [3, 6], [(0, 0), (1, 0), (1, 1), (2, 1)], [(3, 2)]), ([1, 3], [1, 3], [(0, 0), (1, 1)], [(1, 1), (2, 2)])]:
+        i, j, x, y = alignment.align(np.array(ends_a), np.array(ends_b))
+        assert list(zip(i, j)) == links and list(zip(x, y)) == cuts
