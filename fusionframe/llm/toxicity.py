@@ -190,9 +190,11 @@ class _Memo(dict):
         self.trie = LexiconTrie(terms)
 
     def __missing__(self, word):
-        if len(self) > 300_000:
-            self.clear()
-        kind = self[word] = self.trie.match(word) if len(word) < 64 else 0
+        kind = self.trie.match(word)
+        if len(word) < 64:  # longer ones are looked up each time, which ends where the walk leaves the trie
+            if len(self) > 300_000:
+                self.clear()
+            self[word] = kind
         return kind
 
 
