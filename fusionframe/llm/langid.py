@@ -15,12 +15,13 @@ from .common import all_but, load
 PIECE = 4096  # characters compressed at a time, so that a long text keeps meeting the dictionary
 
 
-def learn(labelled: DataFrame, sample_rows: int = 400, row_chars: int = 2000, dict_bytes: int = 65536) -> dict[str, bytes]:
+def learn(labelled: DataFrame, sample_rows: int = 400, dict_bytes: int = 65536, piece_chars: int = 200) -> dict[str, bytes]:
     """Raw dictionaries by language, from rows of (text, lang).
 
-    The fit uses a bounded sample: per language about `sample_rows` distinct texts,
-    chosen by a hash of the text, their first `row_chars` characters, `dict_bytes` in
-    all. Every language gets a dictionary; rows with null text or lang are not used.
+    The fit uses a bounded sample: per language about `sample_rows` distinct texts, chosen by a hash of the text. They are cut
+    into pieces of `piece_chars` characters from end to end, and where these are more than about `dict_bytes` together, as many
+    are kept by a hash of text and place, so that all parts of all sampled texts count alike. Every language gets a
+    dictionary; rows with null text or lang are not used.
     """
     rows = labelled.where("text is not null and lang is not null and text rlike '\\\\p{L}'").select("lang", "text")
     different = rows.select("lang", F.xxhash64("text").alias("h")).distinct()
@@ -29,13 +30,15 @@ def learn(labelled: DataFrame, sample_rows: int = 400, row_chars: int = 2000, di
         return {}
     share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, sample_rows / n)))])
     place = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / 1e6
-    sample = (
-        rows.where(place < share[F.col("lang")])
-        .select("lang", F.xxhash64("text").alias("h"), F.lower(F.substring("text", 1, row_chars)).alias("text"))
-        .dropDuplicates(["lang", "h"])
-        .groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("h", "text"))).alias("rows")).collect()
-    )
-    return {r.lang: " ".join(x.text for x in r.rows).encode("utf-8")[-dict_bytes:] for r in sample}
+    sample = (rows.where(place < share[F.col("lang")]).select("lang", F.xxhash64("text").alias("h"), F.lower("text").alias("text"))
+              .dropDuplicates(["lang", "h"]))
+    sizes = sample.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes"))
+    starts = F.explode(F.sequence(F.lit(1), F.length("text"), F.lit(piece_chars)))
+    pieces = sample.select("lang", "h", "text", starts.alias("at")).join(F.broadcast(sizes), "lang")  # one row for each language
+    kept = pieces.where(F.pmod(F.xxhash64("h", "at"), F.lit(1_000_000)) / 1e6 * F.col("bytes") < dict_bytes)
+    texts = kept.select("lang", "h", "at", F.col("text").substr(F.col("at"), F.lit(piece_chars)).alias("piece"))
+    joined = texts.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("h", "at", "piece"))).alias("pieces")).collect()  # about dict_bytes each
+    return {r.lang: " ".join(x.piece for x in r.pieces).encode("utf-8") for r in joined}
 
 
 @functools.lru_cache(maxsize=4)
