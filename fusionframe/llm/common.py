@@ -55,6 +55,19 @@ def drop_written(spark: SparkSession) -> int:
     return n
 
 
+def written() -> int:
+    """How many tables this process has written to the shared folder and not deleted."""
+    return len(_WRITTEN)
+
+
+def drop_between(spark: SparkSession, first: int, last: int) -> None:
+    """Delete the written tables numbered from `first` up to `last`, the latter kept."""
+    kept = _WRITTEN[:first] + _WRITTEN[last:]
+    _WRITTEN[:] = _WRITTEN[first:last]
+    drop_written(spark)
+    _WRITTEN[:] = kept
+
+
 def quoted(name: str) -> str:
     """The name for F.col, also with dots or backticks in it."""
     return "`" + name.replace("`", "``") + "`"
@@ -65,11 +78,26 @@ def all_but(df: DataFrame, *names: str) -> list[Column]:
     return [F.col(quoted(c)) for c in df.columns if c.lower() not in {n.lower() for n in names}]
 
 
+def salted_join(left: DataFrame, right: DataFrame, key: str, count_col: str, total: int, deal: list[str]) -> DataFrame:
+    """Inner join of many-rowed `left` to `right`, unique on `key`, whose rows may be large: nothing of them is broadcast.
+
+    `count_col` of `right` holds the key's rows in `left`. A key with over 1/1000 of all rows (at most 1000 keys, which alone
+    are broadcast) is dealt over as many parts as it has thousandths, by a hash of the columns `deal` of `left`.
+    """
+    parts = F.ceil(F.col(count_col) * 1000 / F.lit(max(1, total))).cast("int")
+    sized = right.withColumn("_parts", F.when(F.col(count_col) * 1000 > F.lit(total), parts).otherwise(1)).drop(count_col)
+    hot = F.broadcast(sized.where("_parts > 1").select(key, F.col("_parts").alias("_hot")))
+    dealt = left.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(*deal), F.coalesce("_hot", F.lit(1))).cast("int")).drop("_hot")
+    spread = sized.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    return dealt.join(spread, [key, "_salt"]).drop("_salt")
+
+
 def lookup_join(left: DataFrame, right: DataFrame, key: str, count_col: str, total: int) -> DataFrame:
     """Inner join of many-rowed `left` to `right`, unique on `key`, safe for hot keys.
 
     `count_col` of `right` holds the key's rows in `left`. Keys with over 1/1000 of
-    all rows are at most 1000, so their side is broadcast; all others are shuffled.
+    all rows are at most 1000, so their side is broadcast; all others are shuffled. For rows of `right` of bounded
+    size only; see `salted_join` for others.
     """
     hot = F.col(count_col) * 1000 > F.lit(total)
     hot_keys = right.where(hot).drop(count_col)

@@ -12,10 +12,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import all_but, load, lookup_join, materialize
+from .common import all_but, load, materialize, salted_join
 
 #: Positions of a window that count (1) or are ignored (0).
 MASKS = ("11101101", "11011011", "10110111")
+#: Shorter items than a mask are found as they are anywhere in a document from this many words on, else only as a whole document.
+LEAST = 4
 WORD = re.compile(r"[^\W_]+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Bits of the sieve of the benchmark's seeds: 4 MB at least, 16 MB at most, whatever the benchmark.
@@ -45,9 +47,13 @@ def seed_hashes(h: np.ndarray, mask: str) -> np.ndarray:
     return out
 
 
-def all_seeds(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The seeds of all masks and their places."""
+def all_seeds(h: np.ndarray, short: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """The seeds of all masks and their places, and of all stretches of the lengths `short`, which are those of items shorter than a mask.
+
+    A stretch of fewer than `LEAST` words counts only where it is the whole text.
+    """
     seeds = [seed_hashes(h, m) for m in MASKS]
+    seeds += [seed_hashes(h, "1" * n) if n >= LEAST or n == len(h) else h[:0] for n in short]
     return np.concatenate(seeds), np.concatenate([np.arange(len(s)) for s in seeds])
 
 
@@ -80,8 +86,9 @@ def _items(benchmark: DataFrame) -> DataFrame:
             seen, out = {}, []
             for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist()):
                 h = word_hashes(words_of(text), seen)
+                seeds, places = all_seeds(h, (len(h),) if 0 < len(h) < len(MASKS[0]) else ())
                 out.append(((part << 33) + count, item, len(h), h.tobytes(),
-                            [{"seed": s, "at": a} for s, a in zip(*(x.tolist() for x in (all_seeds(h)[0].view(np.int64), all_seeds(h)[1])))]))
+                            [{"seed": s, "at": a} for s, a in zip(seeds.view(np.int64).tolist(), places.tolist())]))
                 count += 1
             kind = pa.list_(pa.struct([("seed", pa.int64()), ("at", pa.int32())]))
             types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), kind]
@@ -103,7 +110,7 @@ def seed_sieve(seeds: DataFrame) -> np.ndarray:
     return out
 
 
-def _hits(rows: DataFrame, sieve: np.ndarray) -> DataFrame:
+def _hits(rows: DataFrame, sieve: np.ndarray, short: tuple[int, ...]) -> DataFrame:
     """(uid, n_words, words, hits) of the texts with a seed that passes the sieve."""
     kind = pa.list_(pa.struct([("seed", pa.int64()), ("pos", pa.int32())]))
     mask = np.uint64(len(sieve) * 64 - 1)
@@ -117,7 +124,7 @@ def _hits(rows: DataFrame, sieve: np.ndarray) -> DataFrame:
             out = []
             for uid, text in zip(batch.column("uid").to_pylist(), batch.column("text").to_pylist()):
                 h = word_hashes(words_of(text), seen)
-                seeds, places = all_seeds(h)
+                seeds, places = all_seeds(h, short)
                 at = np.flatnonzero(passes(seeds & mask))
                 at = at[passes((seeds[at] >> np.uint64(32)) & mask) == 1]
                 if len(at):
@@ -135,11 +142,12 @@ def leaks(rows: DataFrame, benchmark: DataFrame, min_match: int, identity: float
     """(uid, leaked_items) of the rows of (uid, text) that hold passages of the benchmark."""
     items = materialize(_items(benchmark.where("item_id is not null and text is not null")), "items")
     seeds = items.select("n", "len", F.inline("seeds"))
-    hits = materialize(_hits(rows, seed_sieve(seeds)), "hits")
+    short = tuple(sorted(r.len for r in items.where((F.col("len") > 0) & (F.col("len") < len(MASKS[0]))).select("len").distinct().collect()))  # at most 7
+    hits = materialize(_hits(rows, seed_sieve(seeds), short), "hits")
     probes = hits.select("uid", F.inline("hits"))
     table = seeds.groupBy("seed").agg(F.collect_list(F.struct("n", "len", "at")).alias("found"))
     table = table.join(probes.groupBy("seed").agg(F.count("*").alias("rows")), "seed")
-    found = lookup_join(probes, table, "seed", "rows", probes.count()).select("uid", "pos", F.inline("found"))
+    found = salted_join(probes, table, "seed", "rows", probes.count(), ["uid", "pos"]).select("uid", "pos", F.inline("found"))
     pairs = materialize(found.select("uid", "n", "len", (F.col("pos") - F.col("at")).alias("shift")).distinct(), "pairs")
     first, last = F.greatest("shift", F.lit(0)), F.least(F.col("shift") + F.col("len"), F.col("n_words"))
     slices = pairs.join(hits.select("uid", "n_words", "words"), "uid").select(
@@ -157,7 +165,7 @@ def leaks(rows: DataFrame, benchmark: DataFrame, min_match: int, identity: float
                     ids.append(item_id)
             yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), pa.array(ids, pa.int64())], ["uid", "item_id"])
 
-    checked = lookup_join(slices, sides, "n", "rows", pairs.count()).select("uid", "shift", "part", "item_id", "item") \
+    checked = salted_join(slices, sides, "n", "rows", pairs.count(), ["uid", "shift"]).select("uid", "shift", "part", "item_id", "item") \
         .mapInArrow(verify, "uid long, item_id long")
     return checked.groupBy("uid").agg(F.array_sort(F.collect_set("item_id")).alias("leaked_items"))
 
@@ -168,7 +176,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_match: int = 13, ident
     Seeds of all documents that pass a sieve of the benchmark's seeds are joined with them, and
     each hit is verified on its diagonal: some stretch around it must have at least `min_match`
     equal words (of an item of fewer than 17 words, `identity` of them), at least `identity` of
-    the stretch. Items with fewer words than a mask and null texts match nothing, and an empty
+    the stretch. Items with fewer words than a mask (8) are found word by word: anywhere in a document if they have at
+    least 4 words, else where they are the whole document. Wordless items and null texts match nothing, and an empty
     benchmark matches none. Repeated rows get the same items; a column `leaked_items` is replaced.
     """
     rows = docs.select(F.struct(*all_but(docs, "leaked_items")).alias("row"), F.col("text").alias("text"), F.monotonically_increasing_id().alias("uid"))

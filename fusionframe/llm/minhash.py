@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup_join, materialize
+from .common import lookup_join, materialize, salted_join
 from .simhash import components
 from .words import gram_hashes, joined_words, mix
 
@@ -103,7 +103,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
                     held.clear()
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return lookup_join(left, right, "centre", "n", pairs.count()).select("member", "centre", "left", "right") \
+    return salted_join(left, right, "centre", "n", pairs.count(), ["member"]).select("member", "centre", "left", "right") \
         .mapInArrow(check, "a long, b long").distinct()
 
 
