@@ -73,17 +73,17 @@ def fingerprint_links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     )
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each component, by large-star and small-star rounds.
 
     Only nodes with a link are returned. Each round is written to the shared folder,
-    and rounds go on until the edge set no longer changes.
+    and rounds go on until the edge set no longer changes (their number grows with the logarithm of the nodes).
     """
     edges = materialize(links.select("a", "b"), "edges")
     if edges.isEmpty():
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     before = None
-    for _ in range(max_rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -95,8 +95,6 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         if sign == before:
             break
         before = sign
-    else:
-        raise RuntimeError("components did not settle")
     nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return nodes.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
