@@ -20,6 +20,8 @@ from .words import chunks
 
 WINDOW = 4096
 BLOCK_WINDOWS = 64
+#: The table of places of parts and queues is broadcast up to this size, and joined by a shuffle beyond.
+BROADCAST_BYTES = 8 << 20
 #: Fixed value: the pattern of the tokenizer's pre-tokens inside a word of lower-case text.
 PRE_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
@@ -216,7 +218,7 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, block_w
     blocks = max(1, -(-tokens // (block_windows * window - queues - 1)))
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = parts.select("queue", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")).join(totals, "queue")
-    if parts.count() <= 100_000:
+    if (parts.agg(F.sum(F.octet_length("queue") + 64)).first()[0] or 0) <= BROADCAST_BYTES:
         base = F.broadcast(base)
 
     def cut(batches):
