@@ -6,7 +6,6 @@ import datetime as dt
 import hashlib
 import math
 import re
-import warnings
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -244,12 +243,12 @@ def mask_text(text: str | None, key: bytes) -> tuple[str | None, int]:
 TEST_KEY = b"change-me"
 
 
-def session_key(spark) -> bytes:
-    """The secret of spark.fusionframe.pseudonymKey; where it is unset, the test key with a warning."""
+def session_key(spark, default: bytes | None = None) -> bytes:
+    """The secret of spark.fusionframe.pseudonymKey; where it is unset, `default`, or an error without one."""
     secret = spark.conf.get("spark.fusionframe.pseudonymKey", None)
-    if not secret:
-        warnings.warn("spark.fusionframe.pseudonymKey is unset: pseudonyms use the published test key")
-    return secret.encode("utf-8") if secret else TEST_KEY
+    if not secret and default is None:
+        raise ValueError("set spark.fusionframe.pseudonymKey to a secret of your own")
+    return secret.encode("utf-8") if secret else default
 
 
 def pseudonymize(docs: DataFrame, key: bytes) -> DataFrame:
@@ -267,4 +266,4 @@ def pseudonymize(docs: DataFrame, key: bytes) -> DataFrame:
 
 
 def op7_pseudonyms(spark, sf_dir) -> DataFrame:
-    return pseudonymize(load(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark))
+    return pseudonymize(load(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark, TEST_KEY))
