@@ -67,6 +67,7 @@ def judge_urls(pages: DataFrame, rules=RULES, strict=STRICT, soft=SOFT, soft_lim
     def hits(urls: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([term_hits(u, strict, soft) for u in urls], columns=["strict", "soft"])
 
+    url, own = F.col("_page").getField("url"), ("host", "path", "rule", "verdict", "strict_hits", "soft_hits")
     rule = verdict = None
     for kind, host, prefix in sorted(rules, key=lambda r: -len(r[1] + r[2])):
         fits = ((F.col("host") == host) | F.col("host").endswith("." + host)) & F.col("path").startswith(prefix)
@@ -75,11 +76,11 @@ def judge_urls(pages: DataFrame, rules=RULES, strict=STRICT, soft=SOFT, soft_lim
     blocked = (F.col("_hits.strict") > 0) | (F.col("_hits.soft") >= soft_limit)
     method = F.when(blocked, "block").otherwise("allow")
     return (
-        pages.select(*all_but(pages, "host", "path", "rule", "verdict", "strict_hits", "soft_hits"), host_of(F.col("url")).alias("host"),
-                     path_of(F.col("url")).alias("path"), hits("url").alias("_hits"))
-        .withColumn("rule", rule if rule is not None else F.lit(None).cast("string"))
-        .withColumn("verdict", F.coalesce(verdict, method) if verdict is not None else method)
-        .withColumn("strict_hits", F.col("_hits.strict")).withColumn("soft_hits", F.col("_hits.soft")).drop("_hits")
+        pages.select(F.struct(*all_but(pages, *own)).alias("_page"), hits("url").alias("_hits"))
+        .select("_page", "_hits", host_of(url).alias("host"), path_of(url).alias("path"))
+        .select("_page.*", "host", "path", (rule if rule is not None else F.lit(None).cast("string")).alias("rule"),
+                (F.coalesce(verdict, method) if verdict is not None else method).alias("verdict"),
+                F.col("_hits.strict").alias("strict_hits"), F.col("_hits.soft").alias("soft_hits"))
     )
 
 
