@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import re
 
 import numpy as np
@@ -19,7 +20,7 @@ MEASURES = ["n_a", "n_b", "n_groups", "n_links"]
 CUT = re.compile(r"(?<=[\w!-~]) ")
 #: Units that end like this can be encoded one after the other as one text.
 TAIL = re.compile(r"[\w!-~]\Z")
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -76,8 +77,8 @@ class Aligner:
     def clear(self):
         self.place, self.letters, self.rows = {}, 0, []
         self.groups: list[str] = []
-        self.table = np.zeros((0, 5), np.int64)  # n_a, n_b, n_groups, n_links, whole
-        self.codes: list[np.ndarray] = []
+        self.table = np.zeros((6, 0), np.int64)  # n_a, n_b, n_groups, n_links, whole, place of the links in `links`
+        self.links = np.empty(0, np.uint32)
 
     def units(self, text: str) -> list[int]:
         """Numbers of the text's units; new ones are noted for `settle`."""
@@ -93,22 +94,20 @@ class Aligner:
 
     def settle(self):
         """Encode and align the units noted since the last call."""
-        added = np.zeros((len(self.rows), 5), np.int64)
-        groups, codes = [""] * len(self.rows), [np.empty(0, np.uint32)] * len(self.rows)
+        added, groups, links = np.zeros((6, len(self.rows)), np.int64), [""] * len(self.rows), [self.links]
         plain = [k for k, body in enumerate(self.rows) if TAIL.search(body)]
         parts = [plain[k:k + 4096] for k in range(0, len(plain), 4096)] + [[k] for k, body in enumerate(self.rows) if not TAIL.search(body)]
         while parts:
             some = parts.pop()
-            if self._joined(some, added, groups, codes):
+            if self._joined(some, added, groups, links):
                 continue
             if len(some) > 1:  # one of them does not come out as it went in: find it
                 parts += [some[:len(some) // 2], some[len(some) // 2:]]
-        self.table = np.concatenate((self.table, added))
+        self.table = np.concatenate((self.table, added), axis=1)
         self.groups += groups
-        self.codes += codes
-        self.rows = []
+        self.links, self.rows = np.concatenate(links), []
 
-    def _joined(self, some: list[int], added: np.ndarray, groups: list, codes: list) -> bool:
+    def _joined(self, some: list[int], added: np.ndarray, groups: list, links: list) -> bool:
         """Encode units as one text and share out tokens, groups and links; False if the tokens do not spell it or cross a unit's end."""
         text = " ".join([self.rows[k] for k in some])
         a = np.array(self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, np.int64)
@@ -127,13 +126,13 @@ class Aligner:
         written = [",".join(text_a[p:q]) + "|" + ",".join(text_b[r:s]) for p, q, r, s in zip(x0, x0[1:], y0, y0[1:])]
         upto = [np.searchsorted(e, ends, "left") + 1 for e in (ends_a, ends_b, ends_a[x - 1])]
         upto.append(np.searchsorted(i, upto[0], "left"))
-        links = (a[i] << 16 | b[j]).astype(np.uint32)
-        g = l = 0
-        for k, g1, l1 in zip(some, upto[2].tolist(), upto[3].tolist()):
-            groups[k], codes[k] = ";".join(written[g:g1]), links[l:l1]
-            g, l = g1, l1
-        added[some, :4] = np.stack([np.diff(u, prepend=0) for u in upto], axis=1)
-        added[some, 4] = 1
+        g = 0
+        for k, g1 in zip(some, upto[2].tolist()):
+            groups[k], g = ";".join(written[g:g1]), g1
+        added[:4, some] = [np.diff(u, prepend=0) for u in upto]
+        added[4, some] = 1
+        added[5, some] = sum(map(len, links)) + upto[3] - added[3, some]
+        links.append((a[i] << 16 | b[j]).astype(np.uint32))
         return True
 
 
@@ -148,7 +147,7 @@ def tokenizer_paths() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
-def align_texts(texts: DataFrame, path_a: str, path_b: str, memo_units: int = 400_000, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def align_texts(texts: DataFrame, path_a: str, path_b: str, memo_units: int = 200_000, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Align distinct texts (key, text, copies), in blocks of about `block_bytes` of a task; write the result before use.
 
     For each text a row (block, key, copies, the measures, groups_sha256, units: its units' numbers within the block),
@@ -161,24 +160,23 @@ def align_texts(texts: DataFrame, path_a: str, path_b: str, memo_units: int = 40
     def close(coder, block, keys, copies, units):
         coder.settle()
         sizes = np.array([len(u) for u in units])
-        flat = np.array([x for u in units for x in u], np.int64)
+        flat = np.fromiter(itertools.chain.from_iterable(units), np.int32, int(sizes.sum()))
         heads = np.cumsum(sizes) - sizes
-        sums = np.add.reduceat(coder.table[flat], heads, axis=0)
+        sums = np.stack([np.add.reduceat(column[flat], heads) for column in coder.table[:5]], axis=1)  # no text is without units
         whole = sums[:, 4] == sizes
         sums[~whole] = 0
         counted = np.repeat(whole, sizes)
         used, local = np.unique(flat[counted], return_inverse=True)
         weights = np.bincount(local, weights=np.repeat(np.array(copies, np.float64), sizes)[counted], minlength=len(used)).astype("<i8")
-        codes = [coder.codes[u] for u in used]
+        lens = coder.table[3, used]
+        every = coder.links[np.arange(lens.sum()) + np.repeat(coder.table[5, used] - np.cumsum(lens) + lens, lens)]
         at, rows = 0, []
         for k, (key, n, u, ok) in enumerate(zip(keys, copies, units, whole)):
             text = hashlib.sha256(";".join([coder.groups[x] for x in u]).encode()).hexdigest() if ok else ""
             mine = local[at:at + sizes[k]].astype("<u4") if ok else np.empty(0, "<u4")
             at += len(mine)
             rows.append((block, key, n, *sums[k, :4].tolist(), text, mine.tobytes(), None, None, None))
-        lens = np.array([len(c) for c in codes], "<u4")
-        every = np.concatenate(codes) if codes else np.empty(0, np.uint32)
-        rows.append((block, None, None, None, None, None, None, None, None, lens.tobytes(), every.astype("<u4").tobytes(), weights.tobytes()))
+        rows.append((block, None, None, None, None, None, None, None, None, lens.astype("<u4").tobytes(), every.astype("<u4").tobytes(), weights.tobytes()))
         for i in range(0, len(rows), 1000):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i:i + 1000]), types)], names)
 
@@ -227,7 +225,7 @@ def pair_counts(pairs: DataFrame) -> DataFrame:
     return counts.join(top, "b").select("pair", "count", (F.col("count") == F.col("top")).alias("best"))
 
 
-def measure(docs: DataFrame, path_a: str | None = None, path_b: str | None = None, memo_units: int = 400_000, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def measure(docs: DataFrame, path_a: str | None = None, path_b: str | None = None, memo_units: int = 200_000, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Measures of rows (doc_id, text): n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256.
 
     The corpus is shuffled by full text; each distinct text is tokenized and aligned once, in blocks of bounded size.
