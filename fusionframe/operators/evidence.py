@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from fusionframe.functions.columns import canonical_seq, clip_len, cigar_ops, flag_is, pair_key, ref_span, split_names
 
 from .intervals import interval_join
+from .sweep import BLOCK, runs_by_gap
 
 DUPLICATE, UNMAPPED = 1024, 4
 
@@ -62,16 +63,20 @@ def cluster_positions(sites: DataFrame, spread: int = 5, min_reads: int = 2, min
     A position within `spread` of a kept cluster is passed over. Else, if the clipped bases from it to `spread` on
     reach `min_reads`, the position of most clipped bases there (the first of equal ones) is the centre, which is kept if
     the sites within `spread` on both sides have `min_reads` reads and `min_long` bases of long clips.
-    Choices do not reach over gaps of more than `2 * spread`, so blocks between such gaps are folded alone.
+    Sums look `2 * spread` far at most, so they are taken within blocks of positions that overlap by that much. Choices do not reach over
+    gaps of more than `2 * spread`, so runs between such gaps are folded alone.
     """
-    by = Window.partitionBy("chrom", "side").orderBy("pos")
+    block, halo = F.floor(F.col("pos") / BLOCK), 2 * spread
+    near = F.sequence(F.floor((F.col("pos") - halo) / BLOCK), F.floor((F.col("pos") + halo) / BLOCK))
+    sites = sites.withColumn("_near", F.explode(near))
+    by = Window.partitionBy("chrom", "side", "_near").orderBy("pos")
     ahead, around = by.rangeBetween(0, spread), by.rangeBetween(-spread, spread)
     sums = ("reads", "bases", "plus_clip", "minus_clip", "long_bases")
     s = (sites.withColumns({f"t_{c}": F.sum(c).over(around) for c in sums}).withColumn("cover", F.sum("bases").over(ahead))
          .withColumn("centre", -F.max(F.struct("bases", (-F.col("pos")).alias("back"))).over(ahead)["back"]))
     total = F.struct(*[F.col(f"t_{c}").alias(c) for c in sums])
-    s = (s.withColumn("totals", F.max_by(total, F.struct("bases", -F.col("pos"))).over(ahead))
-         .withColumn("gap", F.when(F.col("pos") - F.lag("pos").over(by) <= 2 * spread, 0).otherwise(1)).withColumn("block", F.sum("gap").over(by)))
+    s = s.withColumn("totals", F.max_by(total, F.struct("bases", -F.col("pos"))).over(ahead)).where(F.col("_near") == block)
+    s = runs_by_gap(s.select("chrom", "side", "pos", "centre", "cover", "totals"), ["chrom", "side"], "pos", 2 * spread + 1, "block")
     s = s.where(F.col("cover") >= min_reads).where((F.col("totals.reads") >= min_reads) & (F.col("totals.long_bases") >= min_long))
     folded = s.groupBy("chrom", "side", "block").agg(F.array_sort(F.collect_list(F.struct("pos", "centre", "totals"))).alias("rows"))
     step = F.aggregate(

@@ -2,45 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def _bins(start: Column, end: Column, width: int) -> Column:
-    return F.explode(F.sequence(F.floor(start / width), F.floor(end / width)))
+from .sweep import running_max
 
 
 def interval_join(left: DataFrame, right: DataFrame, width: int = 2000, pad: int = 0, strand: bool = False) -> DataFrame:
     """Pairs of rows on one chrom (with `strand`, on one strand too) whose [st, en] overlap once the left is widened by `pad`.
 
     Both sides are spread over bins; a pair is kept only in the first bin that both share, so it comes once. Ranges wider
-    than 64 bins are spread over bins 64 times as wide and meet all others there, so that one long range makes few rows.
-    Right columns get the prefix `r_`. Rows with null positions or st > en join nothing; ties and repeated rows give one pair each.
+    than 64 bins are spread over bins 64 times as wide and meet all others there, so that one long range makes few rows: each range
+    gets the bins of the kinds of pairs it can be in (short with short, long with any, short with long), and one join meets them all. A bin with very many rows is
+    left to Spark's skew join. Right columns get the prefix `r_`. Rows with null positions or st > en join nothing; ties and repeated rows give one pair each.
     """
+    wide = width * 64
     l = left.withColumns({"_ls": F.col("st") - pad, "_le": F.col("en") + pad}).where("_ls <= _le")
     r = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns]).where("r_st <= r_en")
-    wide = width * 64
-
-    def binned(df, s, e, name, long_only=None):
-        size = F.col(e) - F.col(s)
-        if long_only is not None:
-            df = df.where(size > wide if long_only else size <= wide)
-        return df
 
-    def meet(a, b, w):
-        a = a.withColumn("_bin", _bins(F.col("_ls"), F.col("_le"), w))
-        b = b.withColumn("_rbin", _bins(F.col("r_st"), F.col("r_en"), w))
-        on = ((F.col("chrom") == F.col("r_chrom")) & (F.col("_bin") == F.col("_rbin"))
-              & (F.col("r_st") <= F.col("_le")) & (F.col("r_en") >= F.col("_ls"))
-              & (F.col("_bin") == F.floor(F.greatest("_ls", "r_st") / w)))
-        if strand:
-            on = on & (F.col("strand") == F.col("r_strand"))
-        return a.join(b, on)
+    def bins(start: Column, end: Column, short: tuple, long: tuple) -> Column:
+        """(kind, bin) of a range for the kinds of pairs that a short or a long one can be in."""
+        def of(kind):
+            size = width if kind == 0 else wide
+            return F.transform(F.sequence(F.floor(start / size), F.floor(end / size)), lambda b: F.struct(F.lit(kind).alias("kind"), b.alias("bin")))
+        return F.explode(F.when(end - start > wide, F.concat(*map(of, long))).otherwise(F.concat(*map(of, short))))
 
-    short_l, long_l = binned(l, "_ls", "_le", "l", False), binned(l, "_ls", "_le", "l", True)
-    short_r, long_r = binned(r, "r_st", "r_en", "r", False), binned(r, "r_st", "r_en", "r", True)
-    pairs = meet(short_l, short_r, width).unionByName(meet(long_l, r, wide)).unionByName(meet(short_l, long_r, wide))
-    return pairs.drop("_bin", "_rbin", "_ls", "_le")
+    # kinds: 0 short with short, 1 long with any, 2 short with long
+    l = l.withColumn("_b", bins(F.col("_ls"), F.col("_le"), (0, 2), (1,)))
+    r = r.withColumn("_rb", bins(F.col("r_st"), F.col("r_en"), (0, 1), (1, 2)))
+    size = F.when(F.col("_b.kind") == 0, width).otherwise(wide)
+    on = ((F.col("chrom") == F.col("r_chrom")) & (F.col("_b.kind") == F.col("_rb.kind")) & (F.col("_b.bin") == F.col("_rb.bin"))
+          & (F.col("r_st") <= F.col("_le")) & (F.col("r_en") >= F.col("_ls")) & (F.col("_b.bin") == F.floor(F.greatest("_ls", "r_st") / size)))
+    if strand:
+        on = on & (F.col("strand") == F.col("r_strand"))
+    return l.join(r, on).drop("_b", "_rb", "_ls", "_le")
 
 
 def count_overlaps(ivals: DataFrame, reads: DataFrame, key: str, skip_flags: int = 1024 + 4, excluded: DataFrame | None = None) -> DataFrame:
@@ -96,20 +91,19 @@ def pair_band_join(left: DataFrame, right: DataFrame, distance: int) -> DataFram
 
 
 def merge_intervals(ivals: DataFrame) -> DataFrame:
-    """Union of overlapping intervals on each chrom."""
-    order = Window.partitionBy("chrom").orderBy("st", "en")
-    reach = F.max("en").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    opens = F.when(reach.isNull() | (F.col("st") > reach), 1).otherwise(0)
-    marked = ivals.select("chrom", "st", "en").withColumn("new", opens)
-    grouped = marked.withColumn("g", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return grouped.groupBy("chrom", "g").agg(F.min("st").alias("st"), F.max("en").alias("en")).drop("g")
+    """Union of overlapping intervals on each chrom; a sweep by blocks, see `sweep.running_max`. Rows with null ends go."""
+    rows = ivals.select("chrom", "st", "en").dropna(subset=["st", "en"])
+    reach = running_max(rows, ["chrom"], "st", ["en"], {"reach": F.col("en")})
+    opens = F.when(F.col("reach").isNull() | (F.col("st") > F.col("reach")), F.col("st"))
+    # of rows that start at one place only the first can open a union, and it has the least reach before it
+    marked = running_max(reach, ["chrom"], "st", ["en", "reach"], {"first": opens}, before=False)
+    return marked.groupBy("chrom", "first").agg(F.max("en").alias("en")).select("chrom", F.col("first").alias("st"), "en")
 
 
 def subtract_intervals(lengths: DataFrame, excluded: DataFrame) -> DataFrame:
     """The parts of 1..length of each chrom that no excluded interval covers; empty parts are skipped."""
     merged = merge_intervals(excluded)
-    order = Window.partitionBy("chrom").orderBy("st")
-    before = merged.select("chrom", (F.coalesce(F.lag("en").over(order), F.lit(0)) + 1).alias("st"), (F.col("st") - 1).alias("en"))
-    last = merged.groupBy("chrom").agg(F.max("en").alias("last"))
-    tail = lengths.join(last, "chrom", "left").select("chrom", (F.coalesce("last", F.lit(0)) + 1).alias("st"), F.col("len").alias("en"))
-    return before.unionByName(tail).where("en >= st")
+    ends = merged.select("chrom", "st", "en", F.lit(0).alias("tail")).unionByName(lengths.select("chrom", (F.col("len") + 1).alias("st"), F.lit(None).cast("long").alias("en"), F.lit(1).alias("tail")))
+    before = running_max(ends, ["chrom"], "st", ["tail"], {"last": F.col("en")})
+    known = before.join(lengths.select("chrom").distinct(), "chrom", "left_semi")
+    return known.select("chrom", (F.coalesce("last", F.lit(0)) + 1).alias("st"), (F.col("st") - 1).alias("en")).where("en >= st")

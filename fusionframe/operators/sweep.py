@@ -13,24 +13,45 @@ from pyspark.sql import functions as F
 BLOCK = 1 << 16
 
 
-def running_max(rows: DataFrame, key: list[str], at: str, order: list[str], value: Column, name: str, block: int = BLOCK, before: bool = True) -> DataFrame:
-    """Add `name`: the maximum of `value` over the rows of one key that come before by (`at`, *order), or with before=False up to the row itself.
+def running_max(rows: DataFrame, key: list[str], at: str, order: list[str], values: dict[str, Column], block: int = BLOCK, before: bool = True) -> DataFrame:
+    """Add the columns of `values`: the maximum of each over the rows of one key that come before by (`at`, *order), or with before=False up to the row itself.
 
-    Null where there is none. `at` is a whole number; equal rows in `at` and `order` come in any order.
+    Null where there is none; nulls do not count. `at` is a whole number; rows equal in `at` and `order` come in any order.
     """
-    blocked = rows.withColumns({"_block": F.floor(F.col(at) / block), "_value": value})
-    handed = blocked.groupBy(*key, "_block").agg(F.max("_value").alias("_most"))
+    names = list(values)
+    blocked = rows.withColumns({"_block": F.floor(F.col(at) / block), **{f"_v_{n}": v for n, v in values.items()}})
+    handed = blocked.groupBy(*key, "_block").agg(*[F.max(f"_v_{n}").alias(f"_m_{n}") for n in names])
     earlier = Window.partitionBy(*key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carry = handed.select(*key, "_block", F.max("_most").over(earlier).alias("_carry")).where("_carry is not null")
+    carry = handed.select(*key, "_block", *[F.max(f"_m_{n}").over(earlier).alias(f"_c_{n}") for n in names])
     within = Window.partitionBy(*key, "_block").orderBy(at, *order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
-    swept = blocked.withColumn(name, F.max("_value").over(within))
-    joined = swept.join(carry, [*key, "_block"], "left")
-    return joined.withColumn(name, F.greatest(name, "_carry")).drop("_block", "_value", "_carry")
+    swept = blocked.withColumns({n: F.max(f"_v_{n}").over(within) for n in names}).join(carry, [*key, "_block"])
+    return swept.withColumns({n: F.greatest(n, f"_c_{n}") for n in names}).drop("_block", *[f"_{x}_{n}" for n in names for x in "vc"])
 
 
 def runs_by_gap(rows: DataFrame, key: list[str], at: str, gap: int, name: str, block: int = BLOCK) -> DataFrame:
     """Add `name`, the first position of each row's run: a new one starts where `at` lies `gap` or more after all positions before."""
-    before = running_max(rows, key, at, [], F.col(at), "_before", block)
+    before = running_max(rows, key, at, [], {"_before": F.col(at)}, block)
     opens = F.when(F.col("_before").isNull() | (F.col(at) - F.col("_before") >= gap), F.col(at))
     # rows of one position: all but the first have that position before them, so the run's start comes from the first
-    return running_max(before, key, at, ["_before"], opens, name, block, before=False).drop("_before")
+    return running_max(before, key, at, ["_before"], {name: opens}, block, before=False).drop("_before")
+
+
+def nearest_edges(points: DataFrame, edges: DataFrame, key: str) -> DataFrame:
+    """(key, down_+, down_-, up_+, up_-): for each point (key, chrom, pos) the nearest edge at or below and at or above it, by strand.
+
+    Edges have chrom, strand, edge and `what`, a struct; of edges at one place of a strand the least `what` counts. The results
+    are structs (place, edge, what), null without an edge.
+    """
+    one = edges.groupBy("chrom", "strand", "edge").agg(F.min("what").alias("what"))
+    blank = F.lit(None)
+    what = one.schema["what"].dataType
+    rows = one.select("chrom", F.col("edge").alias("pos"), F.lit(0).alias("late"), "strand", F.struct("edge", "what").alias("e"), blank.cast(points.schema[key].dataType).alias(key)).unionByName(
+        points.select("chrom", "pos", F.lit(1).alias("late"), blank.cast("string").alias("strand"), F.struct(blank.cast("long").alias("edge"), blank.cast(what).alias("what")).alias("e"), key))
+    rows = rows.withColumn("back", -F.col("pos"))
+
+    def side(strand: str, place: str) -> Column:
+        return F.when(F.col("strand") == strand, F.struct(F.col(place).alias("place"), F.col("e.edge").alias("edge"), F.col("e.what").alias("what")))
+
+    down = running_max(rows, ["chrom"], "pos", ["late"], {f"down_{s}": side(s, "pos") for s in "+-"})
+    both = running_max(down, ["chrom"], "back", ["late"], {f"up_{s}": side(s, "back") for s in "+-"})
+    return both.where(F.col("late") == 1).select(key, *[f"{d}_{s}" for d in ("down", "up") for s in "+-"])

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .intervals import interval_join
+from .sweep import nearest_edges
 
 #: The standard genetic code, codons in order of TCAG.
 AMINO = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
@@ -80,23 +81,38 @@ def gene_features(points: DataFrame, transcripts: DataFrame, key: str) -> DataFr
 def annotate_site(points: DataFrame, genes: DataFrame, key: str, windows=(10, 5000, 10_000, 40_000)) -> DataFrame:
     """(key, gene, feature, score) of each point (pos, qs, ort): the nearest gene by priority, else NA.
 
-    Coding comes before utr, intron and intergenic; among equals the narrowest window, then the same strand, then the first gene. Of
+    Coding comes before utr, intron and intergenic; among equals the same strand, then the first gene. Of
     genes beside the point the one with the nearest edge counts, under 40 kb. The feature is taken 10 bases inside, and the
-    score is negative on the other strand.
+    score is negative on the other strand. `key` is unique.
+
+    The place looked at lies within the narrowest window of the point, so all features but intergenic come from genes in that window; points
+    without one get the nearest edge of each strand and side by a sweep, whatever the number of genes around.
     """
-    at = points.select(key, "chrom", F.col("pos").alias("st"), F.col("pos").alias("en"), "qs", "ort")
-    hits = interval_join(at, genes, width=10_000, pad=max(windows))
+    inside, most = min(windows), max(windows)
     strand = F.when(F.col("qs") > 0, "+").otherwise("-")
-    check = F.when(F.when(F.col("ort") > 0, "+").otherwise("-") == strand, F.col("st") - 10).otherwise(F.col("st") + 10)
-    gap = F.greatest(F.lit(0), F.col("r_st") - F.col("st"), F.col("st") - F.col("r_en"))
+    at = points.select(key, "chrom", F.col("pos").alias("st"), F.col("pos").alias("en"), "pos", "ort", strand.alias("own"))
+    check = F.when(F.when(F.col("ort") > 0, "+").otherwise("-") == F.col("own"), F.col("st") - inside).otherwise(F.col("st") + inside)
+    hits = interval_join(at, genes, width=10_000, pad=inside)
     feature = feature_at(check, F.col("r_strand"), F.col("r_st"), F.col("r_en"), F.col("r_cds_st"), F.col("r_cds_en"), F.col("r_exons"))
-    edge = F.least(F.abs(F.col("r_st") - F.col("st")), F.abs(F.col("r_en") - F.col("st")))
-    rows = hits.select(key, F.col("r_gene").alias("gene"), feature.alias("feature"), F.when(F.col("r_strand") == strand, 0).otherwise(1).alias("other"),
-                       edge.alias("edge"), F.coalesce(*[F.when(gap <= w, w) for w in windows]).alias("tier"), F.col("r_tx").alias("tx"))
-    rows = rows.where((F.col("feature") != "intergenic") | (F.col("edge") < max(windows)))
-    order = F.struct(-feature_score(F.col("feature")), F.when(F.col("feature") == "intergenic", F.col("edge")).otherwise(0), "tier", "other", "tx")
-    best = rows.groupBy(key).agg(F.min_by(F.struct("gene", "feature", (feature_score(F.col("feature")) * F.when(F.col("other") == 0, 1).otherwise(-1)).alias("score")), order).alias("b"))
-    return points.select(key).join(best, key, "left").select(
+    sign = F.when(F.col("r_strand") == F.col("own"), 1).otherwise(-1)
+    rows = hits.select(key, F.col("r_gene").alias("gene"), feature.alias("feature"), sign.alias("sign"), F.col("r_tx").alias("tx")).where("feature <> 'intergenic'")
+    score = feature_score(F.col("feature"))
+    found = rows.groupBy(key).agg(F.min_by(F.struct("gene", "feature", (score * F.col("sign")).alias("score")), F.struct(-score, -F.col("sign"), "tx")).alias("b"))
+    left = at.join(found, key, "left_anti")
+    what = F.struct(F.col("tx").alias("tx"), F.col("gene").alias("gene"))
+    edges = genes.select("chrom", "strand", what.alias("what"), F.explode(F.array("st", "en")).alias("edge"))
+    near = left.select(key, "pos", "own").join(nearest_edges(left, edges, key), key)
+
+    def candidate(side: str, strand: str) -> Column:
+        c = F.col(f"{side}_{strand}")
+        far = F.abs(c["edge"] - F.col("pos"))
+        return F.when(far < most, F.struct(far.alias("far"), (F.col("own") != strand).cast("int").alias("other"), c["what"]["tx"].alias("tx"), c["what"]["gene"].alias("gene")))
+
+    best = F.array_min(F.array(*[candidate(side, s) for side in ("down", "up") for s in "+-"]))
+    beside = near.withColumn("e", best).where("e is not null").select(key, F.struct(
+        F.col("e.gene").alias("gene"), F.lit("intergenic").alias("feature"), F.when(F.col("e.other") == 0, SCORES["intergenic"]).otherwise(-SCORES["intergenic"]).alias("score")).alias("b"))
+    named = found.unionByName(beside)
+    return points.select(key).join(named, key, "left").select(
         key, F.coalesce("b.gene", F.lit("NA")).alias("gene"), F.coalesce("b.feature", F.lit("intergenic")).alias("feature"), F.coalesce("b.score", F.lit(0.0)).alias("score"))
 
 
