@@ -65,6 +65,8 @@ VIEWS = {
     "fx_maps": ("lineitem", """select l_orderkey contig, concat('m',cast(l_partkey%60 as varchar(12))) as read, case when l_linenumber%2=0 then 'b' else 'a' end side, cast(60+l_partkey%40-l_suppkey%4 as bigint) matches, cast(l_suppkey%3 as bigint) qstart, cast(l_suppkey%3+60+l_partkey%40 as bigint) qend,
  cast((l_partkey*7+l_suppkey)%90+20 as bigint) tstart, cast((l_partkey*7+l_suppkey)%90+80+l_partkey%40 as bigint) tend from lineitem"""),
     "fx_cuts": ("orders", """select o_orderkey key, o_orderkey contig, cast(60+o_custkey%80 as bigint) pos, case when o_custkey%2=0 then 1 else -1 end ort from orders"""),
+    "fx_gather": ("orders", """select o_orderkey key, concat('chr',cast(o_custkey%22+1 as varchar(5))) chrom, cast(1000+(o_orderkey*611+o_custkey*37)%100000 as bigint) pos, case when o_orderkey%2=0 then '+' else '-' end side from orders"""),
+    "fx_kord": ("orders", """select o_orderkey ord, concat('G',cast(o_custkey%37 as varchar(5))) genea, concat('G',cast((o_orderkey*7+o_custkey)%41 as varchar(5))) geneb from orders where o_orderkey%8=0"""),
     "fx_contig": ("documents", """select doc_id, translate(concat(md5(text),md5(concat(text,'1')),md5(concat(text,'2')),
  md5(concat(text,'3'))),'0123456789abcdef','ACGTACGTACGTACGT') seq from documents"""),
 }

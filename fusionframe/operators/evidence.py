@@ -244,3 +244,63 @@ def novel_junctions(junctions: DataFrame, min_gap: int = 10_000) -> DataFrame:
     """Novel junctions of two perfect and five flanking reads, five perfect and clean ones together, and `min_gap` between the ends."""
     ok = (F.col("type") == "novel") & (F.col("perfect") >= 2) & (F.col("flanking") >= 5) & (F.col("perfect") + F.col("clean") >= 5)
     return junctions.where(ok & (F.abs(F.col("posa") - F.col("posb")) >= min_gap))
+
+
+def clip_reads_at(reads: DataFrame, sites: DataFrame, key: str, shift: int = 3, min_len: int = 20, rescue: bool = True) -> DataFrame:
+    """(key, reads, pos, mate_strand, mate_from, mate_to, longest): the clipped reads gathered at each site (key, chrom, pos, side).
+
+    A read counts if its clip of 3 bases or more on the site's side ends within `shift` of the site; with `rescue` also if it
+    overlaps that window and its clip, put past at most 6 matched bases and a gap of over 100, does. Of reads alike in start, end, mate start and
+    clip one counts. pos is the place of most reads (the lowest of equals), mate_strand + where more mates are forward, else -.
+    Sites whose longest clip is under `min_len` are left out. Reads have qname, chrom, st, cigar, flag and mate_st.
+    """
+    ok = F.col("cigar").contains("S") & ~flag_is(F.col("flag"), DUPLICATE) & F.col("st").isNotNull()
+    used = reads.where(ok).withColumns({"ops": cigar_ops(F.col("cigar")), "en": F.col("st") + ref_span(F.col("cigar")) - 1})
+    n = F.size("ops")
+
+    def op(i):
+        return F.get("ops", i if isinstance(i, Column) else F.lit(i))
+
+    def ends(side: str):
+        """The clip at its own place and, if it has one, past the short match: (side, pos, clip, moved)."""
+        first, match, gap = (op(0), op(1), op(2)) if side == "-" else (op(n - 1), op(n - 2), op(n - 3))
+        clipped = (first["op"] == "S") & (first["len"] >= 3)
+        place = F.col("st") if side == "-" else F.col("en")
+        moved = F.col("st") + match["len"] - gap["len"] if side == "-" else F.col("en") - match["len"] - gap["len"]
+        short = clipped & (n >= 4) & (match["op"] == "M") & (match["len"] <= 6) & (gap["op"] == "N") & (gap["len"] > 100)
+        made = [F.when(clipped, F.struct(F.lit(side).alias("side"), place.alias("at"), first["len"].alias("clip"), F.lit(0).alias("moved")))]
+        if rescue:
+            made.append(F.when(short, F.struct(F.lit(side).alias("side"), moved.alias("at"), (first["len"] + match["len"]).alias("clip"), F.lit(1).alias("moved"))))
+        return made
+
+    clips = used.select("qname", "chrom", "st", "en", "mate_st", "flag", F.explode(F.array(*ends("-"), *ends("+"))).alias("c")).where("c is not null").select(
+        "qname", "chrom", "st", "en", "mate_st", "flag", "c.*")
+    window = F.explode(F.sequence(F.col("pos") - shift, F.col("pos") + shift))
+    asked = sites.select(key, "chrom", "side", F.col("pos").alias("site"), window.alias("at"))
+    met = clips.join(asked, ["chrom", "side", "at"]).where((F.col("moved") == 0) | ((F.col("en") >= F.col("site") - shift) & (F.col("st") <= F.col("site") + shift)))
+    # A read is at a site once: by its own place if that is near, else by the moved one.
+    met = met.groupBy(key, "qname", "st", "en", "mate_st", "flag").agg(F.min(F.struct("moved", "at", "clip")).alias("c"))
+    one = met.groupBy(key, "st", "en", "mate_st", F.col("c.clip").alias("clip")).agg(F.min(F.struct("qname", "flag", F.col("c.at").alias("at"))).alias("r"))
+    places = one.groupBy(key, F.col("r.at").alias("at")).agg(
+        F.count("*").alias("n"), F.count_if(flag_is(F.col("r.flag"), 32)).alias("minus"), F.min("mate_st").alias("low"), F.max("mate_st").alias("high"), F.max("clip").alias("clip"))
+    found = places.groupBy(key).agg(
+        F.sum("n").alias("reads"), F.min_by("at", F.struct(-F.col("n"), "at")).alias("pos"), F.sum("minus").alias("minus"), F.min("low").alias("mate_from"), F.max("high").alias("mate_to"), F.max("clip").alias("longest"))
+    return found.where(F.col("longest") >= min_len).select(
+        key, "reads", "pos", F.when(F.col("reads") - F.col("minus") > F.col("minus"), "+").otherwise("-").alias("mate_strand"), "mate_from", "mate_to", F.col("longest").cast("long").alias("longest"))
+
+
+def clip_consensus(clips: DataFrame, keys: list[str], least: int = 2) -> DataFrame:
+    """(keys, consensus, support, reads): the majority base at each offset of the clipped bases of a site, as long as `least` reads reach it.
+
+    clips have the keys, `side` and `seq`, the clipped bases in the direction of the reference; offset 1 is next to the site. Among equals
+    the first of ACGT wins, N only where nothing else is. support is the least count of a winning base, reads those of the first offset.
+    Bases are counted before they meet, so a deep site moves four rows or so for each offset and task; a site has as many offsets as a read has bases.
+    """
+    bases = F.when(F.col("side") == "+", F.col("seq")).otherwise(F.reverse("seq"))
+    letters = clips.select(*keys, F.posexplode(F.filter(F.split(F.upper(bases), ""), lambda b: b != "")).alias("offset", "base"))
+    counts = letters.groupBy(*keys, "offset", "base").agg(F.count("*").alias("n"))
+    best = counts.groupBy(*keys, "offset").agg(F.min(F.struct(F.col("base") == "N", -F.col("n"), "base")).alias("b"), F.sum("n").alias("depth")).where(F.col("depth") >= least)
+    listed = best.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("offset", F.col("b.base").alias("base"), (-F.col("b.col2")).alias("n"), "depth"))).alias("l"))
+    text = F.array_join(F.col("l.base"), "")
+    out = F.when(F.col("side") == "+", text).otherwise(F.reverse(text)) if "side" in keys else text
+    return listed.select(*keys, out.alias("consensus"), F.array_min(F.col("l.n")).alias("support"), F.get("l", F.lit(0))["depth"].alias("reads"))

@@ -175,3 +175,62 @@ def total_reads(plus_depth: Column, minus_depth: Column, depth: Column, reads: C
 def adaptive_cutoff(sites: DataFrame, least: int = 2, strict: int = 5, limit: int = 200_000) -> int:
     """The support to ask for: `strict` where there are over `limit` sites."""
     return strict if sites.count() > limit else least
+
+
+def same_locus(pairs: DataFrame, genes: DataFrame, min_distance: int = 10_000) -> DataFrame:
+    """(ord, same): whether both ends of a pair lie in one locus.
+
+    Pairs have ord, and for ends a and b chr, pos, st, en and qs. The genes (key gene_id) of an end are those that overlap it, else those
+    within 5 kb, else within 10 kb. One gene at both ends, or a gene within another, give or take 1 kb, make it one locus; so do ends of one
+    chrom within 1 kb of each other's range if an end overlaps no gene, or within 5 kb (or a tenth of `min_distance` on one strand) if neither does.
+    """
+    from .intervals import interval_join
+
+    ends = pairs.select("ord", F.explode(F.array(*[F.struct(F.lit(x).alias("end"), F.col(f"chr{x}").alias("chrom"), F.col(f"st{x}").alias("st"), F.col(f"en{x}").alias("en")) for x in "ab"])).alias("e")).select("ord", "e.*")
+    hits = interval_join(ends, genes.select("gene_id", "chrom", "st", "en"), pad=10_000, width=10_000)
+    gap = F.greatest(F.lit(0), F.col("r_st") - F.col("en"), F.col("st") - F.col("r_en"))
+    tier = F.when(gap <= 0, 0).when(gap <= 5000, 1).otherwise(2)
+    by_tier = hits.groupBy("ord", "end", tier.alias("tier")).agg(F.collect_list(F.struct(F.col("r_gene_id").alias("id"), F.col("r_st").alias("st"), F.col("r_en").alias("en"))).alias("g"))
+    best = by_tier.groupBy("ord", "end").agg(F.min(F.struct("tier", "g")).alias("t"))
+    both = best.groupBy("ord").agg(*[F.first(F.when(F.col("end") == x, F.col("t")), ignorenulls=True).alias(f"t{x}") for x in "ab"])
+    rows = pairs.join(both, "ord", "left")
+    none = {x: F.coalesce(F.col(f"t{x}.tier") > 0, F.lit(True)) for x in "ab"}
+    one_chrom = F.col("chra") == F.col("chrb")
+
+    def near(most):
+        return F.least(*[F.abs(F.col(f"pos{x}") - F.col(f"{e}{y}")) for x, y in ("ab", "ba") for e in ("st", "en")]) < most
+
+    close = one_chrom & (((none["a"] | none["b"]) & near(1000)) | (none["a"] & none["b"] & (near(5000) | ((F.abs(F.col("posa") - F.col("posb")) < min_distance / 10) & (F.col("qsa") == F.col("qsb"))))))
+
+    def within(x, y):
+        return (x["st"] - 1000 < y["st"]) & (x["en"] + 1000 > y["en"])
+
+    shared = F.exists("ta.g", lambda x: F.exists("tb.g", lambda y: (x["id"] == y["id"]) | (one_chrom & (within(x, y) | within(y, x)))))
+    return rows.select("ord", F.coalesce(close | F.coalesce(shared, F.lit(False)), F.lit(False)).alias("same"))
+
+
+def known_pairs(pairs: DataFrame, pattern: str = "^(IG|TR).$") -> DataFrame:
+    """(x, y): the known pairs both ways, read in order of the unique `ord`, without those of a gene that is enhancer-activated by then.
+
+    A pair with a gene of `pattern` activates its other gene, and is itself read if neither gene was active before. Only pairs of two
+    such genes can make one of them active, so these few (one for each pair of names of the pattern) are read one by one; every other gene
+    becomes active with its first pair that is read.
+    """
+    rows = pairs.select("ord", F.col("genea").alias("a"), F.col("geneb").alias("b"))
+    is_a, is_b = F.col("a").rlike(pattern), F.col("b").rlike(pattern)
+    first = rows.where(is_a & is_b).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("ord").alias("ord"))
+    state = F.struct(F.array().cast("array<string>").alias("names"), F.array().cast("array<bigint>").alias("ords"))
+
+    def read(acc, p):
+        new = ~F.array_contains(acc["names"], p["a"]) & ~F.array_contains(acc["names"], p["b"])
+        return F.when(new, F.struct(F.concat(acc["names"], F.array(p["a"], p["b"])).alias("names"), F.concat(acc["ords"], F.array(p["ord"], p["ord"])).alias("ords"))).otherwise(acc)
+
+    folded = first.groupBy().agg(F.array_sort(F.collect_list(F.struct(F.col("ord").cast("long").alias("ord"), "a", "b"))).alias("l")).select(F.aggregate("l", state, read).alias("s"))
+    special = folded.select(F.explode(F.arrays_zip("s.names", "s.ords")).alias("z")).select(F.col("z.names").alias("g"), F.col("z.ords").alias("since"))
+    mixed = rows.where(is_a != is_b).select("ord", F.when(is_a, F.col("a")).otherwise(F.col("b")).alias("g"), F.when(is_a, F.col("b")).otherwise(F.col("a")).alias("other"))
+    open_ = mixed.join(special, "g", "left").where(F.col("since").isNull() | (F.col("ord") <= F.col("since")))
+    active = open_.groupBy(F.col("other").alias("g")).agg(F.min("ord").alias("since")).unionByName(special)
+    kept = rows
+    for c in "ab":
+        kept = kept.join(active.select(F.col("g").alias(c), F.col("since").alias(f"since_{c}")), c, "left").where(F.col(f"since_{c}").isNull() | (F.col("ord") <= F.col(f"since_{c}")))
+    return kept.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(kept.select(F.col("b").alias("x"), F.col("a").alias("y"))).distinct()

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .intervals import interval_join
-from .sweep import nearest_edges
+from .graph import components
+from .sweep import nearest_edges, running_max
 
 #: The standard genetic code, codons in order of TCAG.
 AMINO = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
@@ -288,3 +289,19 @@ def mask_frame(frame: Column, length: Column) -> Column:
     """The frame with its first `length` letters as X."""
     n = F.least(length, F.length(frame))
     return F.concat(F.repeat(F.lit("X"), n), F.substring(frame, n + 1, F.length(frame)))
+
+
+def build_genes(transcripts: DataFrame) -> DataFrame:
+    """(gene_no, chrom, strand, st, en, names, transcripts): genes as transcripts of one strand that exon overlaps connect.
+
+    gene_no is the least tx. Bounds are closed; a transcript whose exons miss another's, though it lies within it, is a gene of its own.
+    A sweep links each exon that starts before the farthest end so far only to the transcript with that end, which connects the same transcripts as
+    all overlapping pairs would. tx is unique; rows without exons are genes of one transcript.
+    """
+    exons = transcripts.select("chrom", "strand", "tx", F.explode("exons").alias("e")).select("chrom", "strand", "tx", "e.st", "e.en")
+    swept = running_max(exons, ["chrom", "strand"], "st", ["en", "tx"], {"reach": F.struct("en", "tx")})
+    edges = swept.where((F.col("st") <= F.col("reach.en")) & (F.col("tx") != F.col("reach.tx"))).select(F.col("tx").alias("a"), F.col("reach.tx").alias("b")).distinct()
+    roots = components(edges).withColumnRenamed("node", "tx")
+    rows = transcripts.join(roots, "tx", "left").withColumn("gene_no", F.coalesce("root", "tx"))
+    return rows.groupBy("gene_no", "chrom", "strand").agg(
+        F.min("st").alias("st"), F.max("en").alias("en"), F.array_join(F.array_sort(F.collect_set("gene")), ",").alias("names"), F.count("*").alias("transcripts"))
