@@ -67,6 +67,7 @@ VIEWS = {
     "fx_cuts": ("orders", """select o_orderkey key, o_orderkey contig, cast(60+o_custkey%80 as bigint) pos, case when o_custkey%2=0 then 1 else -1 end ort from orders"""),
     "fx_gather": ("orders", """select o_orderkey key, concat('chr',cast(o_custkey%22+1 as varchar(5))) chrom, cast(1000+(o_orderkey*611+o_custkey*37)%100000 as bigint) pos, case when o_orderkey%2=0 then '+' else '-' end side from orders"""),
     "fx_kord": ("orders", """select o_orderkey ord, concat('G',cast(o_custkey%37 as varchar(5))) genea, concat('G',cast((o_orderkey*7+o_custkey)%41 as varchar(5))) geneb from orders where o_orderkey%8=0"""),
+    "fx_aa": ("documents", """select doc_id, translate(concat(md5(concat(text,'p')),md5(concat(text,'q'))),'0123456789abcdef','ARNDCQEGHILKMFP*') aa, cast(1+doc_id%9 as int) c1, cast(64-doc_id%13 as int) c2, cast(1+doc_id*7%66 as int) at_codon from documents"""),
     "fx_contig": ("documents", """select doc_id, translate(concat(md5(text),md5(concat(text,'1')),md5(concat(text,'2')),
  md5(concat(text,'3'))),'0123456789abcdef','ACGTACGTACGTACGT') seq from documents"""),
 }

@@ -12,7 +12,7 @@ from fusionframe.operators import intervals as I
 from fusionframe.operators import proximity as P
 from fusionframe.operators import scoring as S
 from fusionframe.operators import transcripts as T
-from fusionframe.plans import contigs, records, sites  # noqa: F401  (they register their queries)
+from fusionframe.plans import contigs, frames, records, sites  # noqa: F401  (they register their queries)
 from fusionframe.plans.registry import ORACLES, QUERIES
 from fusionframe.plans.registry import register as _register
 
