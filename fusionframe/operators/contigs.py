@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import written
+
 MIN_HIT, MIN_DISTANCE = 25, 10_000
 END = ["ort", "tname", "tstart", "tend", "tpos", "qstart", "qend", "qpos", "qstrand", "matches", "percent"]
 
@@ -363,11 +365,13 @@ def detect_pairs(hits: DataFrame, sites: DataFrame, contigs: DataFrame, second_h
     short contig with `most` or more go, of more only the `most` best stay. A candidate within 50 bases of a pair of the site takes its place if
     the product of its matches is greater; a far one whose second end explains the contig as well on that target ends the contig without
     pairs, a near one ends it with that. Where an event explains a site and all its contigs are bad or map over it, only events stay. Contigs come by
-    length, the longest first, and name. Only the last step sees all pairs of a site together.
+    length, the longest first, and name. Only the last step sees all pairs of a site together. Hits and intermediate tables are written to the
+    folder of spark.checkpoint.dir.
     """
-    triage = triage_contigs(hits, sites, read_len, least)
+    hits, second_hits = written(hits, "hits"), written(second_hits, "hits")  # read by every step below
+    triage = written(triage_contigs(hits, sites, read_len, least), "triage")
     events = block_events(hits, sites, triage.where("site_mapped"), least)
-    pm = partial_hits(hits, sites, triage, contigs, least).withColumn("key", _c("contig"))
+    pm = written(partial_hits(hits, sites, triage, contigs, least).withColumn("key", _c("contig")), "partial")
     b_end = ["contig", "id", "n", *[_c(c).alias(f"{c}b") for c in END]]
     partners = overhang_local(pm, hits, read_len, least, min_distance).select(F.lit(1).alias("step"), *b_end, F.lit(None).cast("double").alias("repeat2"))
     partners = partners.unionByName(overhang_remote(pm, hits, least).select(F.lit(2).alias("step"), *b_end, F.lit(None).cast("double").alias("repeat2")))
@@ -379,6 +383,7 @@ def detect_pairs(hits: DataFrame, sites: DataFrame, contigs: DataFrame, second_h
         return F.when(_c(f"qstrand{x}") * _c(f"ort{x}") < 0, _c(f"tstart{x}")).otherwise(_c(f"tend{x}"))
 
     pairs = pairs.withColumns({"enda": outer("a"), "endb": outer("b"), **{f"q{x}": F.when(_c(f"ort{x}") > 0, _c(f"qend{x}")).otherwise(_c(f"qstart{x}")) for x in "ab"}})
+    pairs = written(pairs, "pairs")
     first = _c("enda") - _c("sc_site") > 50
     fixed = {"tpos": ("enda", "endb"), "qpos": ("qa", "qb")}
     second = pairs.select("key", "contig", *[F.when(first, _c(fixed.get(c, (f"{c}a",))[0])).otherwise(_c(fixed.get(c, ("", f"{c}b"))[1])).alias(c) for c in END],

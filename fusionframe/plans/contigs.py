@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fusionframe.fixtures import mappings, view
 from fusionframe.operators import contigs as C
+from fusionframe.operators.graph import written
 from fusionframe.plans.registry import register
 
 READ_LEN = 100
@@ -161,9 +162,10 @@ register("M10_detect_pairs", lambda s, d: _rounded(_detected(s, d)))
 
 def _requantified(s, d):
     hits, pm = _partial(s, d)
+    hits, pm = written(hits, "hits"), written(pm, "partial")
     a = pm.select("contig", *[F.col(c).alias(f"{c}a") for c in ("tname", "tpos", "qpos", "ort")])
     b = C.overhang_remote(pm, hits).select("contig", "id", *[F.col(c).alias(f"{c}b") for c in ("tname", "tpos", "qpos", "ort")])
-    events = a.join(b, "contig").withColumns({"event": F.concat_ws("_", F.col("contig").cast("string"), "id"), "ord": F.col("contig")})
+    events = written(a.join(b, "contig").withColumns({"event": F.concat_ws("_", F.col("contig").cast("string"), "id"), "ord": F.col("contig")}), "events")
     turn, off = F.col("contig") % 3 == 0, F.col("contig") % 70 - 15
     ends = [F.when(turn, F.col(f"{c}{y}")).otherwise(F.col(f"{c}{x}")) for x, y in ("ab", "ba") for c in ("tname", "tpos")]
     pairs = events.groupBy("ord").agg(F.min_by(F.struct("contig", *[f"{c}{x}" for x in "ab" for c in ("tname", "tpos")]), "id").alias("e")).select("ord", "e.*").select(
