@@ -192,8 +192,18 @@ _register("J09_offset_lookup", lambda s, d: P.offset_lookup(view(s, d, "fx_svs")
                                                              E.clip_evidence(view(s, d, "fx_reads")).select("chrom", "side", "pos", "reads"), "ord"),
           ", a01 as (" + _A01 + """) select s.ord, cast(a.pos-s.posa as int) "offset", a.reads from fx_svs s join a01 a on a.chrom=concat('chr',cast(s.ord%22+1 as varchar)) and a.side=case when orta>0 then '+' else '-' end and abs(a.pos-s.posa)<=5
  qualify row_number() over (partition by s.ord order by a.pos<>s.posa, a.pos-s.posa)=1""")
-for _mode, _key in (("raw", "W02"), ("annotated", "W03"), ("rank", "W04")):
-    _register(f"{_key}_dedupe_{_mode}", lambda s, d, m=_mode: P.dedupe_pairs(view(s, d, "fx_svs"), m))
+_NEAR = "{k}.ca={r}.ca and {k}.cb={r}.cb and abs({k}.pa-{r}.pa)<10 and abs({k}.pb-{r}.pb)<10"
+_TURNED = "k.ca=b.r.cb and k.cb=b.r.ca and abs(k.pa-b.r.pb)<10 and abs(k.pb-b.r.pa)<10"
+#: The folds as an ordered walk over the rows of each pair of chroms, which carries the list of kept rows.
+_WALK = """, b as (select least(chra,chrb) c1, greatest(chra,chrb) c2, struct_pack(o:=ord, ca:=chra, pa:=posa, cb:=chrb, pb:=posb, rs:=readsa+readsb, ms:=matcha+matchb) r, row_number() over (partition by least(chra,chrb), greatest(chra,chrb) order by ord) i from fx_svs),
+ walk as (select c1, c2, i, [r] kept from b where i=1 union all select c1, c2, i, case when spot is null then list_append(kept, r) when {same} then kept
+ else list_concat(list_append(kept[1:spot-1], struct_pack(o:=kept[spot].o, ca:=kept[spot].ca, pa:=kept[spot].pa, cb:=r.ca, pb:=r.pa, rs:=kept[spot].rs, ms:=kept[spot].ms)), kept[spot+1:]) end
+ from (select b.c1, b.c2, b.i, b.r, walk.kept, list_position(list_transform(walk.kept, lambda k: {drops}), true) spot from walk join b on b.c1=walk.c1 and b.c2=walk.c2 and b.i=walk.i+1) z)
+ select s.ord, k.ca chra, k.pa posa, k.cb chrb, k.pb posb, s.readsa, s.readsb, s.matcha, s.matchb from (select unnest(kept) k from (select kept from walk qualify i=max(i) over (partition by c1, c2)) z) u join fx_svs s on s.ord=k.o"""
+_DIRECT = _NEAR.format(k="k", r="b.r")
+for _mode, _key, _same, _drops in (("raw", "W02", _NEAR.format(k="kept[spot]", r="r"), f"({_DIRECT}) or ({_TURNED})"), ("annotated", "W03", "true", f"{_DIRECT} and (k.rs>=b.r.rs or k.ms>=b.r.ms)"),
+                                   ("rank", "W04", "true", f"{_DIRECT} and k.rs>b.r.rs")):
+    _register(f"{_key}_dedupe_{_mode}", lambda s, d, m=_mode: P.dedupe_pairs(view(s, d, "fx_svs"), m), _WALK.format(same=_same, drops=_drops))
 _register("W05_merge_sites", lambda s, d: P.merge_sites(view(s, d, "fx_svs").select("chra", "posa", "orta", "readsa", "ord"), ["chra", "posa", "orta"], "readsa", "ord"),
           "select chra, posa, orta, arg_max(readsa, ord) readsa, max(ord) ord from fx_svs where readsa>0 group by 1,2,3")
 _register("M07_merge_candidates", lambda s, d: P.merge_candidates(view(s, d, "fx_svs")).select("ord"),
