@@ -319,7 +319,9 @@ _register("R01_three_frames", lambda s, d: view(s, d, "fx_contig").select("doc_i
 _register("R04_unique_anchor", lambda s, d: view(s, d, "fx_contig").select("doc_id", T.unique_anchor(F.col("seq"), F.substring("seq", 50, 20), 3).alias("place")),
           """, k as (select doc_id, seq, substr(seq,50,20) w from fx_contig), l as (select doc_id, n, instr(seq,substr(w,1,n)) a, substr(seq, instr(seq,substr(w,1,n))+1) rest, substr(w,1,n) part from k, range(3,21) r(n))
  select doc_id, cast(coalesce(arg_min(a,n) filter (a>0 and instr(rest,part)=0),0) as int) place from l group by 1""")
-_register("R07_coding_frame", lambda s, d: view(s, d, "fx_contig").select("doc_id", T.coding_frame(F.substring(T.translate(F.col("seq")), 1, 20), F.substring(T.translate(F.col("seq")), 21, 30)).alias("usable")))
+_register("R07_coding_frame", lambda s, d: view(s, d, "fx_contig").select("doc_id", T.coding_frame(F.substring(T.translate(F.col("seq")), 1, 20), F.substring(T.translate(F.col("seq")), 21, 30)).alias("usable")),
+          """, f as (select doc_id, substr(list_aggregate(list_transform(range(1, length(seq)-1, 3), lambda i: substr('FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG', cast((instr('TCAG',substr(seq,i,1))-1)*16+(instr('TCAG',substr(seq,i+1,1))-1)*4+instr('TCAG',substr(seq,i+2,1)) as int), 1)),'string_agg',''),1,50) aa from fx_contig)
+ select doc_id, coalesce(bool_or(substr(aa,i,1)='M' and length(regexp_extract(substr(aa,i),'^M[^*]*'))>=11 and i+length(regexp_extract(substr(aa,i),'^M[^*]*'))-1>=20), false) usable from f, range(1,51) r(i) group by 1""")
 _register("R08_prune_pairs", lambda s, d: T.prune_pairs(view(s, d, "fx_svs").select("ord", "genea", F.col("frame").cast("int").alias("frame")), "genea", "frame"),
           ", q as (select ord, genea, cast(frame as int) frame from fx_svs) select ord, genea, frame from q where frame>0 or genea not in (select genea from q where frame>0)")
 _register("R10_frame_summary", lambda s, d: T.frame_summary(view(s, d, "fx_svs").select("chra", F.col("genea").alias("gene"), F.col("frame").cast("int").alias("frame")), "chra"),
