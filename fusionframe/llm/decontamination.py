@@ -187,5 +187,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, min_match: int = 13, ident
 
 
 def op8_decontamination(spark, sf_dir) -> DataFrame:
+    """Whether each document holds a passage of the benchmark, and the items."""
     out = find_leaks(load(spark, sf_dir, "documents").select("doc_id", "text"), load(spark, sf_dir, "benchmark"))
     return out.select("doc_id", (F.size("leaked_items") > 0).alias("contaminated"), "leaked_items")

@@ -87,6 +87,7 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def op2_language(spark, sf_dir) -> DataFrame:
+    """The language of every whole text; dictionaries are learned from the rows that are not held out."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out().alias("held_out"))
     dictionaries = learn(docs.where(~F.col("held_out")))
     out = identify(docs.select("doc_id", "text", "held_out"), dictionaries)

@@ -275,5 +275,6 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, block_w
 
 
 def op3_packing(spark, sf_dir) -> DataFrame:
+    """All documents in windows of 4096 tokens by the corpus's own mix of sources, one row for each piece."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return pack(docs, memo_words=1_000_000).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padded_to")

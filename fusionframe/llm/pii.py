@@ -266,4 +266,5 @@ def pseudonymize(docs: DataFrame, key: bytes) -> DataFrame:
 
 
 def op7_pseudonyms(spark, sf_dir) -> DataFrame:
+    """All documents with pseudonyms for personal values; on test tables, where no key is set, a published one."""
     return pseudonymize(load(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark, TEST_KEY))

@@ -118,5 +118,6 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
 
 
 def op6_simhash(spark, sf_dir) -> DataFrame:
+    """The fingerprint of every document and the least doc_id that it is linked with."""
     out = near_duplicates(load(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -313,5 +313,6 @@ def remove_repeats(docs: DataFrame, group_rows: int = 256, finish=None) -> DataF
 
 
 def op10_suffix_trees(spark, sf_dir) -> DataFrame:
+    """Words removed from every document as parts of repeated passages, with the digest of what is kept."""
     out = remove_repeats(load(spark, sf_dir, "documents"), finish=lambda kept: F.sha2(F.encode(kept, "UTF-8"), 256))
     return out.select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))

@@ -127,6 +127,7 @@ def quantize(column: str, factor: int):
 
 
 def op1_top_k(spark, sf_dir) -> DataFrame:
+    """The five highest inner products of every 50th embedding with all others."""
     vectors = (
         load(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long"), "embedding")
         .where("vec_id is not null and embedding is not null and forall(embedding, x -> x is not null "

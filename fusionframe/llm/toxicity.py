@@ -273,6 +273,7 @@ def train_and_score(docs: DataFrame, training: DataFrame, labels: DataFrame) ->
 
 
 def op9_toxicity(spark, sf_dir) -> DataFrame:
+    """The toxicity score of every whole text; terms and weights are learned from labelled rows that are not held out."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", held_out().alias("held_out"))
     labels = load(spark, sf_dir, "labels").select("doc_id", "toxic")
     out = train_and_score(docs, docs.where(~F.col("held_out")), labels)

@@ -85,5 +85,6 @@ def judge_urls(pages: DataFrame, rules=RULES, strict=STRICT, soft=SOFT, soft_lim
 
 
 def op4_url_vocabulary(spark, sf_dir) -> DataFrame:
+    """Host, path, rule and verdict of every page's url."""
     pages = load(spark, sf_dir, "pages").select("page_id", "url")
     return judge_urls(pages).select("page_id", "host", "path", "rule", "verdict", "strict_hits", "soft_hits")
