@@ -257,8 +257,8 @@ _register("P15_parse_junction", lambda s, d: view(s, d, "fx_svs").select("ord",
           "select ord, chra, posa, '+' stranda, chrb, posb, '-' strandb from fx_svs")
 _register("P17_derive_bp", lambda s, d: view(s, d, "fx_svs").select("ord", *C.derive_bp(F.col("orta"), F.col("qsa"), F.col("posa"), F.col("posa") + 50, F.col("qposa"), F.col("qposa") + 40)),
           "select ord, case when qsa*orta>0 then posa+50 else posa end tpos, case when orta>0 then qposa+40 else qposa end qpos, qsa*orta clip from fx_svs")
-_register("P18_dbinom", lambda s, d: view(s, d, "fx_svs").where("readsa <= 12").select("ord", F.round(C.dbinom(F.col("readsa") + 8, F.col("readsa"), 0.25), 9).alias("density")),
-          "select ord, round(exp(lgamma(readsa+9)-lgamma(readsa+1)-lgamma(9)+readsa*ln(0.25)+8*ln(0.75)),9) density from fx_svs where readsa<=12")
+_register("P18_dbinom", lambda s, d: view(s, d, "fx_svs").select("ord", F.round(C.dbinom(F.col("readsa") + 8, F.col("readsa"), 0.25), 9).alias("density")),
+          "select ord, round(exp(lgamma(readsa+9)-lgamma(readsa+1)-lgamma(9)+readsa*ln(0.25)+8*ln(0.75)),9) density from fx_svs")
 _register("P20_split_names", lambda s, d: view(s, d, "fx_svs").select("ord", F.explode(C.split_names(F.col("geneb"))).alias("name")), _NAMES + " select ord, y as name from nb")
 _register("P23_junction_window", lambda s, d: view(s, d, "fx_contig").select("doc_id", C.junction_window(F.col("seq"), F.col("doc_id") % 128).alias("window")),
           "select doc_id, case when doc_id%128>30 and doc_id%128<length(seq)-30 then substr(seq,doc_id%128-29,60) end \"window\" from fx_contig")
