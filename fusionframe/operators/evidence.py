@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fusionframe.functions.columns import canonical_seq, clip_len, cigar_ops, flag_is, pair_key, ref_span, split_names
 
+from .graph import written
 from .intervals import interval_join
 from .sweep import BLOCK, runs_by_gap
 
@@ -76,7 +77,8 @@ def cluster_positions(sites: DataFrame, spread: int = 5, min_reads: int = 2, min
          .withColumn("centre", -F.max(F.struct("bases", (-F.col("pos")).alias("back"))).over(ahead)["back"]))
     total = F.struct(*[F.col(f"t_{c}").alias(c) for c in sums])
     s = s.withColumn("totals", F.max_by(total, F.struct("bases", -F.col("pos"))).over(ahead)).where(F.col("_near") == block)
-    s = runs_by_gap(s.select("chrom", "side", "pos", "centre", "cover", "totals"), ["chrom", "side"], "pos", 2 * spread + 1, "block")
+    s = written(s.select("chrom", "side", "pos", "centre", "cover", "totals"), "positions")  # the sweep reads them more than once
+    s = runs_by_gap(s, ["chrom", "side"], "pos", 2 * spread + 1, "block")
     s = s.where(F.col("cover") >= min_reads).where((F.col("totals.reads") >= min_reads) & (F.col("totals.long_bases") >= min_long))
     folded = s.groupBy("chrom", "side", "block").agg(F.array_sort(F.collect_list(F.struct("pos", "centre", "totals"))).alias("rows"))
     step = F.aggregate(

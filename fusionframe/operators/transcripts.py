@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .intervals import interval_join
-from .graph import components
+from .graph import components, written
 from .sweep import nearest_edges, running_max
 
 #: The standard genetic code, codons in order of TCAG.
@@ -98,8 +98,9 @@ def annotate_site(points: DataFrame, genes: DataFrame, key: str, windows=(10, 50
     sign = F.when(F.col("r_strand") == F.col("own"), 1).otherwise(-1)
     rows = hits.select(key, F.col("r_gene").alias("gene"), feature.alias("feature"), sign.alias("sign"), F.col("r_tx").alias("tx")).where("feature <> 'intergenic'")
     score = feature_score(F.col("feature"))
-    found = rows.groupBy(key).agg(F.min_by(F.struct("gene", "feature", (score * F.col("sign")).alias("score")), F.struct(-score, -F.col("sign"), "tx")).alias("b"))
-    left = at.join(found, key, "left_anti")
+    best = F.min_by(F.struct("gene", "feature", (score * F.col("sign")).alias("score")), F.struct(-score, -F.col("sign"), "tx"))
+    found = written(rows.groupBy(key).agg(best.alias("b")), "sites")
+    left = written(at.join(found, key, "left_anti").select(key, "chrom", "pos", "own"), "points")  # the sweep reads them more than once
     what = F.struct(F.col("tx").alias("tx"), F.col("gene").alias("gene"))
     edges = genes.select("chrom", "strand", what.alias("what"), F.explode(F.array("st", "en")).alias("edge"))
     near = left.select(key, "pos", "own").join(nearest_edges(left, edges, key), key)
