@@ -86,10 +86,11 @@ def junction_contigs(junctions: DataFrame, chunks: DataFrame, transcripts: DataF
     from fusionframe.functions.columns import revcomp
     from fusionframe.sources.text import base_range
 
-    from .intervals import interval_join
+    from .intervals import overlap_nodes
 
     ends = junctions.select("ord", F.explode(F.array(*[F.struct(F.col(f"chr{x}").alias("chrom"), F.col(f"pos{x}").alias("st"), F.col(f"pos{x}").alias("en")) for x in "ab"])).alias("e")).select("ord", "e.*")
-    over = interval_join(ends, transcripts.select("chrom", "st", "en", "strand")).groupBy("ord").agg(F.collect_set("r_strand").alias("strands"))
+    met = overlap_nodes(ends, transcripts.select("chrom", "st", "en", "strand"), lambda rows, keys: rows.select(*keys, "strand").distinct())
+    over = ends.join(met.select("chrom", "st", "en", F.col("strand").alias("r_strand")).distinct(), ["chrom", "st", "en"]).groupBy("ord").agg(F.collect_set("r_strand").alias("strands"))
     given = F.col("strand") if "strand" in junctions.columns else F.lit(None).cast("string")
     rows = junctions.withColumn("_given", given).join(over, "ord", "left").withColumn("strands", F.when(F.col("_given").isNotNull(), F.array("_given")).otherwise(F.coalesce("strands", F.array().cast("array<string>"))))
     spans = rows.select("ord", F.explode(F.array(
