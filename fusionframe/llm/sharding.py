@@ -67,7 +67,8 @@ def read_shards(spark: SparkSession, path: str, schema) -> DataFrame:
     earlier = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = rows.groupBy("shard", "bucket").agg(F.count("*").alias("_n")).select(
         "shard", "bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
-    return rows.join(base, ["shard", "bucket"]).withColumn("slot", F.col("_base") + F.col("place")).drop("_base")
+    # one short row for each bucket: broadcast, so that the texts are not moved a second time
+    return rows.join(F.broadcast(base), ["shard", "bucket"]).withColumn("slot", F.col("_base") + F.col("place")).drop("_base")
 
 
 def external_shuffle(df: DataFrame, key: str, order: list[str], shards: int = 24, seed: int = 42,
