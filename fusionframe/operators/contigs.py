@@ -8,11 +8,14 @@ hits together. Rows with a null contig join nothing.
 
 from __future__ import annotations
 
+import bisect
+import itertools
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import written
+from .graph import written_by
 
 MIN_HIT, MIN_DISTANCE = 25, 10_000
 END = ["ort", "tname", "tstart", "tend", "tpos", "qstart", "qend", "qpos", "qstrand", "matches", "percent"]
@@ -33,6 +36,11 @@ def sort_hits(hits: DataFrame) -> DataFrame:
     return rows.withColumn("run", F.sum("_new").over(by)).drop("_new")
 
 
+def _no_key(equal: Column) -> Column:
+    """The condition as one that Spark does not take as a further key of a join, so that rows that lie by contig are not moved to join."""
+    return F.coalesce(equal, F.lit(False))
+
+
 def _percent(matches: Column | None = None) -> Column:
     return F.try_divide(_c("matches") if matches is None else matches, _c("qend") - _c("qstart") + 1)
 
@@ -103,7 +111,7 @@ def block_events(hits: DataFrame, sites: DataFrame, mapped: DataFrame, least: in
     site ends its run, one with an end of under `least` bases is passed over. itd stays set for later runs of a contig.
     """
     rows = hits.join(sites, "contig").join(mapped.select("contig"), "contig", "left_semi").where(
-        (_c("tname") == _c("sc_chrom")) & (_c("tstart") <= _c("sc_site") + 1000) & (_c("tend") >= _c("sc_site") - 1000))
+        _no_key(_c("tname") == _c("sc_chrom")) & (_c("tstart") <= _c("sc_site") + 1000) & (_c("tend") >= _c("sc_site") - 1000))
     blocks, site, clip, strand = _c("blocks"), _c("sc_site"), _c("clip"), _c("qstrand")
     one = F.size("blocks") == 1
 
@@ -210,7 +218,7 @@ def overhang_local(pm: DataFrame, hits: DataFrame, read_len: int, least: int = M
     partner that completes the contig is nearer than `min_distance` on the target, farther ones of its run go. A pm one of whose runs
     has no partner gets none.
     """
-    rows = _paired(pm, hits).where(_bare(_c("tname")) == _bare(_c("p_tname")))
+    rows = _paired(pm, hits).where(_no_key(_bare(_c("tname")) == _bare(_c("p_tname"))))
     qpos, strand, blocks = _c("p_qpos"), _c("qstrand"), _c("blocks")
     overlap = F.when(_c("p_ort") > 0, (_c("qstart") < qpos) & (_c("qend") > qpos + 10)).otherwise((_c("qend") > qpos) & (_c("qstart") < qpos - 10))
     same = (F.abs(_c("qstart") - _c("p_qstart")) < 25) & (_c("qend") < 25)
@@ -309,8 +317,32 @@ def choose_pairs(rows: list[dict], most: int, read_len: int, least: int, min_dis
         contigs.setdefault(r["contig"], []).append(r)
     if (whole and n == bad + mapped) or not contigs:
         return kept
+    cells: dict = {}  # places in `kept`, in order, by both targets and both positions in steps of 50; each pair either way round
+
+    def held(r):
+        return [(r[f"tname{x}"], r[f"tname{y}"], r[f"tpos{x}"] // 50, r[f"tpos{y}"] // 50) for x, y in ("ab", "ba")]
+
+    def note(i):
+        for cell in set(held(kept[i])):
+            bisect.insort(cells.setdefault(cell, []), i)
+
+    def near_one(r):
+        """The first of `kept` within 50 bases of both ends, either way round."""
+        found = []
+        for da, db in itertools.product((-1, 0, 1), repeat=2):
+            near = cells.get((r["tnamea"], r["tnameb"], r["tposa"] // 50 + da, r["tposb"] // 50 + db), ())
+            found.append(next((i for i in near if any(
+                r["tnamea"] == kept[i][f"tname{x}"] and r["tnameb"] == kept[i][f"tname{y}"] and abs(r["tposa"] - kept[i][f"tpos{x}"]) < 50 and abs(r["tposb"] - kept[i][f"tpos{y}"]) < 50
+                for x, y in ("ab", "ba"))), None))
+        return min((i for i in found if i is not None), default=None)
+
+    by_contig: dict = {}
+    for r in events:
+        by_contig.setdefault(r["contig"], []).append(r)
+    for i in range(len(kept)):
+        note(i)
     for contig, found in contigs.items():
-        own = [r for r in events if r["contig"] == contig]
+        own = by_contig.get(contig, [])
         best_local = max(map(total, own), default=0)
         done = any(not r["itd"] and r["matchesa"] + r["matchesb"] / r["qlen"] > 0.99 for r in own)
         local = [] if done else [r for r in found if r["step"] == 1]
@@ -341,18 +373,21 @@ def choose_pairs(rows: list[dict], most: int, read_len: int, least: int, min_dis
             if r["tnamea"] == r["tnameb"] and apart(r) < min_distance:
                 mine.append(r)
                 break
-            at = next((i for i, k in enumerate(kept) if any(
-                r["tnamea"] == k[f"tname{x}"] and r["tnameb"] == k[f"tname{y}"] and abs(r["tposa"] - k[f"tpos{x}"]) < 50 and abs(r["tposb"] - k[f"tpos{y}"]) < 50
-                for x, y in ("ab", "ba"))), None)
+            at = near_one(r)
             if at is not None:
                 if r["matchesa"] * r["matchesb"] > kept[at]["matchesa"] * kept[at]["matchesb"]:
+                    for cell in set(held(kept[at])):
+                        cells[cell].remove(at)
                     kept[at] = r
+                    note(at)
                 continue
             if r["second"]:
                 mine = []
                 break
             mine.append(r)
         kept += mine
+        for i in range(len(kept) - len(mine), len(kept)):
+            note(i)
     return kept
 
 
@@ -365,13 +400,13 @@ def detect_pairs(hits: DataFrame, sites: DataFrame, contigs: DataFrame, second_h
     short contig with `most` or more go, of more only the `most` best stay. A candidate within 50 bases of a pair of the site takes its place if
     the product of its matches is greater; a far one whose second end explains the contig as well on that target ends the contig without
     pairs, a near one ends it with that. Where an event explains a site and all its contigs are bad or map over it, only events stay. Contigs come by
-    length, the longest first, and name. Only the last step sees all pairs of a site together. Hits and intermediate tables are written to the
+    length, the longest first, and name. Only the last step sees all pairs of a site together. Hits and intermediate tables are written by contig to the
     folder of spark.checkpoint.dir.
     """
-    hits, second_hits = written(hits, "hits"), written(second_hits, "hits")  # read by every step below
-    triage = written(triage_contigs(hits, sites, read_len, least), "triage")
+    hits = written_by(hits, "hits", "contig")  # read by every step below; these write by contig as well, so that no step moves the hits
+    triage = written_by(triage_contigs(hits, sites, read_len, least), "triage", "contig")
     events = block_events(hits, sites, triage.where("site_mapped"), least)
-    pm = written(partial_hits(hits, sites, triage, contigs, least).withColumn("key", _c("contig")), "partial")
+    pm = written_by(partial_hits(hits, sites, triage, contigs, least).withColumn("key", _c("contig")), "partial", "contig")
     b_end = ["contig", "id", "n", *[_c(c).alias(f"{c}b") for c in END]]
     partners = overhang_local(pm, hits, read_len, least, min_distance).select(F.lit(1).alias("step"), *b_end, F.lit(None).cast("double").alias("repeat2"))
     partners = partners.unionByName(overhang_remote(pm, hits, least).select(F.lit(2).alias("step"), *b_end, F.lit(None).cast("double").alias("repeat2")))
@@ -383,16 +418,16 @@ def detect_pairs(hits: DataFrame, sites: DataFrame, contigs: DataFrame, second_h
         return F.when(_c(f"qstrand{x}") * _c(f"ort{x}") < 0, _c(f"tstart{x}")).otherwise(_c(f"tend{x}"))
 
     pairs = pairs.withColumns({"enda": outer("a"), "endb": outer("b"), **{f"q{x}": F.when(_c(f"ort{x}") > 0, _c(f"qend{x}")).otherwise(_c(f"qstart{x}")) for x in "ab"}})
-    pairs = written(pairs, "pairs")
+    pairs = written_by(pairs, "pairs", "contig")
     first = _c("enda") - _c("sc_site") > 50
     fixed = {"tpos": ("enda", "endb"), "qpos": ("qa", "qb")}
     second = pairs.select("key", "contig", *[F.when(first, _c(fixed.get(c, (f"{c}a",))[0])).otherwise(_c(fixed.get(c, ("", f"{c}b"))[1])).alias(c) for c in END],
                           (_c("matchesa") + _c("matchesb")).alias("sum"), "qlen")
-    again = overhang_local(second, hits, read_len, least, min_distance).select("key", _c("matches").alias("m2"), _c("tpos").alias("t2"))
-    both = again.join(second.select("key", "sum", "qlen", "matches", "tpos"), "key")
+    again = overhang_local(second, hits, read_len, least, min_distance).select("contig", "key", _c("matches").alias("m2"), _c("tpos").alias("t2"))
+    both = again.join(second.select("contig", "key", "sum", "qlen", "matches", "tpos"), ["contig", "key"])
     explains = (_c("matches") + _c("m2") >= _c("sum")) | (F.least("matches", "m2") > 2 * least) | (_c("matches") + _c("m2") > _c("qlen") - 2 * least)
-    local = both.where((F.abs(_c("t2") - _c("tpos")) <= min_distance) & explains).select("key").distinct().withColumn("second", F.lit(True))
-    pairs = pairs.join(local, "key", "left").withColumns({"second": F.coalesce("second", F.lit(False)), "itd": F.lit(False)})
+    local = both.where((F.abs(_c("t2") - _c("tpos")) <= min_distance) & explains).select("contig", "key").distinct().withColumn("second", F.lit(True))
+    pairs = pairs.join(local, ["contig", "key"], "left").withColumns({"second": F.coalesce("second", F.lit(False)), "itd": F.lit(False)})
     fields = ["contig", "id", "n", "step", "itd", "qlen", *[f"{c}{x}" for x in "ab" for c in END if c != "percent"], "repeata", "repeatb"]
     pairs = pairs.withColumns({"repeata": _c("repeat1"), "repeatb": _c("repeat2")}).select(*fields, "enda", "endb", "second", "best")
     none = F.lit(None)

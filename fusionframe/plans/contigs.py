@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fusionframe.fixtures import mappings, view
 from fusionframe.operators import contigs as C
-from fusionframe.operators.graph import written
+from fusionframe.operators.graph import written_by
 from fusionframe.plans.registry import register
 
 READ_LEN = 100
@@ -36,7 +36,7 @@ def _rounded(df):
 _H = """, h0 as (select *, row_number() over (partition by contig order by matches desc, tname, id) n, lag(tname) over (partition by contig order by matches desc, tname, id) before from fx_psl),
  h as (select *, sum(case when before is distinct from tname then 1 else 0 end) over (partition by contig order by n) run, cast(matches as double)/(qend-qstart+1) pc, qstart<25 and qlen-qend<25 whole,
  replace(tname,'chr','')=replace(sc_chrom,'chr','') here, tstart t1, case when qstrand>0 then qstart else qend end q1, tstart+l1+gt t2, case when qstrand>0 then qstart+l1+gq else qend-l1-gq end q2 from h0)"""
-register("W06_sort_hits", lambda s, d: _hits(s, d)[0].select("contig", "id", F.col("n").cast("long").alias("n"), F.col("run").cast("long").alias("run")),
+register("W06_sort_hits", lambda s, d: C.sort_hits(mappings(s, d, lay=False)[0]).select("contig", "id", F.col("n").cast("long").alias("n"), F.col("run").cast("long").alias("run")),
          _H + " select contig, id, cast(n as bigint) n, cast(run as bigint) run from h")
 _M01 = _H + """, t as (select *, (qstart<=25 or qlen-qend<=25) near_end, l2=0 single, here and (tstart+12.5-sc_site)*(tend-12.5-sc_site)<0 over_site from h),
  u as (select *, near_end and pc=1 and single and whole perfect, near_end and whole and pc>0.9 and matches>qend-qstart-20 and (not here or (tstart-sc_site)*(tend-sc_site)>0) beside,
@@ -129,15 +129,15 @@ register("M05_overhang_remote", lambda s, d: _rounded(_remote(s, d).select("cont
          _M05 + """ select contig, id, ort, tname, tstart, tend, case when ort*qstrand>0 then tend else tstart end tpos, qstart, qend, case when ort>0 then qend else qstart end qpos, qstrand, matches, round(pc,9) percent from remote""")
 
 
-def _second(s, d):
+def _second(hits):
     """Hits of second-pass mappings: those of the contig, moved to the front of an overhang of 110 bases."""
-    hits = mappings(s, d)[0]
     moved = 1 + F.col("qstart") % 30
     return C.sort_hits(hits.withColumns({"qend": moved + F.col("qend") - F.col("qstart"), "qstart": moved, "qlen": F.lit(110).cast("long")}))
 
 
 def _second_partners(s, d):
-    return C.overhang_second(_partial(s, d)[1], _second(s, d))
+    hits, pm = _partial(s, d)
+    return C.overhang_second(pm, _second(hits))
 
 
 _M06 = _M03 + """, s0 as (select h.contig, id, n, tname, tstart, tend, 1+qstart%30 qstart, 1+qstart%30+qend-qstart qend, qstrand, matches, pc, 110 qlen from h),
@@ -154,7 +154,7 @@ register("M06_overhang_second", lambda s, d: _rounded(_second_partners(s, d).sel
 
 def _detected(s, d):
     hits, sites, contigs = _hits(s, d)
-    return C.detect_pairs(hits, sites, contigs, _second(s, d), READ_LEN, 3)
+    return C.detect_pairs(hits, sites, contigs, _second(hits), READ_LEN, 3)
 
 
 register("M10_detect_pairs", lambda s, d: _rounded(_detected(s, d)))
@@ -162,10 +162,10 @@ register("M10_detect_pairs", lambda s, d: _rounded(_detected(s, d)))
 
 def _requantified(s, d):
     hits, pm = _partial(s, d)
-    hits, pm = written(hits, "hits"), written(pm, "partial")
+    pm = written_by(pm, "partial", "contig")
     a = pm.select("contig", *[F.col(c).alias(f"{c}a") for c in ("tname", "tpos", "qpos", "ort")])
     b = C.overhang_remote(pm, hits).select("contig", "id", *[F.col(c).alias(f"{c}b") for c in ("tname", "tpos", "qpos", "ort")])
-    events = written(a.join(b, "contig").withColumns({"event": F.concat_ws("_", F.col("contig").cast("string"), "id"), "ord": F.col("contig")}), "events")
+    events = written_by(a.join(b, "contig").withColumns({"event": F.concat_ws("_", F.col("contig").cast("string"), "id"), "ord": F.col("contig")}), "events", "ord")
     turn, off = F.col("contig") % 3 == 0, F.col("contig") % 70 - 15
     ends = [F.when(turn, F.col(f"{c}{y}")).otherwise(F.col(f"{c}{x}")) for x, y in ("ab", "ba") for c in ("tname", "tpos")]
     pairs = events.groupBy("ord").agg(F.min_by(F.struct("contig", *[f"{c}{x}" for x in "ab" for c in ("tname", "tpos")]), "id").alias("e")).select("ord", "e.*").select(
