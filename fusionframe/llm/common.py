@@ -107,3 +107,25 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, count_col: str, tot
         tagged.where(F.col("_hot")).drop("_hot").join(F.broadcast(hot_keys), key)
         .unionByName(tagged.where(F.col("_hot").isNull()).drop("_hot").join(cold_keys, key))
     )
+
+
+def key_runs(batches, keys: list[str], columns: list[str]):
+    """(key values, one list for each of the columns) of each run of rows with equal keys in a sorted stream of Arrow batches."""
+    last, held = None, None
+    for batch in batches:
+        marks = list(zip(*(batch.column(k).to_pylist() for k in keys)))
+        lists = [batch.column(c).to_pylist() for c in columns]
+        start = 0
+        while start < len(marks):
+            stop = start + 1
+            while stop < len(marks) and marks[stop] == marks[start]:
+                stop += 1
+            if marks[start] != last:
+                if held is not None:
+                    yield last, held
+                last, held = marks[start], [[] for _ in columns]
+            for have, new in zip(held, lists):
+                have += new[start:stop]
+            start = stop
+    if held is not None:
+        yield last, held

@@ -11,6 +11,17 @@ from pyspark.sql import functions as F
 from .common import load, lookup_join, materialize
 
 
+def fingerprint(parts) -> int:
+    """Signed 64-bit fingerprint of arrays of uint64 hashes: a bit is set if over half of all hashes have it."""
+    ones, n = np.zeros(64, dtype=np.int64), 0
+    for hashes in parts:
+        bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += bits.sum(axis=0, dtype=np.int64)
+        n += len(hashes)
+    packed = np.packbits((2 * ones > n).astype(np.uint8), bitorder="little")
+    return int(packed.view("<i8")[0])
+
+
 def simhash(text: str | None, width: int) -> int:
     """Signed 64-bit fingerprint of the word shingles; no words give 0."""
     words = (text or "").encode("utf-8").lower().split()
@@ -22,14 +33,8 @@ def simhash(text: str | None, width: int) -> int:
     n = max(1, len(words) - width + 1)
     last = ends[width - 1:].tolist() if len(words) >= width else [len(joined)]
     digest = xxhash.xxh64_intdigest
-    ones = np.zeros(64, dtype=np.int64)
     spans = list(zip(starts[:n].tolist(), last))
-    for at in range(0, n, 8192):
-        hashes = np.array([digest(joined[s:e], 42) for s, e in spans[at:at + 8192]], dtype="<u8")
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += bits.sum(axis=0, dtype=np.int64)
-    packed = np.packbits((2 * ones > n).astype(np.uint8), bitorder="little")
-    return int(packed.view("<i8")[0])
+    return fingerprint(np.array([digest(joined[s:e], 42) for s, e in spans[at:at + 8192]], dtype="<u8") for at in range(0, n, 8192))
 
 
 def fingerprints(docs: DataFrame, width: int) -> DataFrame:
