@@ -29,7 +29,8 @@ def block_top_k(q_ids, q, c_ids, c, k: int, levels=LEVELS):
     With x.q = sum over segments of the means' part and the deviations' part, and the
     latter at most the product of their norms, |x|^2 + |q|^2 - 2 * bound is a lower bound
     of the squared distance and `bound` an upper bound of the inner product. Coarse
-    bounds come first, finer ones only for survivors, exact integers last.
+    bounds come first, finer ones only for survivors, exact integers last; where most pairs of a tile survive,
+    bounds and products are those of the whole tile.
     """
     qf, cf = q.astype(np.float64), c.astype(np.float64)
     stats = [(segment_stats(qf, s), segment_stats(cf, s)) for s in levels]
@@ -63,15 +64,24 @@ def block_top_k(q_ids, q, c_ids, c, k: int, levels=LEVELS):
             seen = pair_exact(qi, seeds.ravel()).astype(np.float64).reshape(n, k)
             seen[~np.take_along_axis(others, seeds, axis=1)] = -np.inf
             floor = seen.min(axis=1)
-        qi, ci = np.nonzero((coarse >= (floor - slack)[:, None]) & others)
+        least = (floor - slack)[:, None]
+        alive = (coarse >= least) & others
         for level in range(1, len(levels)):
-            if len(qi) * 8 > coarse.size:
-                values = bound(level)[qi, ci]
+            if np.count_nonzero(alive) * 8 > alive.size:
+                alive &= bound(level) >= least
             else:
-                values = pair_bound(level, qi, ci)
-            keep = values >= floor[qi] - slack
-            qi, ci = qi[keep], ci[keep]
-        score = pair_exact(qi, ci).astype(np.int64) if len(qi) else np.empty(0, np.int64)
+                qi, ci = np.nonzero(alive)
+                alive[qi, ci] = pair_bound(level, qi, ci) >= least[qi, 0]
+        if peak < 2 ** 53 and np.count_nonzero(alive) * 8 > alive.size:
+            # Most pairs survive: one product of the tile, exact as no partial sum reaches 2**53; pairs below the k-th score go.
+            whole = np.where(alive, qf[rows] @ cf.T, -np.inf)
+            if width > k:
+                alive &= whole >= np.partition(whole, width - k, axis=1)[:, width - k, None]
+            qi, ci = np.nonzero(alive)
+            score = whole[qi, ci].astype(np.int64)
+        else:
+            qi, ci = np.nonzero(alive)
+            score = pair_exact(qi, ci).astype(np.int64) if len(qi) else np.empty(0, np.int64)
         order = np.lexsort((c_ids[ci], -score, qi))
         qi, ci, score = qi[order], ci[order], score[order]
         first = np.searchsorted(qi, qi, side="left")
