@@ -7,10 +7,11 @@ import struct
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import load, lookup_join, materialize
+from .common import key_runs, load, lookup_join, materialize
 from .words import chunks, gram_hashes, joined_words
 
 WINDOW, PREFIX = 35, 12
@@ -85,10 +86,13 @@ def subtree_repeats(rows: list[tuple[list, int, int]], window: int = WINDOW) ->
     whose common prefixes all reach `window` hangs below one internal node of that depth or more,
     and its windows repeat if the leaves have two copies or more.
     """
-    leaves = sorted((words[i:], r, i) for r, (words, n, _) in enumerate(rows) for i in range(n))
-    masks, start = [0] * len(rows), 0
+    number: dict = {}
+    # four big-endian bytes for each word, so that slices of bytes sort as the lists of numbers do
+    codes = [np.array([number.setdefault(w, len(number)) for w in words], ">u4").tobytes() for words, _, _ in rows]
+    leaves = sorted((code[4 * i:], r, i) for r, (code, (_, n, _)) in enumerate(zip(codes, rows)) for i in range(n))
+    masks, start, depth = [0] * len(rows), 0, 4 * window
     for at in range(1, len(leaves) + 1):
-        if at < len(leaves) and shared_prefix(leaves[at - 1][0], leaves[at][0], window) >= window:
+        if at < len(leaves) and leaves[at][0].startswith(leaves[at - 1][0][:depth]):
             continue
         if sum(rows[r][2] for _, r, _ in leaves[start:at]) > 1:
             for _, r, i in leaves[start:at]:
@@ -97,18 +101,6 @@ def subtree_repeats(rows: list[tuple[list, int, int]], window: int = WINDOW) ->
     return masks
 
 
-def shared_prefix(a: list, b: list, most: int) -> int:
-    """The number of leading words that a and b share, at most `most`."""
-    if a[:most] == b[:most] and len(a) >= most:
-        return most
-    n = 0
-    for x, y in zip(a, b):
-        if x != y or n == most:
-            break
-        n += 1
-    return n
-
-
 def split_run(body: list[bytes], n: int, o: int, width: int, window: int = WINDOW):
     """Parts of a run whose windows share a longer prefix: (shift, windows, offset of the first, body, prefix).
 
@@ -128,14 +120,24 @@ def _hash64(words: list[bytes]) -> int:
 
 
 def _tree_masks(rows: DataFrame) -> DataFrame:
-    """(key, same, mask) by one suffix tree for each key."""
-    def tree(table):
-        found = table.select(["body", "n", "copies"]).to_pydict()
-        number: dict = {}
-        bodies = [[number.setdefault(w, len(number)) for w in b.split()] for b in found["body"]]
-        masks = subtree_repeats(list(zip(bodies, found["n"], found["copies"])))
-        return table.select(["key", "same"]).append_column("mask", pa.array(masks, pa.int64()))
-    return rows.groupBy("key").applyInArrow(tree, "key long, same binary, mask long")
+    """(key, same, mask) by one suffix tree for each key, in a sorted stream of the keys' runs."""
+    def tree(batches):
+        out: list = []
+
+        def table():
+            keys, same, masks = zip(*out)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(same, pa.binary()), pa.array(masks, pa.int64())], ["key", "same", "mask"])
+
+        for (key,), (same, bodies, ns, copies) in key_runs(batches, ["key"], ["same", "body", "n", "copies"]):
+            out += zip([key] * len(same), same, subtree_repeats(list(zip([b.split() for b in bodies], ns, copies))))
+            if len(out) > 20_000:
+                yield table()
+        if out:
+            yield table()
+
+    ordered = rows.select("key", "same", "body", "n", "copies").repartition("key").sortWithinPartitions("key")
+    return ordered.mapInArrow(tree, "key long, same binary, mask long")
 
 
 def repeat_masks(rows: DataFrame, group_rows: int) -> DataFrame:
@@ -225,18 +227,23 @@ def _touched(docs: DataFrame) -> DataFrame:
     texts = docs.select("digest", "text").groupBy("digest").agg(F.first("text").alias("text"))
 
     def mark(batches):
-        kind = pa.struct([("lo", pa.int32()), ("n", pa.int32()), ("o", pa.int32()), ("key", pa.int64()), ("same", pa.binary())])
         for batch in batches:
-            rows = []
-            for text, spans in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist()):
+            spans = batch.column("spans")
+            ends_of, flat = np.cumsum(pc.list_value_length(spans).to_numpy()), spans.flatten()
+            lo, n, o = (flat.field(c).to_numpy().tolist() for c in ("lo", "n", "o"))
+            same, at = [], 0
+            for text, stop in zip(batch.column("text").cast(pa.binary()).to_pylist(), ends_of.tolist()):
                 words = text.split()
                 whole = b" ".join(words)
-                ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-                for r in spans:
-                    body = whole[ends[r["lo"] - 1] if r["lo"] else 0:ends[r["lo"] + r["n"] + WINDOW - 2] - 1]
-                    r["same"] = hashlib.blake2b(b"%d %s" % (r["o"], body), digest_size=16).digest()
-                rows.append(spans)
-            yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("text"), pa.array(rows, pa.list_(kind))],
+                ends = (np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)).tolist()
+                for k in range(at, stop):
+                    first = lo[k]
+                    body = whole[ends[first - 1] if first else 0:ends[first + n[k] + WINDOW - 2] - 1]
+                    same.append(hashlib.blake2b(b"%d %s" % (o[k], body), digest_size=16).digest())
+                at = stop
+            runs = pa.StructArray.from_arrays([*(flat.field(c) for c in ("lo", "n", "o", "key")), pa.array(same, pa.binary())], ["lo", "n", "o", "key", "same"])
+            offsets = pa.array(np.concatenate(([0], ends_of)), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("text"), pa.ListArray.from_arrays(offsets, runs)],
                                              ["digest", "text", "runs"])
     return materialize(texts.join(spans, "digest").select("digest", "text", "spans").mapInArrow(
         mark, "digest string, text string, runs array<struct<lo:int,n:int,o:int,key:long,same:binary>>"), "touched")
