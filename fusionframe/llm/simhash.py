@@ -53,6 +53,8 @@ def fingerprint_links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     differs in more, the low one differs in at most `radius - 2`. So the
     high table is probed with a ball of radius 1 and the low one with radius
     `radius - 2`; each fetched match is verified on all 64 bits.
+
+    Both sides are sorted and merged: Spark sizes the balls as it sizes `distinct`, before the explode, and would broadcast them.
     """
     if not 1 <= radius <= 3:
         raise ValueError("radius must be 1, 2 or 3")
@@ -72,7 +74,7 @@ def fingerprint_links(distinct: DataFrame, radius: int = 2) -> DataFrame:
         table = table.unionByName(distinct.select("fp", low.alias("k"), F.lit(1).alias("seg")))
     distance = F.bit_count(F.col("p.fp").bitwiseXOR(F.col("t.fp")))
     return (
-        probes.alias("p").join(table.alias("t"), (F.col("p.k") == F.col("t.k")) & (F.col("p.seg") == F.col("t.seg"))
+        probes.alias("p").join(table.alias("t").hint("merge"), (F.col("p.k") == F.col("t.k")) & (F.col("p.seg") == F.col("t.seg"))
                                & (F.col("p.fp") < F.col("t.fp")) & (distance <= radius))
         .select(F.col("p.fp").alias("a"), F.col("t.fp").alias("b")).distinct()
     )
