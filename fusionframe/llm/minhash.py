@@ -182,7 +182,8 @@ def _block_links(mixed: DataFrame, texts: DataFrame, width: int) -> DataFrame:
             a, b = ([f(reps[x], reps[y]) for x, y in pairs] for f in (min, max))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return dealt.join(texts.withColumnRenamed("uid", "rep"), "rep").repartition("key", "f", "a").sortWithinPartitions("key", "f", "a") \
+    # merged: Spark sizes `dealt` as before its explode, and would broadcast it
+    return dealt.join(texts.withColumnRenamed("uid", "rep").hint("merge"), "rep").repartition("key", "f", "a").sortWithinPartitions("key", "f", "a") \
         .mapInArrow(check, "a long, b long").distinct()
 
 
